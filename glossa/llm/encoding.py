@@ -8,6 +8,7 @@ library, and the ids are put together again; ids equal those of the whole text.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -34,6 +35,8 @@ def broadcast_tokenizer(spark: SparkSession, path: str):
 
 class Encoder:
     def __init__(self, definition: str) -> None:
+        # Spark runs a task a core: the library's own threads would only add memory and switching.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
