@@ -11,9 +11,9 @@ included; a benchmark row without id can cause hits but is not listed.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ WINDOW = 10
 #: Most bytes of benchmark text whose windows are broadcast at once.
 BLOCK_BYTES = 16 << 20
 
-_SPANS = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, text string"
-_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("text", pa.string())])
+_SPANS = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+_FOUND = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
 class WindowSet:
@@ -74,19 +74,24 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(windows, keep_text: bool):
+def _spans_of(words: B.Words, known: WindowSet) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set]]:
+    """Merged spans and items of the texts that have any."""
+    spans, items, owner = defaultdict(list), defaultdict(set), words.owner()
+    for a, b, own in known.hits(words):
+        d = int(owner[a])
+        spans[d].append((a - int(words.doc[d]), b - int(words.doc[d])))
+        items[d] |= own
+    return {d: _merged(own) for d, own in spans.items()}, items
+
+
+def _scanner(windows):
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
         for piece in B.chunks(batches):
             words = B.scan(piece.column("text"))
-            spans, items = defaultdict(list), defaultdict(set)
-            docs = words.owner()
-            for a, b, own in known.hits(words):
-                d = int(docs[a])
-                spans[d].append((a - int(words.doc[d]), b - int(words.doc[d])))
-                items[d] |= own
-            merged = [_merged(spans[d]) if d in spans else [] for d in range(piece.num_rows)]
-            yield batch(_FOUND, piece.column("row"), piece.column("doc_id"), words.counts(), [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(items[d] - {None}) if d in items else [] for d in range(piece.num_rows)], piece.column("text") if keep_text else pa.nulls(piece.num_rows, pa.string()))
+            spans, items = _spans_of(words, known)
+            merged = [spans.get(d, []) for d in range(piece.num_rows)]
+            yield batch(_FOUND, piece.column("row"), piece.column("doc_id"), words.counts(), [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(items[d] - {None}) if d in items else [] for d in range(piece.num_rows)])
 
     return scanned
 
@@ -106,62 +111,83 @@ def _blocks(benchmark: DataFrame, window: int) -> list[WindowSet]:
     return [*out, WindowSet(ids, texts, window)]
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document row: doc_id, n_words, merged word spans (starts, ends) that benchmark windows cover, and the ids of the items found."""
-    spark = docs.sparkSession
-    found = None
     blocks = _blocks(benchmark, window)
-    rows = documents(docs).withColumn("row", F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("long"))
-    if len(blocks) > 1:
-        rows = shared_table(rows, "rows")
-    for i, block in enumerate(blocks):
-        part = map_arrow(rows, _scanner(spark.sparkContext.broadcast(block), keep_text and i == 0), _SPANS)
-        found = part if found is None else found.unionByName(part)
-    if len(blocks) > 1:
-        found = found.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("text").alias("text"),
-        )
-        found = map_arrow(found.select("row", "doc_id", "n_words", "spans.starts", "spans.ends", "items", "text"), _remerge, _SPANS)
-    return found.drop("row") if keep_text else found.drop("row", "text")
+    if len(blocks) == 1:
+        return _spans(documents(docs).withColumn("row", F.lit(0).cast("long")), blocks).drop("row")
+    return _spans(shared_table(documents(docs).withColumn("row", F.monotonically_increasing_id()), "rows"), blocks).drop("row")
+
+
+def _spans(rows: DataFrame, blocks: list[WindowSet]) -> DataFrame:
+    context = rows.sparkSession.sparkContext
+    found = reduce(DataFrame.unionByName, (map_arrow(rows, _scanner(context.broadcast(b)), _SPANS) for b in blocks))
+    if len(blocks) == 1:
+        return found
+    found = found.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return map_arrow(found.select("row", "doc_id", "n_words", "spans.starts", "spans.ends", "items"), _remerge, _SPANS)
 
 
 def _remerge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         merged = [_merged(list(zip(s, e, strict=True))) for s, e in zip(b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True)]
-        yield batch(_FOUND, b.column("row"), b.column("doc_id"), b.column("n_words"), [[x for x, _ in m] for m in merged], [[x for _, x in m] for m in merged], b.column("items"), b.column("text"))
+        yield batch(_FOUND, b.column("row"), b.column("doc_id"), b.column("n_words"), [[x for x, _ in m] for m in merged], [[x for _, x in m] for m in merged], b.column("items"))
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the characters from each span's first word to its last."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = np.concatenate([[False], B.ALNUM[raw], [False]])
+    s, e = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    keep = np.ones(len(raw), bool)
+    for a, b in spans:
+        keep[s[a] : e[b - 1]] = False
+    return raw[keep].tobytes().decode()
+
+
+def _cleaned(piece: pa.RecordBatch, spans: dict[int, list[tuple[int, int]]], words: np.ndarray, drop_share: float) -> pa.RecordBatch:
+    if not spans:
+        return piece
+    at = piece.schema.get_field_index("text")
+    texts, stays = piece.column(at).to_pylist(), np.ones(piece.num_rows, bool)
+    for d, own in spans.items():
+        stays[d] = sum(b - a for a, b in own) <= drop_share * words[d]
+        if stays[d]:
+            texts[d] = _cut(texts[d], own)
+    return piece.set_column(at, piece.schema.field(at), pa.array(texts, piece.schema.field(at).type)).filter(pa.array(stays))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5) -> DataFrame:
-    """Takes benchmark passages out of texts: doc_id, text, removed_words.
+    """The documents, with all their columns, without benchmark passages.
 
     The characters from a span's first word to its last go. A document of which
     more than drop_share of the words is covered goes as a whole.
     """
-    found = contaminated_spans(docs, benchmark, window, keep_text=True)
-    kept = found.where(F.expr(f"aggregate(zip_with(starts, ends, (a, b) -> b - a), 0, (s, x) -> s + x) <= {drop_share} * n_words"))
-    return map_arrow(kept, _cut, "doc_id long, text string, removed_words long")
+    blocks = _blocks(benchmark, window)
+    if len(blocks) == 1:
+        windows = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
+        def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in B.chunks(batches):
+                words = B.scan(piece.column("text"))
+                yield _cleaned(piece, _spans_of(words, windows.value)[0], words.counts(), drop_share)
 
-_CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed_words", pa.int64())])
+        return map_arrow(docs, cleaned, docs.schema)
+    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    spans = _spans(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__row").alias("row")), blocks)
+    both = rows.join(spans.select(F.col("row").alias("__row"), F.col("n_words").alias("__n"), F.col("starts").alias("__a"), F.col("ends").alias("__b")), "__row")
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = {d: list(zip(x, y, strict=True)) for d, (x, y) in enumerate(zip(b.column("__a").to_pylist(), b.column("__b").to_pylist(), strict=True)) if x}
+            done = _cleaned(b, spans, b.column("__n").to_numpy(), drop_share)
+            yield done.select(docs_columns)
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in B.chunks(batches):
-        texts, removed = [], []
-        for t, starts, ends in zip(piece.column("text").to_pylist(), piece.column("starts").to_pylist(), piece.column("ends").to_pylist(), strict=True):
-            removed.append(sum(ends) - sum(starts))
-            if starts:
-                raw = np.frombuffer(t.encode(), np.uint8)
-                inside = np.concatenate([[False], B.ALNUM[raw], [False]])
-                s, e = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
-                keep = np.ones(len(raw), bool)
-                for a, b in zip(starts, ends, strict=True):
-                    keep[s[a] : e[b - 1]] = False
-                t = raw[keep].tobytes().decode()
-            texts.append(t)
-        yield batch(_CUT, piece.column("doc_id"), texts, removed)
+    docs_columns = docs.columns
+    return map_arrow(both, joined, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -172,6 +198,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
-
-def items_sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -28,7 +28,6 @@ BLOCK_BYTES = 8 << 20
 _BLOCK = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
 _MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _MESSAGE_SQL = "shard int, block long, payload binary"
-_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 #: The block number of what a shard says to all.
 TO_ALL = -1
 _OWN = -1
@@ -57,7 +56,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch(_BLOCK, [first + made], [sum(p.num_rows for p in pieces)], [_packed(pieces)])
 
     for piece in B.chunks(batches, limit=BLOCK_BYTES):
-        piece = pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text").cast(pa.string())], schema=_DOCS)
         n = len(B.buffers(piece.column("text"))[0])
         if pieces and size + n > BLOCK_BYTES:
             yield out()
@@ -68,9 +66,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def block_table(docs: DataFrame, label: str) -> DataFrame:
-    """Documents in blocks (block, n_docs, payload), written to the shared folder."""
-    return shared_table(map_arrow(documents(docs), _blocks, "block long, n_docs long, payload binary"), label)
+def block_table(docs: DataFrame, label: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents in blocks (block, n_docs, payload), written to the shared folder; columns of keep travel along as keep0, keep1, ..."""
+    rows = documents(docs) if not keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
+    return shared_table(map_arrow(rows, _blocks, "block long, n_docs long, payload binary"), label)
 
 
 def shard_limits(keys: np.ndarray, shards: int) -> np.ndarray:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .common import batch, frames, pack, pack_sorted, unframe, unpack, unpack_sorted
@@ -88,10 +89,23 @@ def _done(docs: pa.RecordBatch, replies: list[bytes | None]) -> pa.RecordBatch:
         a, b = lines.doc[d], lines.doc[d + 1]
         texts[d] = b"\n".join(lines.data[lines.start[i] : lines.end[i]].tobytes() for i in range(a, b) if not gone[i]).decode()
     counts = np.where(docs.column("text").is_null().to_numpy(zero_copy_only=False), 0, np.diff(lines.doc))
-    return batch(_SCHEMA, docs.column("doc_id"), counts, removed, texts)
+    own = batch(_SCHEMA, docs.column("doc_id"), counts, removed, texts)
+    more = [n for n in docs.schema.names if n.startswith("keep")]
+    return pa.RecordBatch.from_arrays([*own.columns, *(docs.column(n) for n in more)], names=[*own.schema.names, *more])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_lines, n_removed, and the text of the lines that stay."""
-    blocks = block_table(docs, "line-blocks")
-    return finish(blocks, ask(blocks, _request, _respond, "line-firsts"), _done, "doc_id long, n_lines long, n_removed long, text string")
+_SQL = "doc_id long, n_lines long, n_removed long, text string"
+
+
+def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, n_lines, n_removed, the text of the lines that stay, and columns to keep as keep0, keep1, ..."""
+    blocks = block_table(docs, "line-blocks", keep)
+    more = "".join(f", keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return finish(blocks, ask(blocks, _request, _respond, "line-firsts"), _done, _SQL + more)
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without later occurrences; a text of which nothing stays goes as a whole."""
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    done = dedup_lines(docs, keep).where("n_removed = 0 OR text <> ''")
+    return done.select(*(F.col(f"keep{keep.index(c)}").alias(c) if c in keep else F.col(c) for c in docs.columns))

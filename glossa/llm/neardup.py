@@ -212,3 +212,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes = classes.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "first")
     return classes.select("doc_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+#: Most ids that are broadcast to take documents out; more are joined by exchange.
+BROADCAST_IDS = 500_000
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, of which each class keeps its smallest id."""
+    gone = shared_table(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "dup-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)

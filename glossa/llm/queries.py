@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linededup, lm, neardup, packing, secrets, tokenfile
+from . import decontaminate, embeddings, licenses, linededup, lm, neardup, packing, secrets, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_decontaminate": op2_decontaminate,
@@ -62,6 +70,8 @@ QUERIES: dict[str, Query] = {
     "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -64,8 +64,8 @@ def test_contamination(spark, sf_dir, docs_of, monkeypatch, block):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = decontaminate.digest(decontaminate.contaminated_spans(docs_of(docs), bench)).collect()
     assert Counter(map(tuple, got)) == Counter(brute_contamination(docs, BENCH))
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs_of([(1, f"before and again and more so, and ever on {passage} after it all"), (2, passage), (3, None)]), bench).collect()}
-    assert cut == {1: "before and again and more so, and ever on  twelve after it all", 3: None}
+    cut = {r["doc_id"]: (r["text"], r["row"]) for r in decontaminate.remove_spans(docs_of([(1, f"before and again and more so, and ever on {passage} after it all"), (2, passage), (3, None)]), bench).collect()}
+    assert cut == {1: ("before and again and more so, and ever on  twelve after it all", "x"), 3: (None, "x")}
 
 
 def test_contamination_of_tables(spark, sf_dir):
