@@ -1,9 +1,10 @@
 """Token ids of whole columns through the tokenizers library, each distinct run of text once.
 
 Both vocabularies' pre-tokenisers cut before a white-space run that follows
-other text, and nothing they do looks across that place. So a text is split
-into runs (white space, then what is not), distinct runs are encoded by the
-library, and the ids are put together again; ids equal those of the whole text.
+other text, and before ASCII punctuation that follows an ASCII letter or digit;
+nothing they do looks across such a place. So a text is split into runs there,
+distinct runs are encoded by the library, and the ids are put together again;
+ids equal those of the whole text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ def tokenizer_json(path: str) -> str:
 
 def broadcast_tokenizer(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(tokenizer_json(path))
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[i for i in range(128) if chr(i).isalnum()]] = True
 
 
 class Encoder:
@@ -77,6 +82,9 @@ class Encoder:
         blank = ~B.NONSPACE[raw]
         cut = blank.copy()
         cut[1:] &= ~blank[:-1]
+        if b"<|" not in raw.tobytes():
+            # Punctuation behind a letter or digit begins a new piece in both vocabularies' patterns; special tokens are left whole.
+            cut[1:] |= _PUNCTUATION[raw[1:]] & _PLAIN[raw[:-1]]
         cut[at[:-1][np.diff(at) > 0]] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], len(raw))
