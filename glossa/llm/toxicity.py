@@ -33,8 +33,8 @@ from . import bytescan as B
 from .common import batch, documents, id_crc, map_arrow
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 64 << 20
+SAMPLE_DOCS = 2000
+SAMPLE_BYTES = 12 << 20
 DISCOUNT = 0.75
 #: Least value of the test statistic (chi-squared with one degree of freedom) at which classes differ.
 DIFFERENT = 20.0
@@ -193,7 +193,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS)
     ids = spark.createDataFrame([(i, t) for t, own in ((1, chosen[0]), (0, chosen[1])) for i in own[:n]], "doc_id long, toxic int")
     left = SAMPLE_BYTES
     for r in documents(docs).join(F.broadcast(ids), "doc_id").orderBy(*order).limit(4 * most).toLocalIterator():
-        left -= len(r["text"] or "")
+        left -= len((r["text"] or "").encode())
         if left < 0:
             return
         yield r["text"] or "", r["toxic"]
