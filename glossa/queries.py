@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_literature, queries_rows, queries_runs
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**queries_literature.QUERIES, **queries_rows.QUERIES, **queries_runs.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries_literature.ORACLE_SQL, **queries_rows.ORACLE_SQL, **queries_runs.ORACLE_SQL}
