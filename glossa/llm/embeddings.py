@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, partitions, shared_table
-from .graph import components
+from .graph import components, forest
 
 THRESHOLD = 0.9
 SAMPLE = 8192
@@ -175,22 +175,6 @@ def _probes(shared):
 _FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
 
-def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows and columns of a boolean matrix: the number of the component of each, or one of its own."""
-    q, m = linked.shape
-    label = np.arange(q + m)
-    rows, columns = np.nonzero(linked)
-    while len(rows):
-        before = label.copy()
-        low = np.minimum(label[rows], label[q + columns])
-        np.minimum.at(label, rows, low)
-        np.minimum.at(label, q + columns, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label[:q], label[q:]
-
-
 class _Group:
     """Probes and members of one chunk pair of a cell."""
 
@@ -225,7 +209,7 @@ class _Group:
             for ids, gained in ((q_id, linked @ m_n), (m_id, q_n @ linked)):
                 for k in np.flatnonzero(gained).tolist():
                     counts[int(ids[k])] = counts.get(int(ids[k]), 0) + int(gained[k])
-            q_label, m_label = _forest(linked)
+            q_label, m_label = forest(linked)
             ids = np.concatenate([q_id, m_id])
             label = np.concatenate([q_label, m_label])
             for k in np.flatnonzero(label != np.arange(len(label))).tolist():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,19 @@ def components(edges: DataFrame) -> DataFrame:
         if not new.where("moved").limit(1).count():
             break
     return tree.select(F.col("u").alias("node"), F.col("p").alias("component")).union(tree.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a boolean matrix: the number of the component of each, or one of its own."""
+    q, m = linked.shape
+    label = np.arange(q + m)
+    rows, columns = np.nonzero(linked)
+    while len(rows):
+        before = label.copy()
+        low = np.minimum(label[rows], label[q + columns])
+        np.minimum.at(label, rows, low)
+        np.minimum.at(label, q + columns, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label[:q], label[q:]

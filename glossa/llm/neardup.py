@@ -13,8 +13,10 @@ shingles found elsewhere make up less than the threshold of its weight cannot be
 similar to any other, and gets no signature: that filter loses nothing. Others
 get SAMPLES consistent samples in bands of ROWS. Texts of equal word sequences
 are one class from the start. In each bucket every member is compared with the
-smallest one; those that are not similar to it form the bucket of the next
-round, until no bucket has two. Verified pairs are joined to components.
+one that shares the largest buckets, the likeliest origin of the others; members
+unlike it are compared with all others of the bucket, a chunk pair at a time, by
+exact matrix products that send on a spanning forest of the links, never pairs.
+Links are joined to components.
 
 Defined cases: texts without words (null, empty, punctuation) are alike to
 nothing, each its own class; rows that share a doc_id share its class. Shingles
@@ -31,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import batch, frames, map_arrow, pack, pack_sorted, shared_table, unframe, unpack, unpack_sorted
+from .common import batch, frames, map_arrow, pack, pack_sorted, partitions, shared_table, unframe, unpack, unpack_sorted
 from .exchange import ask, block_table, finish, from_planes, planes, shard_limits, summed
-from .graph import components
+from .graph import components, forest
 
 SHINGLE = 5
 THRESHOLD = 0.8
 IDF_SHARE = 0.25
 SAMPLES, ROWS = 64, 4
+#: Documents of a bucket that one comparison takes at once, and columns of its matrices.
+CHUNK, SLAB = 1024, 4096
 
 
 class _Shingles:
@@ -179,6 +183,102 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_JUDGED, b.column("u"), b.column("v"), alike)
 
 
+class _Block:
+    """Probes and members of one chunk pair of a bucket: exact similarities by matrix products."""
+
+    def __init__(self) -> None:
+        self.rows: tuple[list, list] = ([], [])
+
+    def links(self) -> list[tuple[int, int]]:
+        """A spanning forest of the links between probes and members."""
+        probes, members = self.rows
+        if not probes or not members:
+            return []
+        ids = np.array([u for u, _ in probes + members], np.int64)
+        sets = [_weighted(v) for _, v in probes + members]
+        sizes = np.array([len(k) for k, _ in sets])
+        row = np.repeat(np.arange(len(sets)), sizes)
+        key = np.concatenate([k for k, _ in sets]).astype(np.int64)
+        weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+        total = np.bincount(row, weight, len(sets))
+        # One column for each weight that a shingle takes: the lesser of two weights is the sum of the steps that both reach.
+        order = np.lexsort((weight, key))
+        k, w, r = key[order], weight[order], row[order]
+        new_key = np.concatenate([[True], k[1:] != k[:-1]])
+        new = new_key | np.concatenate([[True], w[1:] != w[:-1]])
+        column = np.cumsum(new) - 1
+        first = column[new_key][np.cumsum(new_key) - 1]
+        level = column - first
+        at = np.flatnonzero(new)
+        step = np.where(new_key[at], w[at], w[at] - np.concatenate([[0.0], w[at][:-1]]))
+        r, c = np.repeat(r, level + 1), np.repeat(first, level + 1) + B.ragged(level + 1)
+        n = len(probes)
+        both = (np.bincount(c[r < n], minlength=len(step)) > 0) & (np.bincount(c[r >= n], minlength=len(step)) > 0)
+        used = both[c]
+        r, c = r[used], (np.cumsum(both) - 1)[c[used]]
+        step = step[both]
+        shared = np.zeros((n, len(members)), np.float32)
+        order = np.argsort(c, kind="stable")
+        r, c = r[order], c[order]
+        for a in range(0, len(step), SLAB):
+            z = min(a + SLAB, len(step))
+            lo, hi = np.searchsorted(c, [a, z])
+            x = np.zeros((len(sets), z - a), np.float32)
+            x[r[lo:hi], c[lo:hi] - a] = 1
+            shared += (x[:n] * step[a:z].astype(np.float32)) @ x[n:].T
+        linked = shared >= (THRESHOLD - 1e-5) * (total[:n, None] + total[None, n:] - shared)
+        linked &= ids[:n, None] != ids[None, n:]
+        label = np.concatenate(forest(linked))
+        return [(int(ids[i]), int(ids[label[i]])) for i in np.flatnonzero(label != np.arange(len(label))) if ids[i] != ids[label[i]]]
+
+
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, block = None, _Block()
+    for b in batches:
+        for key, qc, mc, side, u, v in zip(*(b.column(c).to_pylist() for c in ("key", "qc", "mc", "side", "u", "vector")), strict=True):
+            if (key, qc, mc) != at:
+                if found := block.links():
+                    yield batch(_LINKS, [x for x, _ in found], [y for _, y in found])
+                at, block = (key, qc, mc), _Block()
+            block.rows[side].append((u, v))
+    if found := block.links():
+        yield batch(_LINKS, [x for x, _ in found], [y for _, y in found])
+
+
+def _similar_pairs(signs: DataFrame) -> DataFrame | None:
+    """Links (u, v) that join all similar documents that share a bucket, or None without any bucket of two."""
+    spark = signs.sparkSession
+    vectors = signs.select(F.col("doc_id").alias("u"), "vector")
+    buckets = shared_table(signs.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u")).distinct(), "dup-buckets")
+    sizes = shared_table(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "dup-sizes")
+    members = shared_table(buckets.join(sizes, "key"), "dup-members")
+    if not members.limit(1).count():
+        return None
+    # The member of the largest buckets is the likeliest origin of the others.
+    scored = members.join(members.groupBy("u").agg(F.sum("n").alias("s")), "u")
+    leads = scored.groupBy("key").agg(F.max_by("u", F.struct("s", -F.col("u"))).alias("v"), F.count("*").alias("n"), F.min("u").alias("least"), F.sum(F.xxhash64("u").cast("decimal(20,0)")).alias("sum"))
+    # Of buckets with the same members one is enough.
+    leads = shared_table(leads.groupBy("n", "least", "sum", "v").agg(F.min("key").alias("key")).select("key", "v"), "dup-leads")
+    pairs = shared_table(members.select("key", "u").join(leads, "key").where("u <> v"), "dup-pairs")
+    both = pairs.select("u", "v").distinct().join(vectors.withColumnRenamed("vector", "a"), "u").join(vectors.select(F.col("u").alias("v"), F.col("vector").alias("b")), "v")
+    judged = shared_table(map_arrow(both.select("u", "v", "a", "b"), _judge, "u long, v long, alike boolean"), "dup-judged")
+    links = judged.where("alike").select("u", "v")
+    # Members unlike their bucket's first are compared with all others of the bucket.
+    rest = shared_table(pairs.join(judged, ["u", "v"]).select("key", "u", "alike"), "dup-rest")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("alike")).alias("q")).where("q > 0 AND m > 1")
+    sizes = shared_table(sizes.select("key", F.ceil(F.col("m") / CHUNK).alias("ms"), F.ceil(F.col("q") / CHUNK).alias("qs")), "dup-chunks")
+    spot = F.pmod(F.xxhash64("u"), F.lit(1 << 40))
+    r = rest.join(sizes, "key")
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = r.where("NOT alike").select("key", (spot % F.col("qs")).alias("qc"), span("ms").alias("mc"), F.lit(0).alias("side"), "u")
+    m = r.select("key", span("qs").alias("qc"), (spot % F.col("ms")).alias("mc"), F.lit(1).alias("side"), "u")
+    dealt = q.unionByName(m).join(vectors, "u").repartition(partitions(spark), "key", "qc", "mc").sortWithinPartitions("key", "qc", "mc", "side")
+    return links.unionByName(shared_table(map_arrow(dealt, _compare, "u long, v long"), "dup-links"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, component_id (the class's smallest doc_id), kept (it is that document)."""
     blocks = block_table(docs, "dup-blocks")
@@ -189,21 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A table of its own: the join below then exchanges both sides, and a hot class can be dealt to many tasks.
     firsts = shared_table(prints.where("n_words > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "dup-firsts")
     signs = shared_table(signed.where("bands IS NOT NULL").join(firsts.withColumnRenamed("first", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "bands", "vector"), "dup-signs")
-    vectors = signs.select("doc_id", "vector")
-    buckets = signs.select(F.explode("bands").alias("key"), F.col("doc_id").alias("u")).distinct()
-    links = None
-    while True:
-        buckets = shared_table(buckets, "dup-buckets")
-        least = shared_table(buckets.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v"), "dup-least")
-        pairs = shared_table(buckets.join(least, "key").where("u <> v"), "dup-pairs")
-        if not pairs.limit(1).count():
-            break
-        both = pairs.select("u", "v").distinct().join(vectors.select(F.col("doc_id").alias("u"), F.col("vector").alias("a")), "u")
-        both = both.join(vectors.select(F.col("doc_id").alias("v"), F.col("vector").alias("b")), "v")
-        judged = shared_table(map_arrow(both.select("u", "v", "a", "b"), _judge, "u long, v long, alike boolean"), "dup-judged")
-        new = judged.where("alike").select("u", "v")
-        links = new if links is None else links.union(new)
-        buckets = pairs.join(judged.where("NOT alike"), ["u", "v"], "left_semi").select("key", "u")
+    links = _similar_pairs(signs)
     classes = prints.where("n_words > 0").join(firsts, ["h1", "h2"]).select("doc_id", "first").unionByName(prints.where("n_words = 0").select("doc_id", F.col("doc_id").alias("first")))
     if links is not None:
         found = shared_table(components(links), "dup-components")
