@@ -91,6 +91,11 @@ def sentences(text: Column | str) -> Column:
     return F.filter(F.transform(found, squeezed), lambda s: s != "")
 
 
+def _cutter(pattern: str):
+    # A lambda of two arguments would get the element's place as the second.
+    return lambda p: F.split(p, pattern)
+
+
 def sections(text: Column | str) -> Column:
     """Logical sections: split at known headers, then numbered headers, then blank lines; blank parts go."""
     parts = F.array(_col(text))
@@ -99,7 +104,7 @@ def sections(text: Column | str) -> Column:
         r"\n\s*\d+\.\s+[A-Z][^.\n]+\n",
         r"\n\n+",
     ):
-        parts = F.filter(F.flatten(F.transform(parts, lambda p, pattern=pattern: F.split(p, pattern))), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+        parts = F.filter(F.flatten(F.transform(parts, _cutter(pattern))), lambda p: squeezed(p) != "")
     return parts
 
 
@@ -116,7 +121,7 @@ def keep_leading_sections(text: Column | str, token_limit: int) -> Column:
 
 def hits(text: Column, terms: list[str]) -> Column:
     """How many of the terms a (lower-case) text contains."""
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms], F.lit(0))
 
 
 def clean_content(text: Column | str) -> Column:

@@ -223,6 +223,10 @@ def named_sections_udf(text: pd.Series) -> pd.Series:
     return pd.Series([[{"name": n, "text": t} for n, t in named_sections(x or "")] for x in text])
 
 
+def _named(name: str):
+    return lambda s: s["name"] == name
+
+
 def fit_context(texts: DataFrame, limit: int = C.CONTEXT_LIMITS["flash"], id_column: str = "pmid") -> DataFrame:
     """Drops sections in a fixed order while a text exceeds 80 % of the limit; the rest is joined in header order.
 
@@ -236,12 +240,12 @@ def fit_context(texts: DataFrame, limit: int = C.CONTEXT_LIMITS["flash"], id_col
     t = t.withColumn("_s", sized)
     state = F.struct(F.col("original_tokens").alias("n"), F.array().cast("array<string>").alias("gone"))
     for name in C.SECTION_DROP_ORDER:
-        own = F.aggregate(F.filter("_s", lambda s, name=name: s["name"] == name), F.lit(-1), lambda a, s: s["n"])
+        own = F.aggregate(F.filter("_s", _named(name)), F.lit(-1), lambda a, s: s["n"])
         drop = (state["n"] > high) & (own >= 0)
         state = F.struct(F.when(drop, state["n"] - own).otherwise(state["n"]).alias("n"), F.when(drop, F.array_append(state["gone"], F.lit(name))).otherwise(state["gone"]).alias("gone"))
     t = t.withColumn("_d", F.when(F.col("_s").isNotNull(), state))
     order = ["_preamble", *dict.fromkeys(k for k, _ in C.SECTION_HEADERS)]
-    kept = F.array_compact(F.concat(*[F.transform(F.filter("_s", lambda s, n=n: (s["name"] == n) & ~F.array_contains("_d.gone", n)), lambda s: s["text"]) for n in order]))
+    kept = F.array_compact(F.concat(*[F.when(~F.array_contains("_d.gone", n), F.transform(F.filter("_s", _named(n)), lambda s: s["text"])).otherwise(F.array().cast("array<string>")) for n in order]))
     return t.withColumns({
         "tokens": F.coalesce("_d.n", "original_tokens"), "removed": F.array_join(F.coalesce("_d.gone", F.array().cast("array<string>")), "+"),
         "text": F.when(F.col("_s").isNotNull(), F.array_join(kept, "\n\n")).otherwise(F.col("text")), "truncated": F.col("_s").isNotNull(),
