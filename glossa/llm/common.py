@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -31,10 +34,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/glossa/{label}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+#: Tasks for each core of the cluster that write a table.
+WRITERS = 3
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """At most WRITERS partitions a core, so that small tables do not become very many files; nothing is shuffled."""
+    return df.coalesce(WRITERS * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def shared_table(df: DataFrame, label: str, numbered: bool = False) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and lost executors cost nothing.
+
+    numbered: rows carry the number of the partition that made them, so partitions stay as they are.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df if numbered else few_files(df)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,9 +60,25 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def release_memory() -> None:
+    """Gives what Python and Arrow no longer use back to the system; workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library other than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow, with the worker's memory released at a task's end."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(released, schema)
 
 
 def partitions(spark: SparkSession) -> int:

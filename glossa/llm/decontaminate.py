@@ -116,7 +116,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = _blocks(benchmark, window)
     if len(blocks) == 1:
         return _spans(documents(docs).withColumn("row", F.lit(0).cast("long")), blocks).drop("row")
-    return _spans(shared_table(documents(docs).withColumn("row", F.monotonically_increasing_id()), "rows"), blocks).drop("row")
+    return _spans(shared_table(documents(docs).withColumn("row", F.monotonically_increasing_id()), "rows", numbered=True), blocks).drop("row")
 
 
 def _spans(rows: DataFrame, blocks: list[WindowSet]) -> DataFrame:
@@ -176,7 +176,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
                 yield _cleaned(piece, _spans_of(words, windows.value)[0], words.counts(), drop_share)
 
         return map_arrow(docs, cleaned, docs.schema)
-    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", numbered=True)
     spans = _spans(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__row").alias("row")), blocks)
     both = rows.join(spans.select(F.col("row").alias("__row"), F.col("n_words").alias("__n"), F.col("starts").alias("__a"), F.col("ends").alias("__b")), "__row")
 

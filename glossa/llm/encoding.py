@@ -19,7 +19,9 @@ from pyspark.sql import SparkSession
 from . import bytescan as B
 
 #: Runs that a worker remembers between batches.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 2 << 20
 #: Runs that are encoded in one text, between special tokens, which the library cuts out first.
 TOGETHER = 512
 

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import batch, documents, map_arrow, partitions, shared_table
+from .common import batch, documents, few_files, map_arrow, partitions, shared_table
 
 #: Bytes of text in a block; a longer single text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _BLOCK = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
 _MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
@@ -69,7 +69,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_table(docs: DataFrame, label: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents in blocks (block, n_docs, payload), written to the shared folder; columns of keep travel along as keep0, keep1, ..."""
     rows = documents(docs) if not keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
-    return shared_table(map_arrow(rows, _blocks, "block long, n_docs long, payload binary"), label)
+    return shared_table(map_arrow(rows, _blocks, "block long, n_docs long, payload binary"), label, numbered=True)
 
 
 def shard_limits(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def finish(blocks: DataFrame, answers: DataFrame, done: Finish, schema: str, sha
     own = blocks.select(F.lit(_OWN).alias("shard"), "block", "payload")
     home = F.pmod(F.shiftright("block", 24) * 4 + F.col("block").bitwiseAND((1 << 24) - 1), F.lit(n)).cast("int")
     both = own.unionByName(answers.where(F.col("block") != TO_ALL)).repartitionById(n, home).sortWithinPartitions("block", "shard")
-    return map_arrow(both, finished, schema)
+    return few_files(map_arrow(both, finished, schema))
 
 
 def by_key(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .common import batch, documents, map_arrow, shared_table
-from .encoding import Encoder, broadcast_tokenizer, crc, with_end
+from .encoding import ENCODED_BYTES, Encoder, broadcast_tokenizer, crc, with_end
 
 SEQUENCE = 2048
 OPEN = 512
@@ -80,7 +80,7 @@ def _packer(definition, end: int, size: int, most_open: int):
         def out(rows: list[tuple], fill: int) -> Iterator[tuple]:
             return ((*r[:5], first + r[5], r[6], fill) for r in rows)
 
-        for piece in B.chunks(batches):
+        for piece in B.chunks(batches, limit=ENCODED_BYTES):
             encoder = encoder or Encoder(definition.value)
             ids, at = with_end(*encoder.encode(piece.column("text")), end)
             done: list[tuple] = []
@@ -124,7 +124,7 @@ def _merger(size: int):
 def best_fit_pack(docs: DataFrame, tokenizer: str, end: int, size: int = SEQUENCE, most_open: int = OPEN) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = shared_table(map_arrow(documents(docs), _packer(broadcast_tokenizer(spark, tokenizer), end, size, most_open), _PIECES_SQL), "pieces")
+    pieces = shared_table(map_arrow(documents(docs), _packer(broadcast_tokenizer(spark, tokenizer), end, size, most_open), _PIECES_SQL), "pieces", numbered=True)
     left = pieces.where("fill >= 0").select("bin", "fill").distinct()
     group = (F.shiftright("bin", 36) / MERGED).cast("int")
     groups = (pieces.agg(F.max(F.shiftright("bin", 36)).alias("m")).first()["m"] or 0) // MERGED + 1

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import batch, documents, map_arrow, new_path, pack, partitions, unpack
-from .encoding import Encoder, broadcast_tokenizer, crc, with_end
+from .common import batch, documents, few_files, map_arrow, new_path, pack, partitions, unpack
+from .encoding import ENCODED_BYTES, Encoder, broadcast_tokenizer, crc, with_end
 
 MAGIC = b"GTB1"
 BLOCK = 4096
@@ -110,7 +110,7 @@ _ENCODED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tokens",
 def _encoder(definition, bounds: np.ndarray, end: int, bits: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for piece in B.chunks(batches):
+        for piece in B.chunks(batches, limit=ENCODED_BYTES):
             encoder = encoder or Encoder(definition.value)
             ids, at = with_end(*encoder.encode(piece.column("text")), end)
             docs = piece.column("doc_id")
@@ -162,7 +162,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, shards: i
     encoded = map_arrow(rows, _encoder(definition, bounds, end, bits), "shard int, doc_id long, tokens binary")
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tokens")
     # The text writer puts a string's bytes down as they are; the cast does not change them.
-    map_arrow(dealt, _writer(bits), "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    few_files(map_arrow(dealt, _writer(bits), "value binary")).select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
 _TOTALS = pa.schema([("shard", pa.int64()), ("tokens", pa.int64())])
