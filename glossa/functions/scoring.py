@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -54,8 +55,15 @@ def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, disti
     p = papers.withColumn("_raw", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "abstract"))
     p = p.withColumn("_low", F.lower("_raw"))
     raw, low = F.col("_raw"), F.col("_low")
-    known = F.filter(_all(raw, r"\b(?:" + "|".join(s.symbols) + r")\b"), lambda x: ~x.isin(list(s.not_symbols)))
-    coded = F.filter(_all(raw, C.SYMBOL_PATTERN), lambda x: ~x.isin(list(s.not_symbols)))
+    allowed = lambda x: ~x.isin(list(s.not_symbols))
+    if all(re.fullmatch("[A-Z][A-Z0-9]*", x) for x in s.symbols):
+        # Both kinds of symbol are whole tokens of capitals and digits: one pass finds the tokens.
+        p = p.withColumn("_tokens", _all(raw, r"\b[A-Z][A-Z0-9]*\b"))
+        coded = F.filter("_tokens", lambda x: x.rlike(C.SYMBOL_PATTERN) & allowed(x))
+        known = F.filter("_tokens", lambda x: x.isin(list(s.symbols)) & allowed(x))
+    else:
+        p = p.withColumn("_tokens", F.lit(None))
+        coded, known = F.filter(_all(raw, C.SYMBOL_PATTERN), allowed), F.filter(_all(raw, r"\b(?:" + "|".join(map(re.escape, s.symbols)) + r")\b"), allowed)
     p = p.withColumns({"_symbols": F.concat(coded, known), "_variants": F.concat(*[_all(F.col("abstract"), v) for v in s.variants]), "_positive": _found(low, s.keywords), "_negative": _found(low, s.negatives), "_context": hits(low, list(s.context)) > 0, "_phrases": hits(low, list(s.phrases))})
     weight = F.create_map(*[F.lit(x) for kv in s.keywords.items() for x in kv])
     p = p.withColumns({"_n": F.size(F.array_distinct("_symbols")), "_v": F.size(F.array_distinct("_variants") if distinct_variants else F.col("_variants")), "_w": F.aggregate("_positive", F.lit(0), lambda a, k: a + weight[k])})
@@ -65,7 +73,7 @@ def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, disti
         score.cast("int").alias("score"), F.col("_positive").alias("positive"), F.col("_negative").alias("negative"), F.slice("_symbols", 1, 10).alias("symbols"),
         F.col("_n").alias("n_symbols"), F.col("_v").alias("n_variants"), F.col("_context").alias("context"),
     )
-    used = ["_raw", "_low", "_symbols", "_variants", "_positive", "_negative", "_context", "_phrases", "_n", "_v", "_w"]
+    used = ["_raw", "_low", "_tokens", "_symbols", "_variants", "_positive", "_negative", "_context", "_phrases", "_n", "_v", "_w"]
     return p.withColumn(name, F.when(F.length("abstract") >= C.SHORTEST_ABSTRACT, parts)).drop(*used)
 
 

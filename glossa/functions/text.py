@@ -25,17 +25,19 @@ def squeezed(text: Column | str) -> Column:
 
 
 def normalize_slashes(text: Column | str) -> Column:
-    """Slash look-alikes, LaTeX commands, ``mu`` before units and the micro sign."""
-    c = F.translate(_col(text), C.SLASHES, "/" * len(C.SLASHES))
-    c = F.regexp_replace(replaced(c, C.LATEX), r"\bmu\s+([gGlLmMuU])", "μ$1")
-    return F.replace(c, F.lit("µ"), F.lit("μ"))
+    """Slash look-alikes, LaTeX commands, ``mu`` before units and the micro sign. Texts without their signs are passed through."""
+    c = _col(text)
+    c = F.when(c.rlike(f"[{C.SLASHES}]"), F.translate(c, C.SLASHES, "/" * len(C.SLASHES))).otherwise(c)
+    c = F.when(F.contains(c, F.lit("\\")), replaced(c, C.LATEX)).otherwise(c)
+    return F.replace(F.regexp_replace(c, r"\bmu\s+([gGlLmMuU])", "μ$1"), F.lit("µ"), F.lit("μ"))
 
 
 def normalize_drift(text: Column | str) -> Column:
-    """Soft hyphens go, then hyphens at line ends; dashes and ligatures become plain."""
-    c = F.replace(_col(text), F.lit("­"), F.lit(""))
-    c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
-    return replaced(F.translate(c, "‑–—", "---"), C.LIGATURES)
+    """Soft hyphens go, then hyphens at line ends; dashes and ligatures become plain. Texts without their signs are passed through."""
+    c = F.replace(_col(text), F.lit("\u00ad"), F.lit(""))
+    c = F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")).otherwise(c)
+    odd = "\u2011\u2013\u2014"
+    return F.when(c.rlike(f"[{odd}{''.join(C.LIGATURES)}]"), replaced(F.translate(c, odd, "---"), C.LIGATURES)).otherwise(c)
 
 
 def normalized(text: Column | str) -> Column:

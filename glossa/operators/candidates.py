@@ -12,21 +12,26 @@ from ..functions import text
 
 
 def mention_index(texts: DataFrame, id_column: str = "pmid", text_column: str = "text") -> DataFrame:
-    """Distinct normalized mentions: id, mention, gene, variant, sentence, rule."""
-    s = texts.select(id_column, F.explode(text.sentences(text_column)).alias("sentence"))
+    """Distinct normalized mentions: id, mention, gene, variant, sentence, rule.
 
-    def rule(name: str, pattern: str, gene: Column, variant: Column, where: Column | None = None) -> DataFrame:
-        rows = s if where is None else s.where(where)
-        found = rows.where(F.col("sentence").rlike(pattern)).select(id_column, "sentence", F.explode(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0))).alias("mention"))
-        return found.select(id_column, "mention", gene.alias("gene"), variant.alias("variant"), "sentence", F.lit(name).alias("rule"))
-
-    locus = lambda p: F.upper(F.regexp_extract("mention", p, 1))
-    allele = lambda p: F.concat(F.lit("HLA-"), locus(p), F.lit("*"), F.regexp_extract("mention", p, 2))
+    Texts are split once; only sentences that hold a rule's leading letters meet the rules, all in one pass.
+    """
+    lead = r"(?i)IFN|interferon|TNF|MMP|HLA"
+    s = texts.where(F.col(text_column).rlike(lead)).select(id_column, F.explode(text.sentences(text_column)).alias("sentence")).where(F.col("sentence").rlike(lead))
     inner = r"(?i)([ABC])w?[\s\-]*\*?(\d{2,4}(?::\d{2,4}){0,3})$"
-    rules = [rule(n, p, F.lit(g), F.lit("")) for n, g, p in C.ALIAS_RULES]
-    rules.append(rule("hla_direct_allele", C.HLA_DIRECT, F.concat(F.lit("HLA-"), locus(inner)), allele(inner)))
-    rules.append(rule("hla_class_i_allele_shorthand", C.HLA_SHORT, F.concat(F.lit("HLA-"), locus(inner)), allele(inner), F.col("sentence").rlike(C.HLA_CONTEXT)))
-    return reduce(DataFrame.unionByName, rules).distinct()
+
+    def found(name: str, pattern: str, gene: str | None) -> Column:
+        def shaped(m: Column) -> Column:
+            locus = F.concat(F.lit("HLA-"), F.upper(F.regexp_extract(m, inner, 1)))
+            g, v = (F.lit(gene), F.lit("")) if gene else (locus, F.concat(locus, F.lit("*"), F.regexp_extract(m, inner, 2)))
+            return F.struct(m.alias("mention"), g.alias("gene"), v.alias("variant"), F.lit(name).alias("rule"))
+
+        return F.transform(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)), shaped)
+
+    rules = [found(n, p, g) for n, g, p in C.ALIAS_RULES] + [found("hla_direct_allele", C.HLA_DIRECT, None)]
+    short = found("hla_class_i_allele_shorthand", C.HLA_SHORT, None)
+    rules.append(F.when(F.col("sentence").rlike(C.HLA_CONTEXT), short).otherwise(F.slice(short, 1, 0)))
+    return s.select(id_column, "sentence", F.explode(F.concat(*rules)).alias("m")).select(id_column, "m.mention", "m.gene", "m.variant", "sentence", "m.rule").distinct()
 
 
 def mentions_for(index: DataFrame, candidates: DataFrame, id_column: str = "pmid") -> DataFrame:
