@@ -49,12 +49,21 @@ def sql_with(names: list[str], query: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in names) + " " + query
 
 
+#: Tables of texts below this size come in fewer row groups than there are cores, and are dealt out before expensive expressions.
+SMALL_BYTES = 24 << 20
+_TEXTS = ("documents", "pages")
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in _TEXTS or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table of a folder; views carry the folder's hash, so that folders do not mix."""
+    """A derived table of a folder."""
     query = TABLES[name]
     for b in BASE:
         query = query.replace(f"FROM {b}", f"FROM {{{b}}}")
