@@ -1,6 +1,7 @@
 """Best-fit packing: bounded-space online best-fit of token pieces into sequences of fixed length.
 
-Each partition packs its pieces as they come. Open bins are kept in a bitset
+Each partition packs its pieces as they come, those of one chunk of text longest
+first. Open bins are kept in a bitset
 keyed by free space: the lowest set bit at or above a piece's length is the
 tightest bin. When OPEN bins are open and a piece fits none, the fullest closes.
 The bins still open at a partition's end are packed once more, as items, over
@@ -24,7 +25,7 @@ from .common import batch, documents, map_arrow, shared_table
 from .encoding import ENCODED_BYTES, Encoder, broadcast_tokenizer, crc, with_end
 
 SEQUENCE = 2048
-OPEN = 512
+OPEN = 2048
 #: Partitions whose open bins are packed together.
 MERGED = 64
 
@@ -84,14 +85,13 @@ def _packer(definition, end: int, size: int, most_open: int):
             encoder = encoder or Encoder(definition.value)
             ids, at = with_end(*encoder.encode(piece.column("text")), end)
             done: list[tuple] = []
-            for d, (doc, a, b) in enumerate(zip(piece.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                for k, s in enumerate(range(a, b, size)):
-                    part = ids[s : min(b, s + size)]
-                    n = len(part)
-                    bin_, offset = fit.place(n)
-                    waiting.setdefault(bin_, []).append((doc, k, s - a, n, crc(part), bin_, offset))
-                    if offset + n == size:
-                        done.extend(out(waiting.pop(bin_), -1))
+            pieces = [(min(b - s, size), doc, k, s, s - a) for doc, a, b in zip(piece.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True) for k, s in enumerate(range(a, b, size))]
+            # What comes at once goes longest first: short pieces then fill what long ones leave.
+            for n, doc, k, s, start in sorted(pieces, key=lambda p: -p[0]):
+                bin_, offset = fit.place(n)
+                waiting.setdefault(bin_, []).append((doc, k, start, n, crc(ids[s : s + n]), bin_, offset))
+                if offset + n == size:
+                    done.extend(out(waiting.pop(bin_), -1))
             still = fit.still_open()
             for b in [b for b in waiting if b not in still]:
                 done.extend(out(waiting.pop(b), -1))
