@@ -35,3 +35,19 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_stages_on_nulls_and_empty_tables(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, "  \n\n ", None, "s", None), (4, "word " * 5000, "en", "s", 25000), (5, "tie a b c d e f", "en", "s", 15), (6, "tie a b c d e f", "en", "s", 15), (None, "tie a b c d e f", "en", "s", 15)]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), sf_dir).count() == 0
+        got = stage(spark, spark.createDataFrame(odd, schema), sf_dir).collect()
+        ids = [r["doc_id"] for r in got]
+        if name == "near dedup":
+            # Copies go; what has no words stays, and so does what has no id.
+            assert sorted(ids, key=str) == [1, 2, 3, 4, 5, None, None]
+        else:
+            assert sorted(set(ids), key=str) == [1, 2, 3, 4, 5, 6, None]
+        if name not in ("near dedup", "packing"):
+            assert {r["doc_id"]: r["text"] for r in got if r["doc_id"]} == {r[0]: r[1] for r in odd if r[0]}
