@@ -53,8 +53,16 @@ def shared_table(df: DataFrame, label: str, numbered: bool = False) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers that share this file system import the package; on other clusters it is given with --py-files."""
+    """Lets Python workers that share this file system import the package; on other clusters it is given with --py-files.
+
+    Batches to Python are cut at 8 MB where the session leaves Spark's 64 MB: both sides hold a batch in memory.
+    """
+    if spark.conf.get(_BATCH_BYTES) in ("67108864b", "67108864"):
+        spark.conf.set(_BATCH_BYTES, "8m")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
