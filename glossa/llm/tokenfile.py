@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .common import batch, documents, few_files, map_arrow, new_path, pack, partitions, unpack
-from .encoding import ENCODED_BYTES, Encoder, broadcast_tokenizer, crc, with_end
+from .encoding import Encoder, broadcast_tokenizer, crc, with_end
 
 MAGIC = b"GTB1"
 BLOCK = 4096
@@ -54,7 +54,7 @@ def unpack_bits(raw: np.ndarray, n: int, bits: int) -> np.ndarray:
     """The first n ids of packed bytes."""
     wide = np.zeros((n, 4), np.uint8)
     if bits % 8 == 0:
-        wide[:, 4 - bits // 8 :] = raw[: n * bits // 8].reshape(n, -1)
+        wide[:, 4 - bits // 8 :] = raw[: n * bits // 8].reshape(n, bits // 8)
     else:
         full = np.zeros((n, 32), np.uint8)
         full[:, 32 - bits :] = np.unpackbits(raw, count=n * bits).reshape(n, bits)
@@ -88,7 +88,7 @@ class Segment:
         return self.read(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
 
-def segments(raw: bytes) -> Iterator[Segment]:
+def segments(raw: bytes | pa.Buffer) -> Iterator[Segment]:
     whole, at = np.frombuffer(raw, np.uint8), 0
     while at < len(whole):
         s = Segment(whole, at)
@@ -110,7 +110,7 @@ _ENCODED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tokens",
 def _encoder(definition, bounds: np.ndarray, end: int, bits: int):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for piece in B.chunks(batches, limit=ENCODED_BYTES):
+        for piece in B.chunks(batches):
             encoder = encoder or Encoder(definition.value)
             ids, at = with_end(*encoder.encode(piece.column("text")), end)
             docs = piece.column("doc_id")
@@ -171,8 +171,8 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for raw in b.column("content").to_pylist():
-            found = [(s.shard, s.tokens) for s in segments(raw)]
+        for raw in b.column("content"):
+            found = [(s.shard, s.tokens) for s in segments(raw.as_buffer())]
             yield batch(_TOTALS, [x for x, _ in found], [x for _, x in found])
 
 
@@ -181,7 +181,7 @@ def _reader(base: dict[int, int]):
         for b in batches:
             for i in range(b.num_rows):
                 at: dict[int, int] = {}
-                for s in segments(b.column("content")[i].as_py()):
+                for s in segments(b.column("content")[i].as_buffer()):
                     start = at.get(s.shard, base[s.shard])
                     flat = s.read(0, s.tokens)
                     ends = s.ends.tolist()
