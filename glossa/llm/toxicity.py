@@ -2,7 +2,8 @@
 
 Two models, of toxic and of ordinary texts, are fitted on a sample of labelled
 training rows of at most SAMPLE_DOCS a class and SAMPLE_BYTES of text in all,
-as many of either class. Words count by Kneser-Ney's continuation counts, the
+as many of either class. Where the texts take more, each gives its beginning, up
+to one length for all, so that a long text takes no other's place. Words count by Kneser-Ney's continuation counts, the
 number of different words before them, so that a passage copied a thousand times
 counts once. An expression (a word, or a pair of words) is given its own,
 absolutely discounted probability in either class only where the classes differ
@@ -191,12 +192,29 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS)
     spark = docs.sparkSession
     # At most 2 * most ids: a bounded table to broadcast.
     ids = spark.createDataFrame([(i, t) for t, own in ((1, chosen[0]), (0, chosen[1])) for i in own[:n]], "doc_id long, toxic int")
-    left = SAMPLE_BYTES
-    for r in documents(docs).join(F.broadcast(ids), "doc_id").orderBy(*order).limit(4 * most).toLocalIterator():
-        left -= len((r["text"] or "").encode())
-        if left < 0:
-            return
-        yield r["text"] or "", r["toxic"]
+    sample = documents(docs).join(F.broadcast(ids), "doc_id").orderBy(*order, F.xxhash64("text")).limit(4 * most)
+    share = _share([r["n"] or 0 for r in sample.select(F.octet_length("text").alias("n")).collect()], SAMPLE_BYTES)
+    for r in sample.select(F.substring("text", 1, share).alias("text"), "toxic").toLocalIterator():
+        yield _head(r["text"] or "", share), r["toxic"]
+
+
+def _share(lengths: list[int], most: int) -> int:
+    """The largest number of bytes that each text may give so that all give `most` together."""
+    left = most
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) > left:
+            return left // (len(lengths) - k)
+        left -= n
+    return most
+
+
+def _head(text: str, most: int) -> str:
+    """The whole words that begin a text in at most `most` bytes; a first word that is longer is cut."""
+    raw = text.encode()
+    if len(raw) <= most:
+        return text
+    head = raw[:most].decode(errors="ignore")
+    return head.rsplit(None, 1)[0] if len(head.split()) > 1 else head
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.float64()), ("n_words", pa.int64())])

@@ -257,6 +257,20 @@ def test_toxicity_without_a_model(spark, docs_of):
     assert toxicity.drop_toxic(docs_of([(1, "a")]), none).count() == 1
 
 
+@pytest.mark.parametrize("place", [0, 3, 10])
+def test_toxicity_sample_keeps_the_rows_behind_a_long_text(spark, docs_of, monkeypatch, place):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
+    docs, labels = labelled(spark, 60)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = list(toxicity.training_sample(docs_of(docs), table))
+    assert sum(t for _, t in whole) * 2 == len(whole) and {t for t, _ in whole} <= {t for _, t in docs}
+    long = dict(docs) | {next(i for i, t in docs if t == whole[place][0]): "long wörds " * 10_000}
+    got = list(toxicity.training_sample(docs_of(long.items()), table))
+    assert [t for _, t in got] == [t for _, t in whole]
+    assert [k for k in range(len(got)) if got[k] != whole[k]] == [place]
+    assert 1000 < len(got[place][0]) and sum(len(t.encode()) for t, _ in got) <= 60_000
+
+
 def brute_vectors(rows):
     good = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {k: v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max() for k, v in good.items()}
