@@ -3,16 +3,23 @@
 Two models, of toxic and of ordinary texts, are fitted on a sample of labelled
 training rows of at most SAMPLE_DOCS a class and SAMPLE_BYTES of text in all,
 as many of either class. Where the texts take more, each gives its beginning, up
-to one length for all, so that a long text takes no other's place. Words count by Kneser-Ney's continuation counts, the
-number of different words before them, so that a passage copied a thousand times
-counts once. An expression (a word, or a pair of words) is given its own,
-absolutely discounted probability in either class only where the classes differ
-beyond chance, by a log-likelihood-ratio test; every other expression is rare or
-alike in both and takes its probability from the counts that the classes share.
+to one length for all, so that a long text takes no other's place.
+
+Words count by Kneser-Ney's continuation counts, the number of different words
+before them, and pairs by the number of different words behind them, so that a
+passage copied a thousand times counts once. Every expression (a word, or a pair
+of words) has an absolutely discounted probability in each class, interpolated
+with a backoff that the classes share: the pooled counts for words, and the pooled
+pair with the class's word for pairs. The weight of a class's own estimate is the
+posterior probability that the texts with the expression are dealt to the classes
+otherwise than the rest, one expression in all being expected to differ; none has
+weight zero, and rare ones have little.
 
 Scores come from the difference of the two log-likelihoods, in all and per word,
-by a logistic curve fitted on the sample. Scoring is map-only: the model, of
-bounded size because its sample is, is broadcast.
+by a logistic curve. It is fitted on texts of the sample by models that have not
+seen them. Where those tell no more than chance, as on a few dozen texts, scores
+rank by the difference but stay below one half. Scoring is map-only: the model, of bounded size
+because its sample is, is broadcast.
 
 Defined cases: null, empty and wordless texts have no evidence and score as a
 text of one word that says nothing; labels other than 0 and 1, or of unknown
@@ -37,10 +44,12 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 12 << 20
 DISCOUNT = 0.75
-#: Least value of the test statistic (chi-squared with one degree of freedom) at which classes differ.
-DIFFERENT = 20.0
-#: Least number of texts in which an expression that differs has to occur.
-LEAST_TEXTS = 3
+#: How evenly texts deal an expression that does not differ: as many earlier texts at the common rate.
+EVENNESS = 30.0
+#: Parts of the sample; the curve sees each by a model of the others.
+PARTS = 10
+#: Least gain in deviance on unseen texts by which the curve tells more than chance (chi-squared, two degrees of freedom, 1 %).
+TELLING = 9.21
 NO_MODEL_SCORE = 0.0
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
@@ -52,18 +61,30 @@ def _pairs(words: B.Words, h: np.ndarray) -> np.ndarray:
     return B.mix(before * _PAIR + (before >> np.uint64(31)) + h)
 
 
-def _differ(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
-    """The log-likelihood-ratio statistic of counts a of na and b of nb against one common rate."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = (a + b) / (na + nb)
-        one = np.where(a > 0, a * np.log(a / (na * rate)), 0)
-        two = np.where(b > 0, b * np.log(b / (nb * rate)), 0)
-    return 2 * (one + two)
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series above 8, to which smaller arguments are raised."""
+    below = np.ones_like(x)
+    for k in range(8):
+        below = below * (x + k)
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) - np.log(below)
+
+
+def _own_weight(a: np.ndarray, b: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The posterior probability that a toxic and b ordinary texts come of a rate of their own, not of the given rate of toxic ones."""
+    alike = _log_beta(a + EVENNESS * rate, b + EVENNESS * (1 - rate)) - _log_beta(EVENNESS * rate, EVENNESS * (1 - rate))
+    odds = _log_beta(a + 1.0, b + 1.0) - alike - np.log(max(len(a), 2) - 1)
+    # Even a sure expression leaves the shared backoff its part.
+    return 1 / (1 + np.exp(-np.clip(odds, None, 36)))
 
 
 @dataclass
 class Model:
-    """Log-ratios (toxic over ordinary) of the expressions that differ, against that of all others, and the curve."""
+    """Log-ratios (toxic over ordinary) of words, those of words after a given word, and the curve."""
 
     keys: np.ndarray
     ratios: np.ndarray
@@ -72,7 +93,7 @@ class Model:
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
     def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: log-likelihood toxic less ordinary over the expressions that differ, and its words."""
+        """Of each text: log-likelihood toxic less ordinary over its expressions, and its words."""
         words = B.scan(column)
         n = words.counts()
         h = words.hashes()
@@ -86,8 +107,8 @@ class Model:
         return np.stack([np.ones(len(n)), np.arcsinh(1000 * per_word), np.clip(evidence, -20, 20) / 4], axis=1)
 
     def score(self, evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
-        if not self.curve.any():
-            return np.full(len(n), NO_MODEL_SCORE)
+        if not self.curve[1:].any():
+            return 0.5 / (1 + np.exp(-np.clip(evidence, -20, 20)))
         return 1 / (1 + np.exp(-self.features(evidence, n) @ self.curve))
 
 
@@ -104,68 +125,103 @@ def fit(texts: Iterable[tuple[str, int]]) -> Model | None:
     y = np.array([t for _, t in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    column = pa.array([t for t, _ in rows], pa.string())
-    words = B.scan(column)
-    h = words.hashes()
-    toxic = y[words.owner()] == 1
-    pair = _pairs(words, h)
-    counts, bigrams = [], []
-    kinds, which = np.unique(h, return_inverse=True)
-    for own in (toxic, ~toxic):
-        keys, first, n = np.unique(pair[own], return_index=True, return_counts=True)
-        word = which[np.flatnonzero(own)[first]]
-        counts.append(np.bincount(word, minlength=len(kinds)).astype(float))
-        bigrams.append((keys, n, word))
-    (a, b), (na, nb) = counts, (max(c.sum(), 1) for c in counts)
-    texts_with = np.bincount(np.unique(which + len(kinds) * words.owner()) % max(len(kinds), 1), minlength=len(kinds))
-    own = np.flatnonzero((_differ(a, b, na, nb) >= DIFFERENT) & (texts_with >= LEAST_TEXTS))
-    shared = (a + b) / (na + nb)
-
-    # Discounted class estimates of the expressions that differ; what the discount sets free goes to them by the shared counts.
-    def estimate(c: np.ndarray, n: float) -> np.ndarray:
-        free = DISCOUNT * np.minimum(c[own], 1).sum() / n + DISCOUNT / n
-        return np.maximum(c[own] - DISCOUNT, 0) / n + free * shared[own] / max(shared[own].sum(), 1e-12)
-
-    pa_, pb_ = estimate(a, na), estimate(b, nb)
-    # All other expressions keep the shared proportions; what the listed ones leave to them is their common ratio.
-    other = float(np.log1p(-min(pa_.sum(), 0.5)) - np.log1p(-min(pb_.sum(), 0.5)))
-    ratio = np.log(pa_) - np.log(pb_) - other
-    order = np.argsort(kinds[own])
-    # Pairs of which neither the word nor chance explains the difference.
-    keys = np.union1d(bigrams[0][0], bigrams[1][0])
-    n2 = [np.zeros(len(keys)), np.zeros(len(keys))]
-    last = np.zeros(len(keys), np.int64)
-    for c, (k, n, w) in zip(n2, bigrams, strict=True):
-        c[np.searchsorted(keys, k)] = n
-        last[np.searchsorted(keys, k)] = w
-    known = np.zeros(len(kinds), bool)
-    known[own] = True
-    # A pair that one copied passage repeats would look frequent: words before and behind must vary.
-    behind = _contexts(words, h, pair, keys, toxic)
-    pairs = np.flatnonzero((_differ(behind[0], behind[1], float(toxic.sum()), float((~toxic).sum())) >= DIFFERENT) & ~known[last])
-    pair_ratio = np.log((np.maximum(behind[0][pairs] - DISCOUNT, 0) + DISCOUNT) / toxic.sum()) - np.log((np.maximum(behind[1][pairs] - DISCOUNT, 0) + DISCOUNT) / max((~toxic).sum(), 1))
-    model = Model(kinds[own][order], ratio[order], keys[pairs], pair_ratio)
-    evidence, n = model.evidence(column)
-    x = model.features(evidence, n)
+    sample = _Sample(B.scan(pa.array([t for t, _ in rows], pa.string())), y)
+    part = np.zeros(len(y), np.int64)
+    for t in (0, 1):
+        part[y == t] = np.arange((y == t).sum()) % PARTS
+    evidence = np.zeros(len(y))
+    for k in range(PARTS):
+        if (part == k).any():
+            ratio, pair_ratio = sample.ratios(part != k)
+            evidence[part == k] = sample.evidence(ratio, pair_ratio)[part == k]
+    ratio, pair_ratio = sample.ratios(np.ones(len(y), bool))
+    model = Model(sample.kinds, ratio, sample.pairs, pair_ratio.astype(np.float32))
+    x = model.features(evidence, sample.n)
     used = [0, 1, 2]
     while True:
         model.curve = np.zeros(3)
         model.curve[used] = _logistic(x[:, used], y)
         # More toxic evidence never lowers a score.
         if (wrong := [k for k in used[1:] if model.curve[k] < 0]) == []:
+            p = np.where(y == 1, 1, -1) * (x @ model.curve)
+            if 2 * (len(y) * np.log(2) - np.logaddexp(0, -p).sum()) < TELLING:
+                model.curve = np.zeros(3)
             return model
         used.remove(min(wrong, key=lambda k: model.curve[k]))
 
 
-def _contexts(words: B.Words, h: np.ndarray, pair: np.ndarray, keys: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
-    """For each pair and class, before how many different words it stands."""
-    after = np.append(h[1:], np.uint64(2)) if len(h) else h
-    at = np.searchsorted(keys, pair)
-    out = []
-    for own in (toxic, ~toxic):
-        triple = np.unique(B.mix(pair[own] + after[own] * _PAIR), return_index=True)[1]
-        out.append(np.bincount(at[own][triple], minlength=len(keys)).astype(float))
-    return out
+class _Sample:
+    """The words and pairs of labelled texts, counted once; models of any of the texts are made from that."""
+
+    def __init__(self, words: B.Words, y: np.ndarray) -> None:
+        self.y, self.n, self.owner = y, words.counts(), words.owner()
+        h = words.hashes()
+        pair = _pairs(words, h)
+        before = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
+        before[words.doc[:-1][self.n > 0]] = np.uint64(1)
+        after = np.append(h[1:], np.uint64(2)) if len(h) else h
+        self.kinds, which = np.unique(h, return_inverse=True)
+        self.pairs, first, at = np.unique(pair, return_index=True, return_inverse=True)
+        self.which, self.at = which.astype(np.int32), at.astype(np.int32)
+        #: Of each pair its word, and the number of the word before.
+        self.word = self.which[first]
+        self.context = np.unique(before[first], return_inverse=True)[1].astype(np.int32)
+        _, first, triple = np.unique(B.mix(pair + after * _PAIR), return_index=True, return_inverse=True)
+        self.triple, self.pair_of = triple.astype(np.int32), self.at[first]
+        #: Each word's and each pair's texts, once.
+        self.word_texts, self.pair_texts = (self._once(k, size) for k, size in ((self.which, len(self.kinds)), (self.at, len(self.pairs))))
+
+    def _once(self, key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(self.owner * max(size, 1) + key)
+        return (both % max(size, 1)).astype(np.int32), (both // max(size, 1)).astype(np.int32)
+
+    def _texts(self, once: tuple[np.ndarray, np.ndarray], size: int, of: np.ndarray) -> np.ndarray:
+        return np.bincount(once[0][of[once[1]]], minlength=size).astype(float)
+
+    def ratios(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-ratio of each word, and of each pair, from the seen texts; a pair or word that they lack has its backoff's."""
+        classes = [seen & (self.y == 1), seen & (self.y == 0)]
+        rate = np.clip(classes[0].sum() / max(seen.sum(), 1), 1e-6, 1 - 1e-6)
+        nw, np_ = len(self.kinds), len(self.pairs)
+        counts, behind = [], []
+        for of in classes:
+            own = of[self.owner]
+            counts.append(np.bincount(self.word[np.bincount(self.at[own], minlength=np_) > 0], minlength=nw).astype(float))
+            behind.append(np.bincount(self.pair_of[np.bincount(self.triple[own], minlength=len(self.pair_of)) > 0], minlength=np_).astype(float))
+        # A word of texts that are left out is as one of which each class has a part of one count.
+        pooled = counts[0] + counts[1]
+        shared = np.maximum(pooled, DISCOUNT) / max(pooled.sum(), 1)
+        weight = _own_weight(*(self._texts(self.word_texts, nw, of) for of in classes), np.full(nw, rate))
+        p = []
+        for c in counts:
+            n = max(c.sum(), 1)
+            p.append(weight * (np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.minimum(c, 1).sum() * shared) / n + (1 - weight) * shared)
+        ratio = np.log(p[0]) - np.log(p[1])
+
+        # A pair that differs no more than its word has its texts in the word's proportion.
+        odds = rate / (1 - rate) * np.exp(ratio)[self.word]
+        weight = _own_weight(*(self._texts(self.pair_texts, np_, of) for of in classes), np.clip(odds / (1 + odds), 1e-6, 1 - 1e-6))
+        both, backoff = self._after(behind[0] + behind[1])
+        q = []
+        for c, w in zip(behind, p, strict=True):
+            own, free = self._after(c)
+            lower = w[self.word]
+            # The pooled pair, of the class's word.
+            common = (both / shared[self.word] + backoff) * lower
+            q.append(weight * (own + free * lower) + (1 - weight) * common)
+        return ratio, np.log(q[0]) - np.log(q[1])
+
+    def _after(self, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair the discounted probability after its first word, and the weight that this leaves to the word."""
+        size = int(self.context.max(initial=-1)) + 1
+        total = np.bincount(self.context, behind, size)
+        kinds = np.bincount(self.context, np.minimum(behind, 1), size)
+        n = np.maximum(total, 1)
+        free = np.where(total > 0, DISCOUNT * kinds / n, 1.0)
+        return np.maximum(behind - DISCOUNT, 0) / n[self.context], free[self.context]
+
+    def evidence(self, ratio: np.ndarray, pair_ratio: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, pair_ratio[self.at], len(self.n)) if len(self.at) else np.zeros(len(self.n))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,21 @@ def test_toxicity_without_a_model(spark, docs_of):
     assert toxicity.drop_toxic(docs_of([(1, "a")]), none).count() == 1
 
 
+def test_toxicity_gives_rare_expressions_a_smaller_weight(spark):
+    docs, labels = labelled(spark, 150)
+    truth, texts = dict(labels), {i: t for i, t in docs}
+    rows = [(t + (" wretch" if truth[i] and i % 45 == 0 else "") + (" dear" if i % 2 == 0 else ""), truth[i]) for i, t in texts.items()]
+    model = toxicity.fit(rows)
+    assert (model.ratios != 0).all()
+    said = {w: float(model.evidence(pa.array([w]))[0][0]) for w in ("idiot", "wretch", "dear", "never seen")}
+    assert said["idiot"] > 2 * said["wretch"] > 0 and abs(said["dear"]) < 0.01 and said["never seen"] == 0
+    rare = toxicity.fit([("a b c d", 0), ("a c b d", 0), ("a b scum c", 1), ("scum b d a", 1)])
+    assert rare.evidence(pa.array(["c scum d"]))[0][0] > 0
+    # Nothing was told of texts not seen: ranked, and not rejected.
+    low, high = (rare.score(*rare.evidence(pa.array([x])))[0] for x in ("a b", "scum scum"))
+    assert 0 < low < high < 0.5
+
+
 @pytest.mark.parametrize("place", [0, 3, 10])
 def test_toxicity_sample_keeps_the_rows_behind_a_long_text(spark, docs_of, monkeypatch, place):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60_000)
