@@ -166,8 +166,17 @@ SELECT pmid, CAST(len(regexp_extract_all(abstract, '\b\d+(?:\.\d+)?\b')) AS INT)
   md5(regexp_replace(upper(title), '[^A-Z0-9]', '', 'g')) AS title_key FROM papers WHERE regexp_full_match(abstract, '[\x00-\x7F]*')"""))
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """numbers, words and keys of ASCII texts (engines differ on word boundaries beside accented letters)."""
-    p = table(spark, sf_dir, "papers").where(F.col("abstract").rlike(r"(?s)^[\x00-\x7F]*$"))
-    return p.select("pmid", F.size(text.numbers("abstract")).alias("n_numbers"), text.word_count("abstract").alias("n_words"), F.md5(text.token_key("title")).alias("title_key"))
+    return _measures(table(spark, sf_dir, "papers").where(F.col("abstract").rlike(r"(?s)^[\x00-\x7F]*$")))
+
+
+def _measures(p: DataFrame) -> DataFrame:
+    return p.select("pmid", F.size(text.numbers(F.coalesce("abstract", F.lit("")))).alias("n_numbers"), text.word_count("abstract").alias("n_words"), F.md5(text.token_key("title")).alias("title_key"))
+
+
+@R.query()
+def text_measures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """numbers, words and keys of all texts; a null text has none."""
+    return _measures(table(spark, sf_dir, "papers"))
 
 
 @R.query(sql_with(["papers"], r"""
@@ -188,10 +197,20 @@ round(CASE WHEN length(k) < 100 THEN 0 ELSE least(greatest((CASE WHEN length(k)
  + (CASE WHEN len(regexp_split_to_array(k, '[.!?]+')) > 20 THEN 0.2 WHEN len(regexp_split_to_array(k, '[.!?]+')) > 10 THEN 0.1 ELSE 0 END) + least(""" + _hits("lower(k)", C.ACADEMIC) + " * 0.05, 0.2) - (CASE WHEN " + _hits("lower(k)", C.PENALIZED) + " > 0 THEN 0.3 ELSE 0 END), 0), 1) END, 6)::DOUBLE AS quality FROM e")
 def content_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning, type and quality of ASCII texts."""
-    d = base(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$")).withColumn("k", text.clean_content("text"))
+    return _cleaned(base(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$")))
+
+
+def _cleaned(docs: DataFrame) -> DataFrame:
+    d = docs.withColumn("k", text.clean_content("text"))
     return d.select("doc_id", F.md5("k").alias("clean_md5"), text.content_type("k", F.lit("")).alias("content_type"), F.round(text.content_quality("k"), 6).alias("quality"))
 
 
+@R.query()
+def content_cleaned_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning, type and quality of all texts, Greek and other non-ASCII ones and null among them."""
+    return _cleaned(base(spark, sf_dir, "documents"))
+
+
 @R.query(sql_with(["lexicon", "labels_given"], """
 , own AS (SELECT symbol AS token, symbol, 0 AS r, ordinal, 0 AS place FROM lexicon), listed AS (SELECT unnest(string_split(names, ',')) AS token, symbol, 1 AS r, ordinal, generate_subscripts(string_split(names, ','), 1) AS place FROM lexicon),
 idx AS (SELECT token, symbol, r FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY r, ordinal, place) AS n FROM (SELECT * FROM own UNION ALL SELECT * FROM listed)) WHERE n = 1),
