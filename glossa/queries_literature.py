@@ -102,6 +102,16 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@R.query(_RANKED + " UNION ALL ".join(f"(SELECT '{mode}' AS mode, pmid, recommendation AS recommendation_score FROM m ORDER BY {order}, pmid LIMIT 25 OFFSET 25)" for mode, order in _ORDERS.items()))
+def ranked_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of each of the four sort orders over all papers; the id parts what is equal."""
+    ranked, out = _ranked(spark, sf_dir), None
+    for mode in _ORDERS:
+        p = screening.page(ranked, [*screening.paper_order(mode), F.col("pmid")], 2).select(F.lit(mode).alias("mode"), "pmid", "recommendation_score")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 @R.query(_SCREEN + """SELECT s.pmid, CAST(coalesce(raw_score, 0) AS INT) AS score, l.quality, l.toxic FROM s LEFT JOIN labels l ON s.doc_id = l.doc_id ORDER BY coalesce(raw_score, 0) DESC, s.doc_id LIMIT 20""")
 def screening_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: texts scored, joined with their labels, the twenty best."""

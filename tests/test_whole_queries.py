@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from glossa import constants as C
 from glossa import queries
@@ -42,3 +43,8 @@ def test_all_texts_are_cleaned_and_measured(spark, tmp_path):
 @pytest.mark.parametrize("name", ["content_cleaned_all", "text_measures_all"])
 def test_no_text_is_left_out(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_papers_without_a_search_rank_stand_on_pages(spark, sf_dir):
+    got = queries.QUERIES["ranked_pages_all"](spark, sf_dir)
+    assert got.where(F.col("pmid").cast("long") % 13 == 0).count() > 0
