@@ -268,8 +268,10 @@ def mention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T22, exact path: passages that stand in a document.
 
-    Passages and documents meet on the words of a passage's start; only those
-    pairs are searched, and no pair of unrelated texts is ever made.
+    Passages of five words and more meet documents on the second to fourth word;
+    only those pairs are searched, and no pair of unrelated texts is ever made.
+    Shorter ones have no three words that are whole words of any text that has
+    them: they are searched in every text.
     """
     shape = lambda c: text.squeezed(F.lower(text.normalized(c)))
     d = base(spark, sf_dir, "documents").select("doc_id", shape("text").alias("body"))
@@ -277,12 +279,14 @@ def citations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The second to fourth blank-separated words are whole words of any text that has the passage.
     key = lambda w: F.array_join(w, " ")
     q = b.withColumn("w", F.split("quote", " ")).withColumn("key", key(F.slice("w", 2, 3)))
+    long, short = q.where("size(w) >= 5"), q.where("size(w) < 5").select("item_id", "quote")
     words, n = F.split("body", " "), F.size(F.split("body", " "))
     joined = lambda x, y: F.concat(x, F.lit(" "), y)
     keys = F.array_compact(F.zip_with(F.zip_with(words, F.slice(words, F.lit(2), n), joined), F.slice(words, F.lit(3), n), joined))
-    wanted = q.where("size(w) >= 4").select("key").distinct()
+    wanted = long.select("key").distinct()
     near = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "key", "left_semi")
-    pairs = near.join(q.where("size(w) >= 4"), "key").join(d, "doc_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    pairs = near.join(long, "key").join(d, "doc_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    pairs = pairs.unionByName(d.join(F.broadcast(short), F.contains("body", F.col("quote"))).select("item_id", "doc_id"))
     return pairs.distinct()
 
 

@@ -20,6 +20,14 @@ def folder(spark, tmp_path, texts, items=()):
     return str(tmp_path)
 
 
+def test_short_passages_are_cited(spark, tmp_path):
+    texts = ["See the quick brown foxes run", "the quick brown fox.", "The  Quick\nbrown fox jumps high", "a fox", "", None]
+    items = ["the quick brown fox", "fox", "brown fox jumps", "the quick brown fox jumps", "quick brown fox jumps high", "nowhere", None]
+    got = sorted(tuple(r) for r in queries.QUERIES["citations_exact"](spark, folder(spark, tmp_path, texts, items)).select("item_id", "doc_id").collect())
+    plain = lambda t: " ".join(t.lower().split())
+    assert got == [(i, d) for i, q in enumerate(items) for d, t in enumerate(texts) if q is not None and t is not None and plain(q) in plain(t)]
+
+
 def test_all_texts_are_cleaned_and_measured(spark, tmp_path):
     texts = [GREEK_TEXT, "plain words only " * 10, "é" * 200, "", None]
     sf = folder(spark, tmp_path, texts)
