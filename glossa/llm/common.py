@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -18,39 +19,56 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Where each table of shared_table() lies, as long as its DataFrame is in use.
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of this process only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) gets a folder of this process; on a cluster a machine's
+    own folder would lose the other machines' parts, so that is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="glossa-shared-")
     return _OWN["dir"]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/glossa/{label}-{uuid.uuid4().hex}"
+    """A new place in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/glossa/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-#: Tasks for each core of the cluster that write a table.
-WRITERS = 3
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """At most WRITERS partitions a core, so that small tables do not become very many files; nothing is shuffled."""
-    return df.coalesce(WRITERS * df.sparkSession.sparkContext.defaultParallelism)
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def shared_table(df: DataFrame, label: str, numbered: bool = False) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and lost executors cost nothing.
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of shared_table() that nothing reads any more: whatever was made of them is written."""
+    for t in tables:
+        if path := _PLACES.pop(t, None):
+            _delete(t.sparkSession, path)
 
-    numbered: rows carry the number of the partition that made them, so partitions stay as they are.
-    """
-    path = new_path(df.sparkSession, label)
-    (df if numbered else few_files(df)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application still has in the shared folder, once its results have been used."""
+    _delete(spark, f"{shared_dir(spark)}/glossa/{spark.sparkContext.applicationId}")
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -89,9 +107,13 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(released, schema)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Shards of a shuffle: spark.sql.shuffle.partitions, which is set to suit the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text for which a shuffle of texts or of their keys gets one more partition.
+SHARD_BYTES = 12 << 20
+
+
+def shards_for(n_bytes: int, size: int = SHARD_BYTES) -> int:
+    """Partitions for a shuffle of so many bytes of text, so that each stays of one size however large the input is."""
+    return max(1, -(-n_bytes // size))
 
 
 def documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

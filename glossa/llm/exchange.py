@@ -5,36 +5,43 @@ keys that occur in it, aggregated, to shards that divide the hash range evenly;
 a shard holds all blocks' entries of its keys, works out what each block has to
 know, and answers in the order in which the block sent them. Blocks then read
 their documents again, next to the answers. A key of any frequency is one entry
-per block, so no shard grows with a key's frequency; there are as many shards as
-shuffle partitions, which are set to suit the input.
+per block, so no shard grows with a key's frequency; and there is one shard for
+each SHARD_BYTES of text, so none grows with the input: what a task holds has
+one size at any scale. Messages are at most blocks times shards, each with its
+keys' part of one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytescan as B
-from .common import batch, documents, few_files, map_arrow, partitions, shared_table
+from .common import batch, documents, drop, map_arrow, shards_for, shared_table
 
 #: Bytes of text in a block; a longer single text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Rows of a block, which very short texts would otherwise fill; a batch from Spark has fewer.
+BLOCK_ROWS = 1 << 20
 
-_BLOCK = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
-_MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
-_MESSAGE_SQL = "shard int, block long, payload binary"
-#: The block number of what a shard says to all.
+_BLOCK = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())])
+_MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("payload", pa.binary()), ("totals", pa.list_(pa.int64()))])
+_MESSAGE_SQL = "shard int, block long, payload binary, totals array<long>"
+#: The block number of a shard's totals.
 TO_ALL = -1
 _OWN = -1
 
 Request = Callable[[pa.RecordBatch, int], list[bytes]]
-Respond = Callable[[dict[int, bytes]], tuple[dict[int, bytes], bytes]]
-Finish = Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch]
+Respond = Callable[[dict[int, bytes]], tuple[dict[int, bytes], list[int]]]
+#: Makes a block's rows of its documents, its answers by shard, and its number.
+Finish = Callable[[pa.RecordBatch, list[bytes | None], int], pa.RecordBatch]
 
 
 def _packed(pieces: list[pa.RecordBatch]) -> bytes:
@@ -50,26 +57,42 @@ def _documents_of(payload: bytes) -> pa.RecordBatch:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, made, pieces, size = TaskContext.get().partitionId() << 24, 0, [], 0
+    first, made, pieces, size, held = TaskContext.get().partitionId() << 20, 0, [], 0, 0
 
     def out() -> pa.RecordBatch:
-        return batch(_BLOCK, [first + made], [sum(p.num_rows for p in pieces)], [_packed(pieces)])
+        return batch(_BLOCK, [first + made], [sum(p.num_rows for p in pieces)], [size], [_packed(pieces)])
 
     for piece in B.chunks(batches, limit=BLOCK_BYTES):
         n = len(B.buffers(piece.column("text"))[0])
-        if pieces and size + n > BLOCK_BYTES:
+        if pieces and (size + n > BLOCK_BYTES or held + piece.num_rows > BLOCK_ROWS):
             yield out()
-            made, pieces, size = made + 1, [], 0
+            made, pieces, size, held = made + 1, [], 0, 0
         pieces.append(piece)
-        size += n
+        size, held = size + n, held + piece.num_rows
     if pieces:
         yield out()
 
 
-def block_table(docs: DataFrame, label: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Documents in blocks (block, n_docs, payload), written to the shared folder; columns of keep travel along as keep0, keep1, ..."""
+@dataclass
+class Blocks:
+    """Documents in blocks (block, n_docs, n_bytes, payload), in the shared folder."""
+
+    table: DataFrame
+    n_docs: int
+    shards: int
+    #: Blocks that a partition made, on average, rounded up: their numbers spread evenly over the shards.
+    stride: int
+
+    def drop(self) -> None:
+        drop(self.table)
+
+
+def block_table(docs: DataFrame, label: str, keep: tuple[str, ...] = ()) -> Blocks:
+    """Documents in blocks; columns of keep travel along as keep0, keep1, ..."""
     rows = documents(docs) if not keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
-    return shared_table(map_arrow(rows, _blocks, "block long, n_docs long, payload binary"), label, numbered=True)
+    table = shared_table(map_arrow(rows, _blocks, "block long, n_docs long, n_bytes long, payload binary"), label)
+    sums = table.agg(F.sum("n_docs").alias("d"), F.sum("n_bytes").alias("b"), F.count("*").alias("n"), F.max(F.shiftright("block", 20)).alias("p")).first()
+    return Blocks(table, sums["d"] or 0, shards_for(sums["b"] or 0), -(-sums["n"] // ((sums["p"] or 0) + 1)) or 1)
 
 
 def shard_limits(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -77,9 +100,9 @@ def shard_limits(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
-def ask(blocks: DataFrame, request: Request, respond: Respond, label: str, shards: int | None = None) -> DataFrame:
-    """The answers of all shards (shard, block, payload), written to the shared folder; block TO_ALL holds what concerns all."""
-    n = shards or partitions(blocks.sparkSession)
+def ask(blocks: Blocks, request: Request, respond: Respond, label: str) -> DataFrame:
+    """The answers of all shards (shard, block, payload, totals), written to the shared folder; block TO_ALL holds a shard's totals."""
+    n = blocks.shards
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,29 +110,41 @@ def ask(blocks: DataFrame, request: Request, respond: Respond, label: str, shard
                 parts = request(_documents_of(payload.as_py()), n)
                 some = [k for k, p in enumerate(parts) if p]
                 if some:
-                    yield batch(_MESSAGE, some, [block] * len(some), [parts[k] for k in some])
+                    yield batch(_MESSAGE, some, [block] * len(some), [parts[k] for k in some], [None] * len(some))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, dict[int, bytes]] = {}
+        at, own = None, {}
+
+        def answered() -> pa.RecordBatch:
+            replies, totals = respond(own)
+            k = len(replies)
+            return batch(_MESSAGE, [at] * (k + 1), [*replies, TO_ALL], [*replies.values(), None], [*([None] * k), totals])
+
         for b in batches:
             for shard, block, payload in zip(b.column("shard").to_pylist(), b.column("block").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                got.setdefault(shard, {})[block] = payload
-        for shard, own in got.items():
-            replies, all_ = respond(own)
-            yield batch(_MESSAGE, [shard] * (len(replies) + 1), [*replies, TO_ALL], [*replies.values(), all_])
-
-    asked = map_arrow(blocks.select("block", "payload"), requests, _MESSAGE_SQL).repartitionById(n, F.col("shard"))
+                if shard != at and own:
+                    yield answered()
+                    own = {}
+                at = shard
+                own[block] = payload
+        if own:
+            yield answered()
+
+    # One shard a partition; sorted, so that a task that has several works on one after the other.
+    asked = map_arrow(blocks.table.select("block", "payload"), requests, _MESSAGE_SQL).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "block")
     return shared_table(map_arrow(asked, answers, _MESSAGE_SQL), label)
 
 
-def told(answers: DataFrame) -> list[bytes]:
-    """What each shard says to all: one small message a shard."""
-    return [r["payload"] for r in answers.where(F.col("block") == TO_ALL).select("payload").toLocalIterator()]
+def totals(answers: DataFrame, width: int) -> list[int]:
+    """The sums over all shards of what each said in total."""
+    told = answers.where(F.col("block") == TO_ALL)
+    sums = told.agg(*(F.sum(F.col("totals")[k]).alias(f"t{k}") for k in range(width))).first()
+    return [x or 0 for x in sums]
 
 
-def finish(blocks: DataFrame, answers: DataFrame, done: Finish, schema: str, shards: int | None = None) -> DataFrame:
+def finish(blocks: Blocks, answers: DataFrame, done: Finish, schema: str) -> DataFrame:
     """Blocks with their answers, by shard; done() makes a block's rows of them."""
-    n = shards or partitions(blocks.sparkSession)
+    n = blocks.shards
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, docs, replies = None, None, {}
@@ -117,18 +152,40 @@ def finish(blocks: DataFrame, answers: DataFrame, done: Finish, schema: str, sha
             for shard, block, payload in zip(b.column("shard").to_pylist(), b.column("block").to_pylist(), b.column("payload"), strict=True):
                 if shard == _OWN:
                     if docs is not None:
-                        yield done(docs, [replies.get(k) for k in range(n)])
+                        yield done(docs, [replies.get(k) for k in range(n)], at)
                     at, docs, replies = block, _documents_of(payload.as_py()), {}
                 else:
                     assert block == at
                     replies[shard] = payload.as_py()
         if docs is not None:
-            yield done(docs, [replies.get(k) for k in range(n)])
+            yield done(docs, [replies.get(k) for k in range(n)], at)
+
+    own = blocks.table.select(F.lit(_OWN).alias("shard"), "block", "payload")
+    home = F.pmod(F.shiftright("block", 20) * blocks.stride + F.col("block").bitwiseAND((1 << 20) - 1), F.lit(n)).cast("int")
+    both = own.unionByName(answers.where(F.col("block") != TO_ALL).select("shard", "block", "payload")).repartitionById(n, home).sortWithinPartitions("block", "shard")
+    return map_arrow(both, finished, schema)
+
+
+def row_numbers(block: int, n: int) -> np.ndarray:
+    """A number for each document row of a block, of its own in the whole table."""
+    return (block << 22) + np.arange(n)
+
+
+def kept_rows(blocks: Blocks, rows: DataFrame, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The documents of the blocks whose row numbers (row) are given, once each, with the columns of docs."""
+    own = rows.groupBy(F.shiftright("row", 22).alias("block")).agg(F.collect_list(F.col("row").bitwiseAND((1 << 22) - 1).cast("int")).alias("at"))
+    columns = list(docs.columns)
+    names = [f"keep{keep.index(c)}" if c in keep else c for c in columns]
+    schema = T.StructType([T.StructField(c, {"doc_id": T.LongType(), "text": T.StringType()}.get(c, docs.schema[c].dataType)) for c in docs.columns])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload, at in zip(b.column("payload"), b.column("at").to_pylist(), strict=True):
+                piece = _documents_of(payload.as_py()).take(pa.array(sorted(at), pa.int32()))
+                yield pa.RecordBatch.from_arrays([piece.column(n) for n in names], names=columns)
 
-    own = blocks.select(F.lit(_OWN).alias("shard"), "block", "payload")
-    home = F.pmod(F.shiftright("block", 24) * 4 + F.col("block").bitwiseAND((1 << 24) - 1), F.lit(n)).cast("int")
-    both = own.unionByName(answers.where(F.col("block") != TO_ALL)).repartitionById(n, home).sortWithinPartitions("block", "shard")
-    return few_files(map_arrow(both, finished, schema))
+    done = map_arrow(blocks.table.select("block", "payload").join(own, "block").select("payload", "at"), kept, schema)
+    return done.select(*(F.col(f"`{c}`").cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def by_key(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import drop, shared_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
         if not parents.where("c > 1").limit(1).count():
             break
         rest = e.join(parents.where("c > 1"), "u").where("v > p").select(F.col("v").alias("u"), F.col("p").alias("v"))
-        e = shared_table(parents.select("u", F.col("p").alias("v")).union(rest).distinct(), "edges")
-    tree = parents.select("u", "p")
+        fewer = shared_table(parents.select("u", F.col("p").alias("v")).union(rest).distinct(), "edges")
+        drop(e, parents)
+        e = fewer
+    drop(e)
+    tree = kept = parents
     while True:
         up = tree.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        new = shared_table(tree.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "tree")
-        tree = new.select("u", "p")
+        new = shared_table(tree.select("u", "p").join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "tree")
+        drop(kept)
+        tree = kept = new
         if not new.where("moved").limit(1).count():
             break
     return tree.select(F.col("u").alias("node"), F.col("p").alias("component")).union(tree.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())

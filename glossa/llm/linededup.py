@@ -55,7 +55,7 @@ def _request(docs: pa.RecordBatch, shards: int) -> list[bytes]:
     return [frames([pack_sorted(keys[a:b]), pack(planes(ids[a:b]))]) if b > a else b"" for a, b in zip(limits, limits[1:])]
 
 
-def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], bytes]:
+def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], list[int]]:
     blocks = sorted(own)
     got = [unframe(own[b]) for b in blocks]
     keys = [unpack_sorted(p[0]) for p in got]
@@ -67,13 +67,13 @@ def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], bytes]:
     place = np.where(is_least, np.arange(len(order)), len(order))
     winner = np.zeros(len(order), bool)
     winner[order[np.minimum.reduceat(place, starts)]] = True
-    return {b: np.packbits(w).tobytes() for b, w in zip(blocks, np.split(winner, np.cumsum([len(k) for k in keys])[:-1]), strict=True)}, b""
+    return {b: np.packbits(w).tobytes() for b, w in zip(blocks, np.split(winner, np.cumsum([len(k) for k in keys])[:-1]), strict=True)}, []
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
 
-def _done(docs: pa.RecordBatch, replies: list[bytes | None]) -> pa.RecordBatch:
+def _done(docs: pa.RecordBatch, replies: list[bytes | None], _: int) -> pa.RecordBatch:
     lines = _Lines(docs)
     firsts = lines.order[lines.first]
     limits = shard_limits(lines.key[firsts], len(replies))

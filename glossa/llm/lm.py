@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import bytescan as B
 from .common import batch, frames, id_crc, pack, pack_sorted, unframe, unpack, unpack_sorted
-from .exchange import ask, block_table, finish, from_planes, planes, shard_limits, summed, told
+from .exchange import ask, block_table, finish, from_planes, planes, shard_limits, summed, totals
 
 SPREAD, GROWTH = 2.0, 0.9
 FOLDS, HELD_OUT = 7, 2
@@ -67,29 +67,32 @@ def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.nda
 def _request(docs: pa.RecordBatch, shards: int) -> list[bytes]:
     t = _Tokens(docs)
     parts: list[list[bytes]] = [[] for _ in range(shards)]
+    some = [False] * shards
     for keys in (t.token, t.pair):
         distinct, counts = _counted(keys, t.training)
         limits = shard_limits(distinct, shards)
         for k in range(shards):
             a, b = limits[k], limits[k + 1]
             parts[k] += [pack_sorted(distinct[a:b]), pack(planes(counts[a:b]))]
-    return [frames(p) for p in parts]
+            some[k] |= b > a
+    return [frames(p) if x else b"" for p, x in zip(parts, some, strict=True)]
 
 
-def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], bytes]:
+def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], list[int]]:
     got = {block: unframe(p) for block, p in own.items()}
     replies: dict[int, list[bytes]] = {block: [] for block in got}
-    stats = []
+    stats: list[int] = []
     for order in (0, 1):
         each, total = summed([unpack_sorted(p[2 * order]) for p in got.values()], [from_planes(unpack(p[2 * order + 1])) for p in got.values()])
         for block, counts in zip(got, each, strict=True):
             replies[block].append(pack(planes(counts)))
-        stats += [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]
-    return {block: frames(p) for block, p in replies.items()}, np.array(stats, "<i8").tobytes()
+        if order == 0:
+            stats = [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
+    return {block: frames(p) for block, p in replies.items()}, stats
 
 
 class Automaton:
-    """The part of the model that one block of texts can walk."""
+    """The part of the model that one block of texts can walk: 0 is the empty context, 1 a text's begin, word w is state w + 2."""
 
     def __init__(self, counts: np.ndarray, end: int, from_: np.ndarray, word: np.ndarray, pairs: np.ndarray, tokens: int, kinds: int, discount: float) -> None:
         """counts: of words; from_ and word: the words of each pair (from_ -1: begin), pairs: its count; end: the end token's number."""
@@ -98,33 +101,48 @@ class Automaton:
         context = np.concatenate([[0, counts[end] if len(counts) else 0], counts]).astype(float)
         spread = SPREAD * context**GROWTH
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.fail = np.where(context > 0, np.log10(spread / (context + spread)), 0.0).tolist()
-            self.root = np.log10(p).tolist()
-        self.to = np.where(known, np.arange(len(counts)) + 2, 0).tolist()
+            #: Weights of the failure arcs, and of the empty context's arcs.
+            self.fail = np.where(context > 0, np.log10(spread / (context + spread)), 0.0)
+            self.root = np.log10(p)
+        #: The state behind each word.
+        self.to = np.where(known, np.arange(len(counts)) + 2, 0)
         self.width = len(counts)
         seen = pairs > 0
-        state = from_[seen] + 2
+        state = self.to[from_[seen]] if len(counts) else np.zeros(0, np.int64)
+        state[from_[seen] < 0] = 1
         weight = np.log10((pairs[seen] + spread[state] * p[word[seen]]) / (context[state] + spread[state]))
-        self.arcs = dict(zip((state * self.width + word[seen]).tolist(), weight.tolist(), strict=True))
+        arc = state * self.width + word[seen]
+        order = np.argsort(arc)
+        self.arcs, self.weights = arc[order], weight[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The weight of reading each word in each state: its arc's, or the failure arc's and the empty context's."""
+        backed_off = self.fail[state] + self.root[word]
+        if not len(self.arcs):
+            return backed_off
+        arc = state * self.width + word
+        at = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+        return np.where(self.arcs[at] == arc, self.weights[at], backed_off)
+
+    def path(self, words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The states in which texts' words are read, from left to right; begins marks each text's first word."""
+        state = np.concatenate([[1], self.to[words[:-1]]]) if len(words) else np.zeros(0, np.int64)
+        state[begins] = 1
+        return state
 
     def walk(self, words: list[int]) -> float:
-        """log10 probability of a text, read from its begin."""
-        arcs, fail, root, to, width = self.arcs.get, self.fail, self.root, self.to, self.width
-        state, total = 1, 0.0
-        for w in words:
-            step = arcs(state * width + w)
-            total += fail[state] + root[w] if step is None else step
-            state = to[w]
-        return total
+        """log10 probability of one text, read from its begin."""
+        w = np.array(words, np.int64)
+        return float(self.step(self.path(w, np.arange(len(w)) == 0), w).sum())
 
 
 def _finisher(tokens: int, kinds: int, discount: float):
-    def done(docs: pa.RecordBatch, replies: list[bytes | None]) -> pa.RecordBatch:
+    def done(docs: pa.RecordBatch, replies: list[bytes | None], _: int) -> pa.RecordBatch:
         t = _Tokens(docs)
         got = [unframe(r) for r in replies if r is not None]
         words, which = np.unique(t.token, return_inverse=True)
         counts = np.concatenate([from_planes(unpack(p[0])) for p in got])
-        distinct, first, _ = np.unique(t.pair, return_index=True, return_inverse=True)
+        distinct, first, pair_of = np.unique(t.pair, return_index=True, return_inverse=True)
         pairs = np.concatenate([from_planes(unpack(p[1])) for p in got])
         assert len(counts) == len(words) and len(pairs) == len(distinct)
         begins = np.zeros(len(t.token), bool)
@@ -134,8 +152,9 @@ def _finisher(tokens: int, kinds: int, discount: float):
         c = counts[which]
         base = np.add.reduceat(np.log10((c + 1) / (tokens + kinds + 1)), t.at[:-1])
         known = np.add.reduceat((c > 0).astype(np.int64), t.at[:-1])
-        path = which.tolist()
-        score = [model.walk(path[a:b]) for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True)]
+        # Each text is read once; a word's weight depends on the state carried to it and is worked out once for equal pairs.
+        state = model.path(which, begins)
+        score = np.add.reduceat(model.step(state[first], which[first])[pair_of], t.at[:-1])
         return batch(_SCHEMA, docs.column("doc_id"), t.held_out, np.diff(t.at), known, np.full(docs.num_rows, tokens), base, score)
 
     return done
@@ -145,7 +164,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one words), score (the automaton's)."""
     blocks = block_table(docs, "lm-blocks")
     answers = ask(blocks, _request, _respond, "lm-counts")
-    stats = sum((np.frombuffer(x, "<i8") for x in told(answers)), np.zeros(8, np.int64)).tolist()
-    tokens, kinds, once, twice = stats[:4]
+    tokens, kinds, once, twice = totals(answers, 4)
     discount = once / (once + 2 * twice) if once and twice else 0.5
     return finish(blocks, answers, _finisher(tokens, kinds, discount), _SQL)

@@ -162,9 +162,13 @@ def test_near_duplicates(spark, sf_dir, docs_of):
 
 def test_near_duplicates_of_repeated_rows_and_empty_tables(docs_of):
     text = "one two three four five six seven"
-    got = neardup.near_duplicates(docs_of([(7, text), (7, text), (3, text), (None, text), (None, None)])).collect()
-    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(7, 3): 2, (3, 3): 1, (None, 3): 1, (None, None): 1})
+    rows = [(7, text), (7, text), (3, text), (3, text), (None, text), (None, None), (9, "a b"), (9, "c d"), (None, "e f"), (None, "e f")]
+    got = neardup.near_duplicates(docs_of(rows)).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter({(7, 3, False): 2, (3, 3, True): 1, (3, 3, False): 1, (None, 3, False): 1, (None, None, True): 2, (None, None, False): 1, (9, 9, True): 2})
+    # One row of each class stays, and texts of one id that differ are no copies.
+    assert Counter((r["doc_id"], r["text"]) for r in neardup.without_near_duplicates(docs_of(rows)).collect()) == Counter([(3, text), (None, None), (9, "a b"), (9, "c d"), (None, "e f")])
     assert neardup.near_duplicates(docs_of([]).where("false")).count() == 0
+    assert neardup.without_near_duplicates(docs_of([]).where("false")).count() == 0
 
 
 def test_consistent_sampling_estimates_weighted_jaccard():
@@ -179,14 +183,16 @@ def test_consistent_sampling_estimates_weighted_jaccard():
 
 
 def test_chunk_pairs_equal_pairwise_similarity():
-    rng = random.Random(1)
-    block, sets = neardup._Block(), {}
-    base = [rng.randrange(2**32) for _ in range(60)]
+    rng, scale = random.Random(1), 10.0
+    block, sets = neardup._Block(scale), {}
+    base = [rng.randrange(2**64) for _ in range(60)]
+    code = {k: rng.randrange(4) for k in base}
     for u in range(30):
-        own = sorted({*rng.sample(base, 55), *(rng.randrange(2**32) for _ in range(rng.randrange(8)))})
-        w = [rng.choice([1.0, 1.25, 2.5]) for _ in own]
-        sets[u] = (np.array(own, "<u4"), np.array(w, "<f4"))
-        blob = neardup.vector(np.array(own, np.uint64) << np.uint64(32), np.array(w))
+        own = sorted({*rng.sample(base, 55), *(rng.randrange(2**64) for _ in range(rng.randrange(8)))})
+        counts, codes = np.array([rng.choice([1, 1, 2]) for _ in own]), np.array([code.get(k, 0) for k in own], np.uint8)
+        blob = neardup.vector(np.array(own, np.uint64), counts, codes)
+        sets[u] = neardup._weighted(blob, scale)
+        assert sets[u][1] == pytest.approx(neardup.weights_of(counts, codes, scale), abs=0)
         block.rows[0].append((u, blob))
         block.rows[1].append((u, blob))
     got, want = defaultdict(set), defaultdict(set)
@@ -198,6 +204,18 @@ def test_chunk_pairs_equal_pairwise_similarity():
     assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
 
 
+def test_near_duplicates_of_very_long_texts_in_small_chunks(docs_of, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", 2000)
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    almost = [w if k % 60 else "other" for k, w in enumerate(long)]
+    made = [(100 + k, " ".join(f"v{(k // 3) * 1000 + j + (j % 37 == k % 3)}" for j in range(200))) for k in range(30)]
+    rows = [(1, " ".join(long)), (2, " ".join(almost)), (3, "short text"), *made]
+    want, _ = brute_classes(rows)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(rows)).collect()} == want
+    assert want[2] == 1
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)] + [(200, 201 + k) for k in range(30)] + [(5, 5)]
@@ -288,9 +306,9 @@ def test_toxicity_sample_keeps_the_rows_behind_a_long_text(spark, docs_of, monke
 
 
 def brute_vectors(rows):
-    good = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    good = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {k: v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max() for k, v in good.items()}
-    links = {k: [j for j in unit if j != k and unit[k] @ unit[j] >= 0.9 - 1e-12] for k in unit}
+    links = {k: [j for j in unit if j != k and len(unit[k]) == len(unit[j]) and unit[k] @ unit[j] >= 0.9 - 1e-12] for k in unit}
     label = {k: rows[k][0] for k in range(len(rows))}
     while True:
         new = {k: min([label[k], *(label[j] for j in links.get(k, []))]) for k in label}
@@ -318,8 +336,23 @@ def test_near_vectors(spark, monkeypatch, chunk):
         assert found[odd, 0, odd, True] == 1
 
 
-def test_near_vectors_of_the_tables(spark, sf_dir):
+def test_near_vectors_of_several_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    rows += [(500 + i, rng.normal(size=5).tolist()) for i in range(100)]
+    rows += [(700 + i, (np.array(rows[200 + i][1]) + 0.01).tolist()) for i in range(20)]
+    # Few of a length: the sample's index has one cell, and all are compared.
+    rows += [(800, [1.0, 2.0]), (801, [2.0, 4.0]), (802, [1.0, 2.1]), (803, [-1.0, 2.0])]
+    # One id with two vectors, of which each has its own links; the other's are not added to them.
+    rows += [(900, rows[0][1]), (900, rows[1][1]), (901, rows[0][1])]
+    want, found = brute_vectors(rows), Counter(map(tuple, embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert found.total() == len(rows) and sum((want & found).values()) >= 0.97 * len(rows)
+    assert found[801, 2, 800, False] == found[900, 2, 0, False] == found[900, 1, 1, False] == 1
+
+
+def test_near_vectors_of_the_tables(spark, sf_dir, monkeypatch):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    monkeypatch.setattr(embeddings, "SAMPLE", 256)
     x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], float)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = int((u @ u.T >= 0.9).sum()) - len(u)

@@ -169,7 +169,8 @@ def test_bit_packing(bits):
     assert len(packed) == (1001 * bits + 7) // 8
     assert (tokenfile.unpack_bits(np.frombuffer(packed, np.uint8), 1001, bits) == ids).all()
     cut = np.split(ids, [0, 10, 10, 900])
-    s = next(tokenfile.segments(tokenfile.segment(3, list(range(5)), cut, bits, block=64) + b"\n"))
+    s = tokenfile.Segment(tokenfile.segment(3, 11, list(range(5)), cut, bits, block=64))
+    assert (s.shard, s.before, s.tokens) == (3, 11, 1001)
     assert [s.document(i).tolist() for i in range(5)] == [c.tolist() for c in cut]
     assert s.read(63, 66).tolist() == ids[63:66].tolist()
 
@@ -186,6 +187,34 @@ def test_token_files(spark, sf_dir, docs_of):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_token_files_in_many_shards_segments_and_splits(spark, docs_of, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokenfile, "SEGMENT_TOKENS", 50)
+    monkeypatch.setattr(tokenfile, "FILE_SEGMENTS", 3)
+    # A hot id, a hot text, and line breaks within the ids' bytes.
+    rows = [*((7, f"text {k}\n\n number {k * k}") for k in range(60)), *((8, "the same words again\n") for _ in range(60)), *((k, f"a{k}") for k in range(20, 60)), (None, None), (None, "x")]
+    path = f"file://{tmp_path}/tokens"
+    tokenfile.write_tokens(docs_of(rows, 4), tokenizer_path("byte_bpe_50k.json"), 2, path, shards=5)
+    assert len(list((tmp_path / "tokens").glob("*.txt"))) > 5
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = sorted(map(tuple, tokenfile.read_tokens(spark, path).collect()), key=lambda r: r[1])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    tok = Encoder(tokenizer_json(tokenizer_path("byte_bpe_50k.json"))).tokenizer
+    coded = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    assert Counter((i, n, c) for i, _, n, c in got) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in coded)
+    ids = [-1 if r[0] is None else r[0] for r in got]
+    assert ids == sorted(ids) and [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+
+
+def test_segments_never_hold_the_separator(monkeypatch):
+    ids = np.frombuffer(b"\n--en", np.uint8).astype(np.uint32)
+    monkeypatch.setattr(tokenfile, "SEPARATOR", "--e")
+    raw = tokenfile.segment(0, 0, [1], [ids], 8, block=6)
+    assert b"--e" not in raw and tokenfile.Segment(raw).document(0).tolist() == ids.tolist()
+
+
 def test_packing(spark, sf_dir, docs_of):
     rows = [*enumerate(ODD), *((1000 + i, t) for i, t in real(spark, sf_dir, "documents", "doc_id"))]
     tok = Encoder(tokenizer_json(tokenizer_path("word_bpe_49k.json"))).tokenizer
