@@ -1,14 +1,17 @@
 """Citations: whether quoted text stands in a paper or in its tables.
 
-Exact quotes are found by an expression in the JVM; only what that leaves goes
-to the sequence matcher, one row for each distinct (paper, citation, gene).
+Exact quotes are found by an expression in the JVM, and so are the numbers and
+symbols that have to stand near a quote. Only quotes that do not stand there
+word for word go to the sequence matcher, one row for each distinct (paper,
+citation, gene), and that only compares windows which have enough of a quote's
+words to reach the ratio asked for.
 """
 
 from __future__ import annotations
 
 import difflib
-import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,67 +20,77 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions.text import normalized, numbers, squeezed, word_count
 
-_NUMBER = re.compile(r"\b\d+(?:\.\d+)?\b")
-
-
-def exact_place(citation: Column, text: Column) -> Column:
-    """Where a citation begins in a text, both normalized, lower-case and squeezed; 0 if nowhere."""
-    return F.instr(squeezed(F.lower(normalized(text))), squeezed(F.lower(normalized(citation))))
-
-
-def closest_window(citation: list[str], words: list[str]) -> tuple[float, int]:
-    """The best ratio of a citation to windows of three more words, and that window's place."""
-    n, best, at, own = len(citation), 0.0, -1, set(citation)
-    step, size = max(1, n // 2), n + 3
-    matcher = difflib.SequenceMatcher(None, citation)
-    tried: set[int] = set()
-    for i in range(0, len(words) - n + step, step):
-        if len(own & set(words[i : i + size])) < 0.6 * len(own):
-            continue
-        for j in range(max(0, i - step), min(len(words) - n + 1, i + step)):
-            if j in tried:
-                continue
-            tried.add(j)
-            matcher.set_seq2(words[j : j + size])
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
-                best, at = r, j
+#: Characters around a quote in which its numbers, and a symbol of its gene, have to stand; words of the shortest quote that is compared loosely.
+NUMBERS_WITHIN, SYMBOLS_WITHIN, LOOSE_WORDS, SPARE_WORDS = 500, 1500, 5, 3
+
+
+def plain(text: Column | str) -> Column:
+    """The form in which quotes and texts are compared: normalized, lower-case and squeezed."""
+    return squeezed(F.lower(normalized(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))))
+
+
+def closest_window(quote: list[str], words: list[str], least: float = 0.0) -> tuple[float, int]:
+    """The window of a few more words than a quote that is most like it: (ratio, place), (0, -1) if none reaches `least`.
+
+    A window's matches are at most those of its words that the quote has, which
+    bounds its ratio; windows are compared from the highest bound on, until no
+    bound is left above the best ratio.
+    """
+    n, size = len(quote), len(quote) + SPARE_WORDS
+    own = set(quote)
+    shared = np.concatenate([[0], np.cumsum([w in own for w in words])])
+    start = np.arange(max(1, len(words) - n + 1))
+    end = np.minimum(start + size, len(words))
+    bound = 2 * np.minimum(shared[end] - shared[start], n) / (n + end - start)
+    best, at, matcher = 0.0, -1, difflib.SequenceMatcher(None, quote)
+    for j in np.argsort(-bound, kind="stable").tolist():
+        if bound[j] <= best or bound[j] < least:
+            break
+        matcher.set_seq2(words[j : j + size])
+        ratio = matcher.ratio()
+        if ratio > best and ratio >= least:
+            best, at = ratio, j
     return best, at
 
 
-def judge(citation: str, text: str, symbols: list[str], threshold: float = C.CITATION_RATIO) -> tuple[bool, float, str]:
-    """Whether a citation stands in a text, how closely, and why: wording, then numbers within 500 characters, then a symbol within 1500.
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())]))
+def loose_place(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """Ratio, place (from 1) and length of the closest window; null for a null quote."""
+    out = []
+    for q, t in zip(quote, text, strict=True):
+        ratio, j = (0.0, -1)
+        if q is not None:
+            own, words = q.split(" "), t.split(" ")
+            ratio, j = closest_window(own, words, C.CITATION_RATIO)
+        out.append((ratio, 1 + len(" ".join(words[:j])) + (j > 0), len(" ".join(words[j : j + len(own) + SPARE_WORDS]))) if j >= 0 else (None, None, None))
+    return pd.DataFrame(out, columns=["ratio", "at", "size"]).astype({"at": "Int32", "size": "Int32"})
+
+
+def judged(asked: DataFrame) -> DataFrame:
+    """Adds found, ratio and reason to rows of _quote and _text, both plain, and _names: wording, then numbers, then a symbol near by.
 
-    Both are normalized, lower-case and squeezed, and offsets refer to that form.
+    Reasons: nothing_to_compare, short_quote_not_found, no_similar_text,
+    number_not_near:<number>, symbol_not_near, quote_found, similar_text_found.
     """
-    if not citation or not text:
-        return False, 0.0, "Empty citation or paper"
-    at = text.find(citation)
-    if at >= 0:
-        ratio, end = 1.0, at + len(citation)
-    else:
-        own, words = citation.split(), text.split()
-        if len(own) < 5:
-            return False, 0.0, "No exact match for short citation"
-        ratio, j = closest_window(own, words)
-        if ratio < threshold:
-            said = f"No similar text in paper (best ratio: {ratio:.2f})" if ratio < 0.6 else f"Near-miss match (ratio {ratio:.2f} < threshold {threshold:.2f}) — likely formatting drift"
-            return False, ratio, said
-        at = len(" ".join(words[:j])) + (j > 0)
-        end = at + len(" ".join(words[j : j + len(own) + 3]))
-    near = set(_NUMBER.findall(text[max(0, at - 500) : end + 500]))
-    if lost := next((x for x in _NUMBER.findall(citation) if x not in near), None):
-        return False, ratio, f"Numerical mismatch: '{lost}' not found in matching paragraph"
-    if symbols:
-        around = text[max(0, at - 1500) : end + 1500]
-        plain = around.replace("-", "")
-        if not any(re.search(rf"\b{re.escape(s)}\b", around) or re.search(rf"\b{re.escape(s.replace('-', ''))}\b", plain) for s in (x.lower() for x in symbols)):
-            return False, ratio, f"Gene symbols ({', '.join(repr(s) for s in symbols)}) not found in matching paragraph context"
-    return True, ratio, "Match found and constraints verified"
-
-
-@F.pandas_udf(T.StructType([T.StructField("found", T.BooleanType()), T.StructField("ratio", T.DoubleType()), T.StructField("reason", T.StringType())]))
-def judge_udf(citation: pd.Series, text: pd.Series, symbols: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([judge(c or "", t or "", [x for x in (s if s is not None else []) if x]) for c, t, s in zip(citation, text, symbols, strict=True)], columns=["found", "ratio", "reason"])
+    short = F.size(F.split("_quote", " ")) < LOOSE_WORDS
+    empty = (F.col("_quote") == "") | (F.col("_text") == "")
+    a = asked.withColumn("_at", F.when(empty, 0).otherwise(F.instr("_text", F.col("_quote"))))
+    loose = (F.col("_at") == 0) & ~empty & ~short
+    a = a.withColumn("_loose", loose_place(F.when(loose, F.col("_quote")), F.when(loose, F.col("_text"))))
+    exact = F.col("_at") > 0
+    a = a.withColumns({"ratio": F.when(exact, 1.0).otherwise(F.coalesce("_loose.ratio", F.lit(0.0))), "_from": F.when(exact, F.col("_at")).otherwise(F.col("_loose.at")), "_size": F.when(exact, F.length("_quote")).otherwise(F.col("_loose.size"))})
+
+    def around(within: int) -> Column:
+        return F.substring(F.col("_text"), F.greatest(F.col("_from") - within, F.lit(1)), F.col("_size") + within + F.least(F.lit(within), F.col("_from") - 1))
+
+    a = a.withColumns({"_lost": F.get(F.array_except(numbers("_quote"), numbers(around(NUMBERS_WITHIN))), F.lit(0)), "_wide": around(SYMBOLS_WITHIN)})
+    word = lambda s: F.concat(F.lit("\\b\\Q"), s, F.lit("\\E\\b"))
+    bare = lambda s: F.replace(s, F.lit("-"), F.lit(""))
+    named = (F.size("_names") == 0) | F.exists(F.transform("_names", lambda s: F.lower(s)), lambda s: F.rlike("_wide", word(s)) | F.rlike(bare(F.col("_wide")), word(bare(s))))
+    reason = F.when(empty, "nothing_to_compare").when(F.col("_from").isNull() & short, "short_quote_not_found").when(F.col("_from").isNull(), "no_similar_text")
+    reason = reason.when(F.col("_lost").isNotNull(), F.concat(F.lit("number_not_near:"), F.col("_lost"))).when(~named, "symbol_not_near").when(exact, "quote_found").otherwise("similar_text_found")
+    a = a.withColumn("reason", reason).withColumn("found", F.col("reason").isin("quote_found", "similar_text_found"))
+    return a.drop("_at", "_loose", "_from", "_size", "_lost", "_wide")
 
 
 def confidence(citation: Column | str, found: Column, ratio: Column) -> Column:
@@ -126,10 +139,9 @@ def verify(citations: DataFrame, texts: DataFrame, index: DataFrame | None = Non
     names = F.array_distinct(F.concat(F.array(F.coalesce("gene", F.lit(""))), F.coalesce("names", F.array().cast("array<string>"))))
     c = citations.withColumn("_names", F.filter(names, lambda x: F.trim(x) != ""))
     each = c.select(id_column, "citation", "_names").distinct()
-    shaped = texts.select(id_column, squeezed(F.lower(normalized(F.coalesce("text", F.lit(""))))).alias("_text"))
-    said = each.withColumn("_quote", squeezed(F.lower(normalized(F.coalesce("citation", F.lit("")))))).join(shaped, id_column, "left")
-    judged = said.withColumn("_j", judge_udf("_quote", F.coalesce("_text", F.lit("")), "_names")).select(id_column, "citation", "_names", "_j.*")
-    out = c.join(judged, [id_column, "citation", "_names"], "left")
+    said = each.withColumn("_quote", plain("citation")).join(texts.select(id_column, plain("text").alias("_text")), id_column, "left").withColumn("_text", F.coalesce("_text", F.lit("")))
+    told = judged(said).select(id_column, "citation", "_names", "found", "ratio", "reason")
+    out = c.join(told, [id_column, "citation", "_names"], "left")
     if index is not None:
         out = out.join(best_table_row(citations, index, id_column).select(id_column, "cid", F.col("score").alias("_score"), F.col("label").alias("_label")), [id_column, "cid"], "left")
         by_table = ~F.col("found") & (F.col("_score") >= 0.7)

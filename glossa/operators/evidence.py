@@ -1,15 +1,15 @@
 """Evidence: where candidates stand in their paper's text.
 
-Spans need match offsets, which no built-in function returns, so these run as
-Arrow batches in Python; all are per row of a table that carries the text, never
-across papers.
+All of it is expressions that stay in the JVM. Offsets come of cutting a text at
+a pattern: the pieces and the matches between them, added up, say where each
+match begins. Every expression is per row of a table that carries the text,
+never across papers.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,134 +17,143 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.text import squeezed
 
+_SPANS = "array<struct<at:int,size:int>>"
 
-@lru_cache(maxsize=4096)
-def _patterns(term: str) -> tuple[re.Pattern, ...]:
-    """A term between non-alphanumeric characters; then, from three characters on, with separators between any two."""
-    guard = r"(?i)(?<![A-Za-z0-9])%s(?![A-Za-z0-9])"
-    found = [re.compile(guard % re.escape(term))]
-    letters = re.sub(r"[^A-Za-z0-9]", "", term)
-    if len(letters) >= 3:
-        found.append(re.compile(guard % r"[\s\-_/.()]*".join(map(re.escape, letters))))
-    return tuple(found)
-
-
-def matches(terms: Iterable[str], text: str, most: int | None = None, symbol: str | None = None) -> Iterator[tuple[str, re.Match]]:
-    """Matches by term, then pattern, then place; at most `most` for each term and pattern. Compound names of a symbol do not count."""
-    for term in terms:
-        term = (term or "").strip()
-        if not term:
-            continue
-        compound = C.COMPOUND_PREFIXES.get((symbol or term).upper())
-        for pattern in _patterns(term):
-            for k, m in enumerate(pattern.finditer(text)):
-                if most is not None and k >= most:
-                    break
-                if not (compound and re.match(compound, text[m.end() : m.end() + 40])):
-                    yield term, m
-
-
-def snippet(text: str, m: re.Match, longest: int = C.SNIPPET_MAX) -> str:
-    """Up to 80 characters before a match, from a sentence's start if there is one, and 220 behind it."""
-    start = max(0, m.start() - 80)
-    if edge := re.search(r"(?<=[.!?])\s+", text[start : m.start()]):
-        start += edge.end()
-    out = re.sub(r"\s+", " ", text[start : m.end() + 220]).strip()
-    return out if len(out) <= longest else out[: longest - 3].rstrip() + "..."
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), for which value is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def first_snippet(terms: Iterable[str], text: str) -> tuple[str, str]:
-    """The first term that the text has, and its snippet."""
-    return next(((t, snippet(text, m)) for t, m in matches(terms, text)), ("", ""))
 
+def _literal(term: Column) -> Column:
+    """A pattern that stands for a term as it is written."""
+    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("")), F.lit("\\E"))
 
-def specific_snippet(terms: list[str], peers: list[tuple[str, list[str]]], text: str) -> tuple[str, bool, list[str]]:
-    """A snippet that names no peer, else the first one with the peers that it names: (snippet, specific, peers)."""
-    present = lambda s: [name for name, own in peers if any(_patterns(t.strip())[0].search(s) for t in own if t.strip())]
-    for _, m in matches(terms, text, C.SCAN_MAX):
-        s = snippet(text, m)
-        if s and not present(s):
-            return s, True, []
-    fallback = first_snippet(terms, text)[1]
-    return fallback, False, present(fallback) if fallback else []
 
+def _whole(pattern: Column, behind: Column | str = "") -> Column:
+    """A pattern between non-alphanumeric characters, regardless of case."""
+    return F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), pattern, F.lit("(?![A-Za-z0-9])"), F.lit(behind) if isinstance(behind, str) else behind)
 
-def _sentence(text: str, m: re.Match) -> str:
-    left = max(text.rfind(c, 0, m.start()) for c in ".!?\n")
-    ends = [p for p in (text.find(c, m.end()) for c in ".!?\n") if p >= 0]
-    out = re.sub(r"\s+", " ", text[left + 1 if left >= 0 else max(0, m.start() - 140) : min(ends) + 1 if ends else m.end() + 320]).strip()
-    return out if len(out) <= 500 else out[:497].rstrip() + "..."
 
+def _no_compound(symbol: Column) -> Column:
+    """What may not follow a symbol: the rest of a compound's name."""
+    out = F.lit("")
+    for name, rest in C.COMPOUND_PREFIXES.items():
+        out = F.when(F.upper(symbol) == name, f"(?!{rest})").otherwise(out)
+    return out
 
-_SIGNALS = {k: re.compile(v) for k, v in {"result": C.RESULT_SIGNAL, "pathway": C.PATHWAY_SIGNAL, "weak": C.WEAK_CONTEXT, "molecular": C.MOLECULAR_SIGNAL}.items()}
 
+def _patterns(term: Column, symbol: Column | None = None) -> Column:
+    """The term as it is; then, from three letters and digits on, these with separators between any two."""
+    bar = _no_compound(term if symbol is None else symbol)
+    letters = F.regexp_replace(term, "[^A-Za-z0-9]", "")
+    spread = F.regexp_replace(letters, "(.)(?=.)", r"$1[\\s\\-_/.()]*")
+    return F.array_compact(F.array(_whole(_literal(term), bar), F.when(F.length(letters) >= 3, _whole(spread, bar))))
+
+
+def _terms(terms: Column | str) -> Column:
+    t = F.col(terms) if isinstance(terms, str) else terms
+    return F.filter(F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
 
-def context_evidence(gene: str, terms: list[str], text: str) -> tuple[bool, str, str]:
-    """Whether some mention stands in biological context: (supported, reason, snippet)."""
-    if not text:
-        return False, "no_paper_text", ""
-    if not terms:
-        return False, "no_candidate_terms", ""
-    symbol, rejected = (gene or "").strip().upper(), ""
-    excluded = C.SYMBOL_EXCLUSIONS.get(symbol)
-    for _, m in matches(terms, text, C.SCAN_MAX, symbol):
-        sentence = _sentence(text, m)
-        window = re.sub(r"\s+", " ", text[max(0, m.start() - 450) : m.end() + 450]).strip()
-        around, shown = f"{sentence} {window}", sentence or window[:500]
-        rejected = rejected or shown
-        if excluded and re.search(excluded, around):
-            continue
-        has = {k: bool(p.search(around)) for k, p in _SIGNALS.items()}
-        if has["weak"] and not (has["result"] or has["pathway"]):
-            continue
-        if has["result"] and (has["molecular"] or has["pathway"]):
-            return True, "result_context", shown
-        if has["pathway"]:
-            return True, "pathway_context", shown
-    return False, "no_strong_deterministic_context", rejected
-
-
-def statistical_sentence(terms: list[str], text: str) -> str:
-    """The shortest sentence near the first term that has one, which names the term and a statistic; cut at 500 characters."""
-    signal = re.compile(C.STATISTICAL_SIGNAL)
-    for term in terms:
-        if not term:
-            continue
-        named, best = re.compile(re.escape(term), re.IGNORECASE), ""
-        for m in named.finditer(text):
-            for s in re.split(r"(?<=[.!?])\s+", text[max(0, m.start() - 600) : m.end() + 600]):
-                clean = " ".join(s.split())
-                if len(clean) >= 20 and named.search(s) and signal.search(s) and (not best or len(clean) < len(best)):
-                    best = clean[:500]
-        if best:
-            return best
-    return ""
 
+def _text(text: Column | str) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
-def _strings(x) -> list[str]:
-    return [] if x is None else [t for t in x if t]
 
+def spans(text: Column, pattern: Column, most: int) -> Column:
+    """Place (from 1) and length of the first matches of a pattern."""
+    found = F.slice(F.regexp_extract_all(text, pattern, F.lit(0)), 1, most)
+    pieces = lambda f: F.zip_with(f, F.slice(F.split(text, pattern), F.lit(1), F.size(f)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+    added = lambda a, x: F.struct((a["next"] + x["gap"] + x["size"]).alias("next"), F.array_append(a["out"], F.struct((a["next"] + x["gap"]).alias("at"), x["size"].alias("size"))).alias("out"))
+    return _let(found, lambda f: F.when(F.size(f) > 0, F.aggregate(pieces(f), F.struct(F.lit(1).alias("next"), F.array().cast(_SPANS).alias("out")), added, lambda a: a["out"])).otherwise(F.array().cast(_SPANS)))
 
-@F.pandas_udf(T.StructType([T.StructField("term", T.StringType()), T.StructField("snippet", T.StringType())]))
-def first_snippet_udf(terms: pd.Series, text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([first_snippet(_strings(t), x or "") for t, x in zip(terms, text, strict=True)], columns=["term", "snippet"])
 
+def _every_span(terms: Column, text: Column, symbol: Column | None = None) -> Column:
+    """Spans by term, then pattern, then place."""
+    return F.flatten(F.transform(terms, lambda t: F.flatten(F.transform(_patterns(t, symbol), lambda p: spans(text, p, C.SCAN_MAX)))))
 
-@F.pandas_udf(T.StructType([T.StructField("supported", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("snippet", T.StringType())]))
-def context_udf(gene: pd.Series, terms: pd.Series, text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([context_evidence(g or "", _strings(t), x or "") for g, t, x in zip(gene, terms, text, strict=True)], columns=["supported", "reason", "snippet"])
+
+def _cut(text: Column, longest: int) -> Column:
+    return F.when(F.length(text) <= longest, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, longest - 3)), F.lit("...")))
+
+
+def snippet(text: Column, at: Column, size: Column, longest: int = C.SNIPPET_MAX) -> Column:
+    """Up to 80 characters before a match, from a sentence's start if there is one, and 220 behind it."""
+    lead = F.substring(text, F.greatest(at - 80, F.lit(1)), F.least(F.lit(80), at - 1))
+    lead = _let(lead, lambda x: F.when(x.rlike(r"[.!?]\s"), F.regexp_extract(x, r"(?s)[.!?]\s+(.*)$", 1)).otherwise(x))
+    return _let(squeezed(F.concat(lead, F.substring(text, at, size + 220))), lambda x: _cut(x, longest))
 
 
-@F.pandas_udf(T.StringType())
-def statistical_udf(terms: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([statistical_sentence(_strings(t), x or "") for t, x in zip(terms, text, strict=True)])
+def first_snippet(terms: Column | str, text: Column | str) -> Column:
+    """The first term that the text has, and its snippet: (term, snippet), blank without one."""
+    body = _text(text)
+    tried = F.flatten(F.transform(_terms(terms), lambda t: F.transform(_patterns(t), lambda p: F.struct(t.alias("term"), F.regexp_instr(body, p).alias("at"), F.length(F.coalesce(F.regexp_substr(body, p), F.lit(""))).alias("size")))))
+    first = F.get(F.filter(tried, lambda h: h["at"] > 0), F.lit(0))
+    return _let(first, lambda h: F.struct(F.coalesce(h["term"], F.lit("")).alias("term"), F.coalesce(snippet(body, h["at"], h["size"]), F.lit("")).alias("snippet")))
+
+
+def specific_snippet(terms: Column | str, peers: Column | str, text: Column | str) -> Column:
+    """A snippet that names no peer, else the first one with the peers that it names: (snippet, specific, peers).
+
+    peers is a list of genes with their terms.
+    """
+    body, others = _text(text), F.col(peers) if isinstance(peers, str) else peers
+    named = lambda s: F.transform(F.filter(others, lambda p: F.exists(_terms(p["terms"]), lambda t: F.rlike(s, _whole(_literal(t))))), lambda p: p["gene"])
+    windows = F.transform(_every_span(_terms(terms), body), lambda s: snippet(body, s["at"], s["size"]))
+    alone = F.get(F.filter(windows, lambda w: (w != "") & (F.size(named(w)) == 0)), F.lit(0))
+    both = F.struct(alone.alias("alone"), first_snippet(terms, text)["snippet"].alias("first"))
+    none = F.array().cast("array<string>")
+    return _let(both, lambda b: F.struct(F.coalesce(b["alone"], b["first"]).alias("snippet"), b["alone"].isNotNull().alias("specific"), F.when(b["alone"].isNull() & (b["first"] != ""), named(b["first"])).otherwise(none).alias("peers")))
+
+
+def _sentence(text: Column, at: Column, size: Column) -> Column:
+    """The sentence around a match; where no end of one is in sight, 140 characters before and 320 behind it."""
+    ends = (".", "!", "?", "\n")
+    shortest = lambda xs: F.array_min(F.array(*[F.length(x) for x in xs]))
+    before, behind = F.substring(text, F.lit(1), at - 1), F.substring(text, at + size, F.length(text))
+    before = _let(before, lambda b: _let(shortest([F.substring_index(b, e, -1) for e in ends]), lambda n: F.right(b, F.when(n < F.length(b), n).otherwise(F.lit(140)))))
+    behind = _let(behind, lambda b: _let(shortest([F.substring_index(b, e, 1) for e in ends]), lambda n: F.left(b, F.when(n < F.length(b), n + 1).otherwise(F.lit(320)))))
+    return _let(squeezed(F.concat(before, F.substring(text, at, size), behind)), lambda x: _cut(x, 500))
+
+
+def _context(symbol: Column, around: Column) -> Column:
+    """Which kind of biological context words around a mention make, if any."""
+    excluded = F.lit(False)
+    for name, words in C.SYMBOL_EXCLUSIONS.items():
+        excluded = excluded | ((F.upper(F.trim(symbol)) == name) & around.rlike(words))
+    signs = F.struct(*[around.rlike(p).alias(n) for n, p in (("result", C.RESULT_SIGNAL), ("pathway", C.PATHWAY_SIGNAL), ("molecular", C.MOLECULAR_SIGNAL))])
+    kind = lambda s: F.when(s["result"] & (s["molecular"] | s["pathway"]), "result_context").when(s["pathway"], "pathway_context")
+    # A weak context counts only beside a result or a pathway, and these alone decide.
+    return F.when(~excluded, _let(signs, kind))
+
+
+def context_evidence(gene: Column | str, terms: Column | str, text: Column | str) -> Column:
+    """Whether some mention stands in biological context: (supported, reason, snippet)."""
+    symbol, body, wanted = F.coalesce(F.col(gene) if isinstance(gene, str) else gene, F.lit("")), _text(text), _terms(terms)
+    seen = F.transform(_every_span(wanted, body, F.trim(symbol)), lambda s: F.struct(_sentence(body, s["at"], s["size"]).alias("sentence"), squeezed(F.substring(body, F.greatest(s["at"] - 450, F.lit(1)), s["size"] + 450 + F.least(F.lit(450), s["at"] - 1))).alias("window")))
+    shown = F.transform(seen, lambda x: F.struct(F.coalesce(F.nullif(x["sentence"], F.lit("")), F.left(x["window"], F.lit(500))).alias("shown"), F.concat_ws(" ", x["sentence"], x["window"]).alias("around")))
+    judged = F.transform(shown, lambda x: F.struct(x["shown"].alias("shown"), _context(symbol, x["around"]).alias("reason")))
+    answer = lambda ok, reason, said: F.struct(F.lit(ok).alias("supported"), reason.alias("reason"), said.alias("snippet"))
+    best = lambda j: _let(F.get(F.filter(j, lambda x: x["reason"].isNotNull()), F.lit(0)), lambda b: F.when(b.isNotNull(), answer(True, b["reason"], b["shown"])).otherwise(answer(False, F.lit("no_strong_deterministic_context"), F.coalesce(F.get(j, F.lit(0))["shown"], F.lit("")))))
+    blank = lambda reason: answer(False, F.lit(reason), F.lit(""))
+    return F.when(body == "", blank("no_paper_text")).when(F.size(wanted) == 0, blank("no_candidate_terms")).otherwise(_let(judged, best))
+
+
+def statistical_sentence(terms: Column | str, text: Column | str) -> Column:
+    """The shortest sentence near the first term that has one, which names the term and a statistic; cut at 500 characters."""
+    body = _text(text)
 
+    def shortest(term: Column) -> Column:
+        pattern = F.concat(F.lit("(?i)"), _literal(term))
+        near = F.transform(spans(body, pattern, 1 << 20), lambda s: F.substring(body, F.greatest(s["at"] - 600, F.lit(1)), s["size"] + 600 + F.least(F.lit(600), s["at"] - 1)))
+        parts = F.flatten(F.transform(near, lambda w: F.split(w, r"(?<=[.!?])\s+")))
+        good = F.filter(parts, lambda p: p.rlike(C.STATISTICAL_SIGNAL) & F.rlike(p, pattern) & (F.length(squeezed(p)) >= 20))
+        ranked = F.transform(good, lambda p, k: F.struct(F.length(squeezed(p)).alias("n"), k.alias("k"), F.left(squeezed(p), F.lit(500)).alias("s")))
+        return F.array_min(ranked)["s"]
 
-@F.pandas_udf(T.StructType([T.StructField("snippet", T.StringType()), T.StructField("specific", T.BooleanType()), T.StructField("peers", T.ArrayType(T.StringType()))]))
-def specific_udf(terms: pd.Series, peers: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = [specific_snippet(_strings(t), [(p["gene"], _strings(p["terms"])) for p in (ps if ps is not None else [])], x or "") for t, ps, x in zip(terms, peers, text, strict=True)]
-    return pd.DataFrame(rows, columns=["snippet", "specific", "peers"])
+    return F.coalesce(F.get(F.array_compact(F.transform(_terms(terms), shortest)), F.lit(0)), F.lit(""))
 
 
 def ground(candidates: DataFrame, texts: DataFrame, id_column: str = "pmid") -> tuple[DataFrame, DataFrame]:
@@ -157,9 +166,9 @@ def ground(candidates: DataFrame, texts: DataFrame, id_column: str = "pmid") ->
     t = candidates.join(texts, id_column, "left")
     figure_only = F.forall("sources", lambda s: s == "llm_figure")
     first = F.when(figure_only, F.col("captions")).otherwise(F.col("text")) if "captions" in have else F.col("text")
-    t = t.withColumn("_a", first_snippet_udf("terms", F.coalesce(first, F.lit(""))))
+    t = t.withColumn("_a", first_snippet("terms", first))
     again = F.col("original_text") if "original_text" in have else F.lit("")
-    t = t.withColumn("_b", first_snippet_udf("terms", F.when((F.col("_a.term") == "") & ~figure_only, F.coalesce(again, F.lit(""))).otherwise(F.lit(""))))
+    t = t.withColumn("_b", first_snippet("terms", F.when((F.col("_a.term") == "") & ~figure_only, again)))
     hit = F.when(F.col("_a.term") != "", F.col("_a")).otherwise(F.col("_b"))
     source = F.when((F.col("_a.term") != "") & figure_only, "figure_caption").when(F.col("_a.term") != "", "paper_text").when(F.col("_b.term") != "", "original_text")
     done = t.withColumns({"grounding_match": hit["term"], "grounding_snippet": hit["snippet"], "grounding_source": source}).drop("_a", "_b", *(have - {id_column}))
@@ -179,7 +188,7 @@ def backfill(rows: DataFrame, texts: DataFrame, column: str, columns: list[str],
     # All rows of one paper's candidates: bounded by the paper, and gathered once a paper.
     peers = rows.groupBy(id_column).agg(F.collect_list(F.struct(key.alias("gene"), F.col("terms"))).alias("_all"))
     r = rows.join(peers, id_column).join(texts.select(id_column, F.col("text").alias("_text")), id_column, "left")
-    r = r.withColumn("_f", F.when(empty, specific_udf("terms", F.filter("_all", lambda p: p["gene"] != key), F.coalesce("_text", F.lit("")))))
+    r = r.withColumn("_f", F.when(empty, specific_snippet("terms", F.filter("_all", lambda p: p["gene"] != key), "_text")))
     filled = F.coalesce(F.col("_f.snippet"), F.lit("")) != ""
     return r.withColumns({
         column: F.when(filled, F.col("_f.snippet")).otherwise(F.col(f"`{column}`")),
@@ -196,7 +205,7 @@ def fill_missing(rows: DataFrame, columns: list[str], texts: DataFrame, id_colum
     for c in columns:
         value, cite = F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))), f"{c} Citation"
         if "statistical" in c.lower():
-            r = r.withColumn("_s", F.when(value == "", statistical_udf("terms", F.coalesce("_text", F.lit("")))).otherwise(F.lit("")))
+            r = r.withColumn("_s", F.when(value == "", statistical_sentence("terms", "_text")).otherwise(F.lit("")))
             r = r.withColumns({c: F.when(F.col("_s") != "", F.col("_s")).otherwise(F.col(f"`{c}`")), cite: F.when(F.col("_s") != "", F.col("_s")).otherwise(F.col(f"`{cite}`"))}).drop("_s")
         elif "conclusion" in c.lower():
             said = [s for s in ("Key Finding", "Disease Association") if s in rows.columns]

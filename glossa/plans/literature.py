@@ -69,7 +69,7 @@ def validate(grounded: DataFrame, lex: DataFrame, texts: DataFrame) -> gates.Gat
     c = grounded.join(known, text.gene_key("gene") == F.col("_s"), "left").withColumn("confidence", text.validation_confidence(F.coalesce("_known", F.lit(False)), "variant")).drop("_s", "_known")
     lone = (F.size("sources") == 1) & F.array_contains("sources", "deterministic_lexicon") & (F.col("variant") == "")
     c = c.join(texts.select("pmid", F.col("text").alias("_text")), "pmid", "left")
-    c = c.withColumn("_c", F.when(lone, evidence.context_udf("gene", "terms", F.coalesce("_text", F.lit(""))))).withColumns({"context_supported": F.coalesce("_c.supported", F.lit(False)), "context_reason": F.coalesce("_c.reason", F.lit(""))}).drop("_c", "_text")
+    c = c.withColumn("_c", F.when(lone, evidence.context_evidence("gene", "terms", "_text"))).withColumns({"context_supported": F.coalesce("_c.supported", F.lit(False)), "context_reason": F.coalesce("_c.reason", F.lit(""))}).drop("_c", "_text")
     return gates.validation_gate(c)
 
 
@@ -87,11 +87,14 @@ def run(i: Inputs, user_columns: list[str], top_n: int | None = None) -> Result:
     rows = evidence.backfill(rows, i.texts, user_columns[0], user_columns)
     rows = evidence.fill_missing(rows, user_columns, i.texts)
     index = citations.table_rows(i.tables)
-    for c in user_columns:
-        quoted = rows.where(F.trim(F.coalesce(F.col(f"`{c} Citation`"), F.lit(""))) != "").where(F.col(f"`{c} Citation`") != C.AUTO_SNIPPET)
-        asked = quoted.select("pmid", F.xxhash64("gene", "variant").alias("cid"), "gene", F.col("labels").alias("names"), F.col(f"`{c} Citation`").alias("citation"))
-        judged = citations.verify(asked, i.texts, index).select("pmid", "cid", F.col("valid").alias(f"{c}_citation_valid"), F.col("reason").alias(f"{c}_citation_details"), F.col("confidence").alias(f"{c}_citation_confidence"))
-        rows = rows.withColumn("cid", F.xxhash64("gene", "variant")).join(judged, ["pmid", "cid"], "left").drop("cid")
+    # All columns' quotes are rows of one table: each is verified once, and the rows meet the verdicts in one join, however many columns there are.
+    row = F.xxhash64("gene", "variant")
+    quotes = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c} Citation`").alias("citation")) for k, c in enumerate(user_columns)])
+    asked = rows.select("pmid", row.alias("row"), "gene", F.col("labels").alias("names"), F.inline(quotes)).where(F.trim(F.coalesce("citation", F.lit(""))) != "").where(F.col("citation") != C.AUTO_SNIPPET)
+    told = citations.verify(asked.withColumn("cid", F.struct("row", "k")), i.texts, index)
+    verdict = lambda k, x: F.max(F.when(F.col("k") == k, F.col(x)))
+    wide = told.groupBy("pmid", "row").agg(*[verdict(k, x).alias(f"{c}_citation_{n}") for k, c in enumerate(user_columns) for x, n in (("valid", "valid"), ("reason", "details"), ("confidence", "confidence"))])
+    rows = rows.withColumn("row", row).join(wide, ["pmid", "row"], "left").drop("row")
     rows = rows.withColumn("validation_confidence", F.col("confidence"))
     kept, gone = gates.all_gates(rows, user_columns)
     ner = i.ner.select("pmid", F.col("symbol").alias("_s"), F.col("gene_id").alias("NCBI Gene ID")).dropDuplicates(["pmid", "_s"])

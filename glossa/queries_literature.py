@@ -327,7 +327,7 @@ def context_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a lexicon candidate stands in biological context."""
     p = table(spark, sf_dir, "papers").select("pmid", F.col("abstract").alias("text"))
     found = lexicon.scan(p, _lexicon(spark, sf_dir)).join(p, "pmid")
-    return found.withColumn("c", evidence.context_udf("gene", F.array("gene"), "text")).select("pmid", "gene", "c.supported", "c.reason")
+    return found.withColumn("c", evidence.context_evidence("gene", F.array("gene"), "text")).select("pmid", "gene", "c.supported", "c.reason")
 
 
 @R.query("""SELECT page_id, md5(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))) AS title_md5,

@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,21 +51,53 @@ def test_merge_keeps_provenance(spark):
 TEXT = "Earlier words. We found that BRCA1 rose with TP53. Later, BRCA-1 alone was expressed, p <0.05. F2-isoprostanes were low. F2 was higher in protein expression."
 
 
-def test_snippets():
-    assert evidence.first_snippet(["zzz", "BRCA1"], TEXT)[0] == "BRCA1"
-    assert evidence.first_snippet(["BRCA1"], TEXT)[1].startswith("We found that BRCA1")
-    assert evidence.first_snippet(["RCA1"], TEXT) == ("", "")
-    s, specific, peers = evidence.specific_snippet(["BRCA1"], [("TP53", ["TP53", "p53"])], TEXT)
-    assert not specific and peers == ["TP53"] and "BRCA1" in s
-    far = "TP53 and BRCA1. " + "x" * 400 + " Here BRCA1 stands. " + "y" * 400
-    assert evidence.specific_snippet(["BRCA1"], [("TP53", ["TP53"])], far)[1]
-    # The compound's name does not count as the gene.
-    assert "F2 was" in evidence.first_snippet(["F2"], TEXT)[1]
-    assert evidence.context_evidence("F2", ["F2"], TEXT)[:2] == (True, "result_context")
-    assert evidence.context_evidence("PAM", ["PAM"], "PAM macrophages were higher in expression")[0] is False
-    assert evidence.context_evidence("X1", ["X1"], "forward primer for X1 in buffer")[1] == "no_strong_deterministic_context"
-    assert "p <0.05" in evidence.statistical_sentence(["BRCA-1"], TEXT)
+def told(spark, expression, **values):
+    """What an expression gives for one row of texts and lists of texts."""
+    kinds = {k: "string" if isinstance(v, str) else "array<string>" for k, v in values.items()}
+    kinds |= {"peers": "array<struct<gene:string,terms:array<string>>>"} if "peers" in values else {}
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {t}" for k, t in kinds.items())).select(expression.alias("x")).first()["x"]
+
 
+def test_snippets(spark):
+    first = lambda terms, text=TEXT: told(spark, evidence.first_snippet("terms", "text"), terms=terms, text=text)
+    assert first(["zzz", "BRCA1"])["term"] == "BRCA1"
+    assert first(["BRCA1"])["snippet"].startswith("We found that BRCA1")
+    assert tuple(first(["RCA1"])) == tuple(first([])) == tuple(first([None, " "])) == ("", "")
+    assert first(["a.b(", "x\\E"], "see a.b( here")["term"] == "a.b("
+    assert first(["BRCA1"], "In B-R/C.A 1 it rose")["snippet"] == "In B-R/C.A 1 it rose"
+    # The compound's name does not count as the gene.
+    assert "F2 was" in first(["F2"])["snippet"]
+    cut = first(["long"], "word " * 30 + "long " + "word " * 100)["snippet"]
+    assert cut.endswith("...") and 200 < len(cut) <= 240
+    specific = lambda peers, text=TEXT: told(spark, evidence.specific_snippet("terms", "peers", "text"), terms=["BRCA1"], peers=peers, text=text)
+    s = specific([("TP53", ["TP53", "p53"])])
+    assert not s["specific"] and s["peers"] == ["TP53"] and "BRCA1" in s["snippet"]
+    far = "TP53 and BRCA1. " + "x" * 400 + " Here BRCA1 stands. " + "y" * 400
+    assert specific([("TP53", ["TP53"])], far)["specific"]
+    assert tuple(specific([("TP53", ["TP53"])], "nothing")) == ("", False, [])
+
+
+def test_places_of_all_matches(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab. ") for _ in range(60)) for _ in range(30)]
+    every, two = (evidence.spans(F.col("value"), F.lit("a+b?"), n) for n in (50, 2))
+    for text, found, first in spark.createDataFrame(texts, "string").select("value", every, two).collect():
+        assert [tuple(x) for x in found] == [(m.start() + 1, len(m[0])) for m in re.finditer(r"a+b?", text)]
+        assert first == found[:2]
+
+
+def test_context_and_statistics(spark):
+    context = lambda gene, text=TEXT, terms=None: told(spark, evidence.context_evidence("gene", "terms", "text"), gene=gene, terms=[gene] if terms is None else terms, text=text)
+    assert tuple(context("F2"))[:2] == (True, "result_context")
+    assert context("F2")["snippet"] == "F2 was higher in protein expression."
+    assert context("PAM", "PAM macrophages were higher in expression")["supported"] is False
+    assert context("X1", "forward primer for X1 in buffer")["reason"] == "no_strong_deterministic_context"
+    assert context("X1", "forward primer for X1 in buffer")["snippet"] == "forward primer for X1 in buffer"
+    assert context("X1", "")["reason"] == "no_paper_text" and context("X1", "x", [])["reason"] == "no_candidate_terms"
+    no_end = "a" * 300 + " X1 " + "b" * 700
+    assert context("X1", no_end)["snippet"] == "a" * 139 + " X1 " + "b" * 319
+    said = lambda terms: told(spark, evidence.statistical_sentence("terms", "text"), terms=terms, text=TEXT)
+    assert said(["BRCA-1"]) == "Later, BRCA-1 alone was expressed, p <0.05." and said(["zz", "BRCA-1"]) == said(["BRCA-1"]) and said(["TP53"]) == said([]) == ""
 
 def test_grounding_uses_captions_and_the_whole_text(spark):
     c = spark.createDataFrame([("1", "A1", "", ["llm_text"], ["A1"]), ("1", "B2", "", ["llm_figure"], ["B2"]), ("1", "C3", "", ["llm_text"], ["C3"]), ("1", "D4", "", ["llm_text"], ["D4"])], "pmid string, gene string, variant string, sources array<string>, terms array<string>")
@@ -99,12 +132,35 @@ def test_fuzzy_citations():
         got, _ = citations.closest_window(quote, words)
         reverse = difflib.SequenceMatcher(None, quote, words[a : a + 15]).ratio()
         assert got >= reverse - 1e-9
-    text = " ".join(words)
-    assert citations.judge(" ".join(words[20:30]), text, [])[:2] == (True, 1.0)
-    assert citations.judge("no such words in here at all", text, [])[0] is False
-    assert citations.judge("w1 zz", text, [])[2] == "No exact match for short citation"
-    assert citations.judge("value of 12 units was seen", "value of 12 units was seen near brca1", ["BRCA1"])[0]
-    assert "not found in matching paragraph context" in citations.judge("value was seen", "value was seen", ["BRCA1"])[2]
+    # No window is missed that is as like as asked for.
+    for _ in range(30):
+        quote, words = [f"w{rng.randrange(6)}" for _ in range(7)], [f"w{rng.randrange(6)}" for _ in range(40)]
+        every = [difflib.SequenceMatcher(None, quote, words[j : j + 10]).ratio() for j in range(34)]
+        want = max(every) if max(every) >= 0.7 else 0.0
+        assert citations.closest_window(quote, words, 0.7)[0] == pytest.approx(want)
+        if want:
+            assert every[citations.closest_window(quote, words, 0.7)[1]] == pytest.approx(want)
+
+
+def test_reasons_of_citations(spark):
+    text = "Alpha beta gamma delta epsilon zeta eta theta. " + "filler " * 100 + "The value of 12 units was seen near BRCA-1. " + "more " * 400 + "EGFR at the end, 99 of it."
+    cases = {
+        ("", ()): ("nothing_to_compare", 0.0), ("alpha  BETA gamma", ()): ("quote_found", 1.0), ("alpha nowhere", ()): ("short_quote_not_found", 0.0),
+        ("no such words in here at all", ()): ("no_similar_text", 0.0), ("value of 12 units", ("BRCA1",)): ("quote_found", 1.0), ("value of 12 units", ("EGFR",)): ("symbol_not_near", 1.0),
+        ("The value of 13 units was seen near BRCA-1. more more more", ()): ("number_not_near:13", 20 / 24), ("alpha beta gamma delta changed zeta eta theta." + " filler" * 12, ()): ("similar_text_found", None),
+    }
+    rows = [("1", k, names[0] if names else "", list(names), quote) for k, (quote, names) in enumerate(cases)]
+    cited = spark.createDataFrame(rows, "pmid string, cid int, gene string, names array<string>, citation string")
+    got = {r["cid"]: r for r in citations.verify(cited, spark.createDataFrame([("1", text)], "pmid string, text string")).collect()}
+    for k, (reason, ratio) in enumerate(cases.values()):
+        if not reason.startswith("number"):
+            assert got[k]["reason"] == reason
+        if ratio in (0.0, 1.0):
+            assert got[k]["ratio"] == ratio
+        assert got[k]["found"] == reason.endswith("_found") and got[k]["found"] == got[k]["valid"] or reason == "short_quote_not_found"
+    assert not got[6]["found"]
+    # A paper without text.
+    assert citations.verify(cited, spark.createDataFrame([("2", text)], "pmid string, text string")).where("reason <> 'nothing_to_compare'").count() == 0
 
 
 def test_verify_falls_back_to_tables(spark):
