@@ -1,6 +1,10 @@
 """Map-only operators against brute force: decontamination, secrets, licences, token files, packing."""
 
+import ast
 import hashlib
+import itertools
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -114,18 +118,88 @@ def test_secrets(spark, sf_dir, docs_of):
         assert spans <= set(r["spans"].split(","))
 
 
+def brute_guesses(value, ranks):
+    """The cheapest of all segmentations, each segment's guesses taken from the definition."""
+    n, inf = len(value), math.inf
+    by_char = lambda t: sum(1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33) for c in t)
+    known = {w: math.log10(k + 2) for k, w in enumerate(secrets.WORDS)}
+    rank = lambda w: min(known.get(w, inf), ranks.get(w, inf))
+    rows, shift = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"], [0.0, 0.5, 0.75, 1.25]
+    place = {c: (y, shift[y] + k) for y, row in enumerate(rows) for k, c in enumerate(row)}
+    shifted = dict(zip("!@#$%^&*()_+{}:\"<>?", "1234567890-=[];',./"))
+
+    def step(a, b):
+        if a in place and b in place:
+            (y, x), (v, u) = place[a], place[b]
+            if (y == v and abs(x - u) == 1) or (abs(y - v) == 1 and abs(x - u) <= 0.75):
+                return v - y, (u > x) - (u < x)
+
+    def letter_step(a, b):
+        return ord(b) - ord(a) if "a" <= min(a, b) and max(a, b) <= "z" and abs(ord(a) - ord(b)) == 1 else None
+
+    degree = sum(step(a, b) is not None for a in place for b in place) / len(place)
+
+    def cost(t):
+        low = t.lower()
+        best = by_char(t) if len(t) == 1 else inf
+        cap = math.log10(2) if low != t else 0
+        leet = "".join(dict(zip("@4310$5!7", "aaeiossit")).get(c, c) for c in low)
+        best = min(best, rank(low) + cap, rank(leet) + math.log10(4) + cap)
+        year, month, day, sep = r"(?:19|20)\d\d", "(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])", "[-/.]?"
+        if re.fullmatch(f"{year}{sep}{month}{sep}{day}|{day}{sep}{month}{sep}{year}", t):
+            best = min(best, math.log10(130 * 365 * (1 if len(t) == 8 else 4)))
+        if re.fullmatch(year, t):
+            best = min(best, math.log10(130))
+        for w in range(1, min(16, len(t) // 2) + 1):
+            if len(t) % w == 0 and t == t[:w] * (len(t) // w):
+                best = min(best, by_char(t[:w]) + math.log10(max(2, n // w)))
+        keys = "".join(shifted.get(c, c) for c in low)
+        for way, start, turn in ((step, math.log10(len(place)), math.log10(degree)), (letter_step, math.log10(26), math.log10(2))):
+            ways = [way(a, b) for a, b in zip(keys, keys[1:])]
+            if len(ways) >= 2 and None not in ways:
+                best = min(best, start + math.log10(n) + turn * sum(a != b for a, b in zip(ways, ways[1:])))
+        return best
+
+    best = [0.0]
+    for j in range(1, n + 1):
+        best.append(min(best[i] + cost(value[i:j]) for i in range(j)))
+    return best[n]
+
+
 def test_guess_cost():
-    easy, hard = ("password", "Passw0rd", "qwertyuiop", "aaaaaaaaaaaa", "2019-12-31", "password123456", "abcabcabcabc"), ("k9$Qz!72mWxL", "xT7vq9LmRz2p", "Zr8#kd02")
+    ranks = {"correct": 3.0, "horse": 2.9, "battery": 3.2}
+    easy = ("password", "Passw0rd", "qwertyuiop", "aaaaaaaaaaaa", "2019-12-31", "password123456", "abcabcabcabc", "abcdeabcdeabcde", "thisisnotasecret", "zaq12wsx", "a" * 1024, "xY7!" * 3, "abcdefghij")
+    hard = ("k9$Qz!72mWxL", "xT7vq9LmRz2p", "Zr8#kd02", "correcthorsebattery")
     assert max(map(secrets.guesses_log10, easy)) < secrets.MIN_GUESSES_LOG10 <= min(map(secrets.guesses_log10, hard))
-    assert secrets.guesses_log10("") == 0
-    # Never dearer than brute force, and no cheaper than its own cheapest cut.
+    assert secrets.guesses_log10("correcthorsebattery", ranks) == pytest.approx(9.1) and secrets.guesses_log10("") == 0
     assert secrets.guesses_log10("xqzj") == pytest.approx(4 * np.log10(26))
     assert secrets.value_spans("passwd is k9$Qz!72mWxL") == [(10, 22)]
     assert secrets.value_spans("password: password1") == []
+    # Any number of blanks may stand before a value.
+    assert secrets.value_spans("passwd is" + " " * 5000 + "k9$Qz!72mWxL") == [(5009, 5021)]
+
+
+def test_guess_cost_equals_the_best_of_all_segmentations():
+    rng, ranks = random.Random(6), {"ab": 1.5, "bca": 2.0, "1a": 1.7, "qwe": 3.0}
+    for pool in ("ab", "abc1", "qwea1!Z2", "asdfzxcQWE12$", "019-2/3."):
+        for _ in range(60):
+            v = "".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))
+            assert secrets.guesses_log10(v, ranks) == pytest.approx(brute_guesses(v, ranks)), v
+    for v in ("2020-01-31x", "31.12.1999", "pa$$word", "ADMIN", "abcabcabcabca", "1qaz2wsx3edc", "zyxwvu", "sesese" * 4 + "x"):
+        assert secrets.guesses_log10(v, ranks) == pytest.approx(brute_guesses(v, ranks)), v
+
+
+def test_corpus_dictionary(docs_of):
+    docs = docs_of([(k, f"common {'often' if k % 2 else ''} once{'abcdefgh'[k]} Common common é") for k in range(8)])
+    ranks = secrets.corpus_ranks(docs)
+    assert set(ranks) == {"common", "often"} and ranks["common"] < ranks["often"]
+    # Words of one frequency come all or not at all.
+    assert set(secrets.corpus_ranks(docs, 1)) == {"common"} and secrets.corpus_ranks(docs, 0) == {}
+    assert secrets.corpus_ranks(docs.where("false")) == {}
 
 
 def test_licenses(docs_of):
-    texts = [*ODD, "All rights, reserved. CC-BY 4.0 cc by cc by", "GNU General Public License v3", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0; and so on", "SPDX-License-Identifier: MIT AND", "Licensed under the Apache License, Version 2.0."]
+    texts = [*ODD, "All rights, reserved. CC-BY 4.0 cc by cc by", "GNU General Public License v3", "SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0; and so on", "SPDX-License-Identifier: MIT AND", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: MIT OR GPL-2.0", "SPDX-License-Identifier: MIT AND GPL-2.0", "é cc by " * 3000]
     got = {r["doc_id"]: r for r in licenses.license_scan(docs_of(enumerate(texts))).collect()}
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     for i, t in enumerate(texts):
@@ -137,18 +211,55 @@ def test_licenses(docs_of):
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
         assert (r["score"] > 0) == bool(r["labels"])
-    assert got[len(ODD) + 2]["labels"] == "apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit"
+    r = got[len(ODD) + 2]
+    assert r["labels"] == r["required"] + ",mit" == "gpl-2.0-only with classpath-exception-2.0,mit"
+    assert (r["named"], r["n_ways"]) == ("apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit", 2)
+    either, both = got[len(ODD) + 5], got[len(ODD) + 6]
+    assert (either["labels"], either["required"], either["n_ways"]) == ("mit", "", 2) and (both["labels"], both["required"], both["n_ways"]) == ("gpl-2.0,mit", "gpl-2.0,mit", 1)
+    assert either["named"] == both["named"] and either["score"] < both["score"]
     assert got[len(ODD) + 3]["labels"] == "mit" and got[len(ODD) + 3]["score"] == 0.5
     assert "apache-2.0" in got[len(ODD) + 4]["labels"]
 
 
+def all_ways(expression):
+    """Every way to satisfy an expression of words, by Python's own parser: OR offers, AND combines."""
+    tree = ast.parse(expression.replace("OR", "or").replace("AND", "and"), mode="eval").body
+
+    def ways(node):
+        if isinstance(node, ast.Name):
+            return [frozenset([node.id])]
+        parts = [ways(v) for v in node.values]
+        return [w for p in parts for w in p] if isinstance(node.op, ast.Or) else [frozenset().union(*c) for c in itertools.product(*parts)]
+
+    return ways(tree)
+
+
 def test_expressions():
     f = frozenset
-    assert licenses.evaluate("MIT OR Apache-2.0 AND BSD-3-Clause") == [f({"MIT"}), f({"Apache-2.0", "BSD-3-Clause"})]
-    assert licenses.evaluate("(MIT or Apache-2.0) and X") == [f({"MIT", "X"}), f({"Apache-2.0", "X"})]
-    for bad in ("", "AND", "MIT OR", "(MIT", "MIT)", "(A OR B) WITH C"):
+    assert licenses.evaluate("GPL-2.0 OR Apache-2.0 AND BSD-3-Clause").chosen == f({"Apache-2.0", "BSD-3-Clause"})
+    assert licenses.evaluate("(LGPL-3.0 or GPL-3.0) and X").chosen == f({"LGPL-3.0", "X"})
+    assert licenses.evaluate("GPL-2.0 WITH Classpath-exception-2.0 OR GPL-2.0").chosen == f({"GPL-2.0 WITH Classpath-exception-2.0"})
+    for bad in ("", "AND", "MIT OR", "(MIT", "MIT)", "(A OR B) WITH C", "(A AND A) WITH C OR", "A WITH B WITH C"):
         with pytest.raises(licenses.Malformed):
             licenses.evaluate(bad)
+    rng = random.Random(4)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["MIT", "LGPL", "GPL", "Zz", "ISC"])
+        inner = f" {rng.choice(['AND', 'OR'])} ".join(made(depth - 1) for _ in range(rng.randint(2, 3)))
+        return f"({inner})"
+
+    for _ in range(200):
+        expression = made(3)
+        got, ways = licenses.evaluate(expression), all_ways(expression)
+        assert got.ways == len(ways) and got.named == f().union(*ways) and got.required == f.intersection(*ways) and got.chosen in ways
+        # No way restricts less than the chosen one.
+        worst = lambda w: max(map(licenses.restriction, w))
+        assert worst(got.chosen) == min(map(worst, ways))
+    # As many ways as would never be listed.
+    long = licenses.evaluate(" AND ".join("(A OR B)" for _ in range(2000)))
+    assert long.ways == licenses.MOST_WAYS and long.named == f({"A", "B"})
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
