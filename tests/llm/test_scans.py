@@ -4,6 +4,7 @@ import ast
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -68,10 +69,31 @@ def test_contamination(spark, sf_dir, docs_of, monkeypatch, block):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = decontaminate.digest(decontaminate.contaminated_spans(docs_of(docs), bench)).collect()
     assert Counter(map(tuple, got)) == Counter(brute_contamination(docs, BENCH))
+    assert decontaminate._blocks(bench, 10).count() in ((1,) if block > 100 else (3, 4, 5))
     cut = {r["doc_id"]: (r["text"], r["row"]) for r in decontaminate.remove_spans(docs_of([(1, f"before and again and more so, and ever on {passage} after it all"), (2, passage), (3, None)]), bench).collect()}
     assert cut == {1: ("before and again and more so, and ever on  twelve after it all", "x"), 3: (None, "x")}
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    # Every window gets one of three hashes.
+    own = bytescan.ngrams
+    monkeypatch.setattr(bytescan, "ngrams", lambda words, owner, n: (lambda g, at: (g % np.uint64(3), at))(*own(words, owner, n)))
+    rng = random.Random(2)
+    bench = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))) for k in range(40)]
+    docs = [(k, " ".join(rng.choice("abcd") for _ in range(12))) for k in range(30)]
+    windows = decontaminate.WindowSet([i for i, _ in bench], [t for _, t in bench], 4)
+    spans, items = decontaminate._spans_of(bytescan.scan(pa.array([t for _, t in docs])), windows)
+    for (_, n_words, n_hit, n_items, *_), d in zip(brute_contamination(docs, bench, 4), range(len(docs)), strict=True):
+        assert (sum(b - a for a, b in spans.get(d, [])), len(items.get(d, ()))) == (n_hit, n_items)
+
+
+def test_windows_take_few_bytes():
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(300)]
+    raw = pickle.dumps(decontaminate.WindowSet(list(range(300)), texts))
+    assert len(raw) - (1 << 20) < 7 * sum(map(len, texts))
+
+
 def test_contamination_of_tables(spark, sf_dir):
     docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = brute_contamination(real(spark, sf_dir, "documents", "doc_id"), real(spark, sf_dir, "benchmark", "item_id"))
