@@ -1,9 +1,10 @@
 """Toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
 
 Two models, of toxic and of ordinary texts, are fitted on a sample of labelled
-training rows of at most SAMPLE_DOCS a class and SAMPLE_BYTES of text in all,
-as many of either class. Where the texts take more, each gives its beginning, up
-to one length for all, so that a long text takes no other's place.
+training rows: in the order of a hash of their ids, at most SAMPLE_DOCS of either
+class, the rarer one whole if it has fewer, and SAMPLE_BYTES of text in all. Where
+the texts take more, each gives one stretch of it, up to one length for all and at
+a place that its id's hash chooses, so that a long text takes no other's place.
 
 Words count by Kneser-Ney's continuation counts, the number of different words
 before them, and pairs by the number of different words behind them, so that a
@@ -13,18 +14,22 @@ with a backoff that the classes share: the pooled counts for words, and the pool
 pair with the class's word for pairs. The weight of a class's own estimate is the
 posterior probability that the texts with the expression are dealt to the classes
 otherwise than the rest, one expression in all being expected to differ; none has
-weight zero, and rare ones have little.
+weight zero, and rare ones have little. Each class's words, one unknown word among
+them, have probabilities that sum to one. Pairs are not scaled to one for each
+first word: on held-out texts that told less (README).
 
 Scores come from the difference of the two log-likelihoods, in all and per word,
 by a logistic curve. It is fitted on texts of the sample by models that have not
-seen them. Where those tell no more than chance, as on a few dozen texts, scores
-rank by the difference but stay below one half. Scoring is map-only: the model, of bounded size
-because its sample is, is broadcast.
+seen them, at the sample's share of toxic texts. Where those tell no more than
+chance, as on a few dozen texts, scores rank by the difference but stay below one
+half. Scoring is map-only: the model, of bounded size because its sample is, is
+broadcast; very long texts are scored whole, in a step of their own.
 
 Defined cases: null, empty and wordless texts have no evidence and score as a
 text of one word that says nothing; labels other than 0 and 1, or of unknown
-documents, are left out; repeated label rows count by their largest label;
-without training rows of both classes every score is NO_MODEL_SCORE.
+documents, are left out; repeated label rows count by their largest label; of the
+documents of one id one is learned from, that of the least hash; without training
+rows of both classes every score is NO_MODEL_SCORE.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import batch, documents, id_crc, map_arrow
+from .common import batch, documents, drop, id_crc, map_arrow, shared_table
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS = 2000
@@ -54,10 +59,15 @@ NO_MODEL_SCORE = 0.0
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
-def _pairs(words: B.Words, h: np.ndarray) -> np.ndarray:
-    """A key for each word with the word before it; a text's first word has none before it."""
-    before = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
+def _before(words: B.Words, h: np.ndarray) -> np.ndarray:
+    """The word before each word; a text's first word has none before it."""
+    before = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h.copy()
     before[words.doc[:-1][words.counts() > 0]] = np.uint64(1)
+    return before
+
+
+def _pairs(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A key for each word with the word before it."""
     return B.mix(before * _PAIR + (before >> np.uint64(31)) + h)
 
 
@@ -84,7 +94,7 @@ def _own_weight(a: np.ndarray, b: np.ndarray, rate: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log-ratios (toxic over ordinary) of words, those of words after a given word, and the curve."""
+    """Log-ratios (toxic over ordinary) of words and of an unknown one, those of words after a given word, and the curve."""
 
     keys: np.ndarray
     ratios: np.ndarray
@@ -97,9 +107,11 @@ class Model:
         words = B.scan(column)
         n = words.counts()
         h = words.hashes()
-        r = _looked_up(self.keys, self.ratios, h, 0.0)
+        r = _looked_up(self.keys, self.ratios[:-1], h, self.ratios[-1])
         if len(self.pair_keys):
-            r = _looked_up(self.pair_keys, self.pair_ratios, _pairs(words, h), r)
+            r = _looked_up(self.pair_keys, self.pair_ratios, _pairs(_before(words, h), h), r)
+        # Against what a word says that neither class knows.
+        r = r - self.ratios[-1]
         return np.bincount(words.owner(), r, len(n)) if len(h) else np.zeros(len(n)), n
 
     def features(self, evidence: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -132,8 +144,7 @@ def fit(texts: Iterable[tuple[str, int]]) -> Model | None:
     evidence = np.zeros(len(y))
     for k in range(PARTS):
         if (part == k).any():
-            ratio, pair_ratio = sample.ratios(part != k)
-            evidence[part == k] = sample.evidence(ratio, pair_ratio)[part == k]
+            evidence[part == k] = sample.evidence(*sample.ratios(part != k))[part == k]
     ratio, pair_ratio = sample.ratios(np.ones(len(y), bool))
     model = Model(sample.kinds, ratio, sample.pairs, pair_ratio.astype(np.float32))
     x = model.features(evidence, sample.n)
@@ -156,9 +167,8 @@ class _Sample:
     def __init__(self, words: B.Words, y: np.ndarray) -> None:
         self.y, self.n, self.owner = y, words.counts(), words.owner()
         h = words.hashes()
-        pair = _pairs(words, h)
-        before = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
-        before[words.doc[:-1][self.n > 0]] = np.uint64(1)
+        before = _before(words, h)
+        pair = _pairs(before, h)
         after = np.append(h[1:], np.uint64(2)) if len(h) else h
         self.kinds, which = np.unique(h, return_inverse=True)
         self.pairs, first, at = np.unique(pair, return_index=True, return_inverse=True)
@@ -178,38 +188,44 @@ class _Sample:
     def _texts(self, once: tuple[np.ndarray, np.ndarray], size: int, of: np.ndarray) -> np.ndarray:
         return np.bincount(once[0][of[once[1]]], minlength=size).astype(float)
 
-    def ratios(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The log-ratio of each word, and of each pair, from the seen texts; a pair or word that they lack has its backoff's."""
+    def probabilities(self, seen: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """From the seen texts, of the toxic and the ordinary class: each word's probability, an unknown one's last, and each pair's after its first word."""
         classes = [seen & (self.y == 1), seen & (self.y == 0)]
         rate = np.clip(classes[0].sum() / max(seen.sum(), 1), 1e-6, 1 - 1e-6)
-        nw, np_ = len(self.kinds), len(self.pairs)
+        # One more word stands for all that the sample has not.
+        nw, np_ = len(self.kinds) + 1, len(self.pairs)
         counts, behind = [], []
         for of in classes:
             own = of[self.owner]
             counts.append(np.bincount(self.word[np.bincount(self.at[own], minlength=np_) > 0], minlength=nw).astype(float))
             behind.append(np.bincount(self.pair_of[np.bincount(self.triple[own], minlength=len(self.pair_of)) > 0], minlength=np_).astype(float))
         # A word of texts that are left out is as one of which each class has a part of one count.
-        pooled = counts[0] + counts[1]
-        shared = np.maximum(pooled, DISCOUNT) / max(pooled.sum(), 1)
+        pooled = np.maximum(counts[0] + counts[1], DISCOUNT)
+        shared = pooled / max(pooled.sum(), 1)
         weight = _own_weight(*(self._texts(self.word_texts, nw, of) for of in classes), np.full(nw, rate))
         p = []
         for c in counts:
             n = max(c.sum(), 1)
-            p.append(weight * (np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.minimum(c, 1).sum() * shared) / n + (1 - weight) * shared)
-        ratio = np.log(p[0]) - np.log(p[1])
+            word = weight * (np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.minimum(c, 1).sum() * shared) / n + (1 - weight) * shared
+            p.append(word / max(word.sum(), 1e-300))
 
         # A pair that differs no more than its word has its texts in the word's proportion.
-        odds = rate / (1 - rate) * np.exp(ratio)[self.word]
+        odds = rate / (1 - rate) * (p[0] / p[1])[self.word]
         weight = _own_weight(*(self._texts(self.pair_texts, np_, of) for of in classes), np.clip(odds / (1 + odds), 1e-6, 1 - 1e-6))
         both, backoff = self._after(behind[0] + behind[1])
         q = []
         for c, w in zip(behind, p, strict=True):
-            own, free = self._after(c)
+            own, left = self._after(c)
             lower = w[self.word]
             # The pooled pair, of the class's word.
             common = (both / shared[self.word] + backoff) * lower
-            q.append(weight * (own + free * lower) + (1 - weight) * common)
-        return ratio, np.log(q[0]) - np.log(q[1])
+            q.append(weight * (own + left * lower) + (1 - weight) * common)
+        return p, q
+
+    def ratios(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log-ratio of each word and of each pair, from the seen texts; a pair or word that they lack has its backoff's."""
+        p, q = self.probabilities(seen)
+        return tuple(np.log(x[0]) - np.log(x[1]) for x in (p, q))
 
     def _after(self, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair the discounted probability after its first word, and the weight that this leaves to the word."""
@@ -221,7 +237,7 @@ class _Sample:
         return np.maximum(behind - DISCOUNT, 0) / n[self.context], free[self.context]
 
     def evidence(self, ratio: np.ndarray, pair_ratio: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, pair_ratio[self.at], len(self.n)) if len(self.at) else np.zeros(len(self.n))
+        return np.bincount(self.owner, (pair_ratio - ratio[-1])[self.at], len(self.n)) if len(self.at) else np.zeros(len(self.n))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -238,20 +254,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Iterator[tuple[str, int]]:
-    """Labelled texts outside the held-out fold: at most `most` of a class, as many of either, in an order that their ids' hash gives."""
+    """Labelled texts outside the held-out fold, at most `most` of a class, in an order that their ids' hash gives."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").where(fold != HELD_OUT)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [[r["doc_id"] for r in known.where(F.col("toxic") == t).orderBy(*order).limit(most).select("doc_id").collect()] for t in (1, 0)]
-    n = min(map(len, chosen))
+    rows = [(r["doc_id"], t) for t in (1, 0) for r in known.where(F.col("toxic") == t).orderBy(*order).limit(most).select("doc_id").collect()]
     spark = docs.sparkSession
     # At most 2 * most ids: a bounded table to broadcast.
-    ids = spark.createDataFrame([(i, t) for t, own in ((1, chosen[0]), (0, chosen[1])) for i in own[:n]], "doc_id long, toxic int")
-    sample = documents(docs).join(F.broadcast(ids), "doc_id").orderBy(*order, F.xxhash64("text")).limit(4 * most)
+    ids = spark.createDataFrame(rows, "doc_id long, toxic int")
+    sample = documents(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = shared_table(sample, "toxic-sample")
     share = _share([r["n"] or 0 for r in sample.select(F.octet_length("text").alias("n")).collect()], SAMPLE_BYTES)
-    for r in sample.select(F.substring("text", 1, share).alias("text"), "toxic").toLocalIterator():
+    spare = F.greatest(F.length("text") - share, F.lit(0))
+    begin = F.when(spare > 0, F.pmod(F.xxhash64("doc_id"), spare + 1)).otherwise(0).cast("int")
+    stretch = sample.select("doc_id", F.substring(F.col("text"), begin + 1, F.lit(share)).alias("text"), "toxic").orderBy(*order)
+    for r in stretch.toLocalIterator():
         yield _head(r["text"] or "", share), r["toxic"]
+    drop(sample)
 
 
 def _share(lengths: list[int], most: int) -> int:

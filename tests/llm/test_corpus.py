@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.llm import embeddings, exchange, graph, linededup, lm, neardup, toxicity
+from glossa.llm import bytescan, embeddings, exchange, graph, linededup, lm, neardup, toxicity
 from glossa.llm.common import pack_sorted, unpack_sorted
 
 from .conftest import lower
@@ -283,7 +283,7 @@ def test_toxicity_gives_rare_expressions_a_smaller_weight(spark):
     model = toxicity.fit(rows)
     assert (model.ratios != 0).all()
     said = {w: float(model.evidence(pa.array([w]))[0][0]) for w in ("idiot", "wretch", "dear", "never seen")}
-    assert said["idiot"] > 2 * said["wretch"] > 0 and abs(said["dear"]) < 0.01 and said["never seen"] == 0
+    assert said["idiot"] > 2 * said["wretch"] > 0 and abs(said["dear"]) < 0.1 * said["idiot"] and abs(said["never seen"]) < 0.1 * said["idiot"]
     rare = toxicity.fit([("a b c d", 0), ("a c b d", 0), ("a b scum c", 1), ("scum b d a", 1)])
     assert rare.evidence(pa.array(["c scum d"]))[0][0] > 0
     # Nothing was told of texts not seen: ranked, and not rejected.
@@ -297,7 +297,7 @@ def test_toxicity_sample_keeps_the_rows_behind_a_long_text(spark, docs_of, monke
     docs, labels = labelled(spark, 60)
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
     whole = list(toxicity.training_sample(docs_of(docs), table))
-    assert sum(t for _, t in whole) * 2 == len(whole) and {t for t, _ in whole} <= {t for _, t in docs}
+    assert Counter(t for _, t in whole) == Counter(t for i, t in labels if zlib.crc32(str(i).encode()) % 5) and {t for t, _ in whole} <= {t for _, t in docs}
     long = dict(docs) | {next(i for i, t in docs if t == whole[place][0]): "long wörds " * 10_000}
     got = list(toxicity.training_sample(docs_of(long.items()), table))
     assert [t for _, t in got] == [t for _, t in whole]
@@ -305,6 +305,41 @@ def test_toxicity_sample_keeps_the_rows_behind_a_long_text(spark, docs_of, monke
     assert 1000 < len(got[place][0]) and sum(len(t.encode()) for t, _ in got) <= 60_000
 
 
+def test_toxicity_sample_takes_one_text_of_a_repeated_id(spark, docs_of):
+    docs = [*((1, f"text {k}") for k in range(50)), (2, "other"), (3, None)]
+    table = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    got = list(toxicity.training_sample(docs_of(docs), table))
+    assert len(got) == len({i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5}) and sum(t.startswith("text") for t, _ in got) <= 1
+    assert got == list(toxicity.training_sample(docs_of(docs, 2), table))
+
+
+def test_toxicity_probabilities_of_words_sum_to_one_in_each_class(spark):
+    docs, labels = labelled(spark, 40)
+    truth = dict(labels)
+    sample = toxicity._Sample(bytescan.scan(pa.array([t for _, t in docs])), np.array([truth[i] for i, _ in docs]))
+    for seen in (np.ones(len(docs), bool), np.arange(len(docs)) % 3 > 0):
+        p, q = sample.probabilities(seen)
+        assert all(x.sum() == pytest.approx(1) and (x > 0).all() for x in p) and len(p[0]) == len(sample.kinds) + 1
+        assert all((x > 0).all() and (x < 1).all() for x in q)
+
+
+def test_toxicity_probabilities_equal_their_definition():
+    texts, y = ["you fool you fool stop", "a fine day a fine walk", "you stop fool", "a day"], [1, 0, 1, 0]
+    d = toxicity.DISCOUNT
+    sample = toxicity._Sample(bytescan.scan(pa.array(texts)), np.array(y))
+    (p, _), words = sample.probabilities(np.ones(4, bool)), sorted({w for t in texts for w in t.split()})
+    number = {w: int(np.searchsorted(sample.kinds, bytescan.scan(pa.array([w])).hashes()[0])) for w in words}
+    before = {(c, w): {a for t, k in zip(texts, y) if k == c for a, b in zip(["", *t.split()], t.split()) if b == w} for c in (0, 1) for w in words}
+    n = {c: sum(len(before[c, w]) for w in words) for c in (0, 1)}
+    shared = {w: (len(before[0, w]) + len(before[1, w])) / (n[0] + n[1]) for w in words}
+    own = lambda c, w: (max(len(before[c, w]) - d, 0) + d * sum(bool(before[c, x]) for x in words) * shared[w]) / n[c]
+    for w in words:
+        # Between the class's own estimate and the shared one, at the same point in both classes.
+        mixed = [(p[k][number[w]], own(c, w), shared[w]) for k, c in ((0, 1), (1, 0))]
+        assert all(min(o, s) * 0.8 <= x <= max(o, s) * 1.25 for x, o, s in mixed)
+    assert p[0][number["fool"]] > p[1][number["fool"]] and p[0][number["fine"]] < p[1][number["fine"]]
+
+
 def brute_vectors(rows):
     good = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     unit = {k: v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max() for k, v in good.items()}
