@@ -10,7 +10,7 @@ from .functions import scoring, text
 from .operators import candidates, citations, evidence, lexicon, metadata, screening
 from .registry import Registry
 from .sources import markup, records
-from .tables import base, sql_with, table
+from .tables import base, shared_folder, sql_with, table
 
 R = Registry()
 
@@ -92,10 +92,17 @@ _ORDERS = {
 }
 
 
+def _scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores that papers are ranked by, written once: each order then reads a few narrow columns, not texts."""
+    path = shared_folder(spark, "scores")
+    _ranked(spark, sf_dir).select("pmid", "year", "citations", "search_rank", "relevance", "composite_score", "recommendation_score").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @R.query(_RANKED + " UNION ALL ".join(f"(SELECT '{mode}' AS mode, pmid, recommendation AS recommendation_score FROM m WHERE search_rank IS NOT NULL ORDER BY {order} LIMIT 25 OFFSET 25)" for mode, order in _ORDERS.items()))
 def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of each of the four sort orders (papers without a search rank would tie)."""
-    ranked, out = _ranked(spark, sf_dir).where("search_rank IS NOT NULL"), None
+    ranked, out = _scored_once(spark, sf_dir).where("search_rank IS NOT NULL"), None
     for mode in _ORDERS:
         p = screening.page(ranked, screening.paper_order(mode), 2).select(F.lit(mode).alias("mode"), "pmid", "recommendation_score")
         out = p if out is None else out.unionByName(p)
@@ -105,7 +112,7 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_RANKED + " UNION ALL ".join(f"(SELECT '{mode}' AS mode, pmid, recommendation AS recommendation_score FROM m ORDER BY {order}, pmid LIMIT 25 OFFSET 25)" for mode, order in _ORDERS.items()))
 def ranked_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of each of the four sort orders over all papers; the id parts what is equal."""
-    ranked, out = _ranked(spark, sf_dir), None
+    ranked, out = _scored_once(spark, sf_dir), None
     for mode in _ORDERS:
         p = screening.page(ranked, [*screening.paper_order(mode), F.col("pmid")], 2).select(F.lit(mode).alias("mode"), "pmid", "recommendation_score")
         out = p if out is None else out.unionByName(p)
@@ -291,10 +298,10 @@ def citations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(sql_with(["papers"], """
-SELECT pmid, CAST(CASE WHEN doc_id % 8 = 5 THEN 1.0 ELSE 0.7 END AS DOUBLE) AS score, 'T' || CAST(doc_id % 2 AS STRING) AS label, CAST(1 AS INT) AS row_index FROM papers WHERE doc_id % 8 IN (1, 5)"""))
+SELECT pmid, CAST(CASE WHEN doc_id % 8 = 5 THEN 1.0 ELSE 0.7 END AS DOUBLE) AS score, 'T' || CAST(doc_id % 2 AS STRING) AS label, CAST(1 AS INT) AS row_index FROM papers WHERE doc_id % 8 <> 2"""))
 def table_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table row that a citation's numbers and gene stand in."""
-    p = table(spark, sf_dir, "papers").where("doc_id % 8 IN (1, 2, 5)")
+    p = table(spark, sf_dir, "papers")
     row = lambda *cells: F.array(*[F.lit(c) for c in cells])
     tables = p.select("pmid", F.array(F.struct(F.concat(F.lit("T"), (F.col("doc_id") % 2).cast("string")).alias("label"), F.lit("t").alias("table_id"), F.array(row("XIL6", "12.5", "40"), row("IL-6", "12.5", "40"), row("IL6", "1", "2")).alias("rows"))).alias("tables"))
     gene = F.when(F.col("doc_id") % 8 == 2, "EGFR").otherwise("BSF2")
@@ -308,11 +315,17 @@ def citations_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = base(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pmid"), "text")
     words = F.split(text.squeezed("text"), " ")
     quote = F.array_join(F.concat(F.slice(words, 3, 10), F.array(F.lit("altered")), F.slice(words, 14, 10)), " ")
-    cited = d.where(F.size(words) > 30).select("pmid", F.lit(0).alias("cid"), F.lit("").alias("gene"), F.array().cast("array<string>").alias("names"), quote.alias("citation"))
+    cited = d.select("pmid", F.lit(0).alias("cid"), F.lit("").alias("gene"), F.array().cast("array<string>").alias("names"), quote.alias("citation"))
     return citations.verify(cited, d).select("pmid", "found", F.round("ratio", 6).alias("ratio"), "confidence", "valid")
 
 
-@R.query()
+@R.query(sql_with(["papers", "lexicon"], r"""
+, t AS (SELECT pmid, unnest(regexp_extract_all(abstract, '\b[A-Za-z][A-Za-z0-9\-]{1,20}\b')) AS raw FROM papers),
+c AS (SELECT DISTINCT t.pmid, l.symbol AS gene FROM t JOIN lexicon l ON l.symbol = upper(t.raw) WHERE t.raw = upper(t.raw) OR regexp_matches(t.raw, '[0-9\-]')),
+m AS (SELECT c.pmid, gene, abstract, regexp_extract(abstract, '(?is)^(.*?(?:^|[^A-Za-z0-9]))' || gene || '(?:[^A-Za-z0-9]|$)', 1) AS before FROM c JOIN papers p ON p.pmid = c.pmid),
+b AS (SELECT pmid, gene, abstract, CAST(length(before) AS BIGINT) + 1 AS begins, right(before, 80) AS lead FROM m),
+s AS (SELECT pmid, gene, trim(regexp_replace((CASE WHEN regexp_matches(lead, '[.!?]\s') THEN regexp_extract(lead, '(?s)[.!?]\s+(.*)$', 1) ELSE lead END) || substring(abstract, begins, length(gene) + 220), '\s+', ' ', 'g')) AS said FROM b)
+SELECT pmid, gene, gene AS grounding_match, CASE WHEN length(said) <= 240 THEN said ELSE rtrim(left(said, 237)) || '...' END AS grounding_snippet, 'paper_text' AS grounding_source FROM s""".strip()))
 def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grounded candidates with their snippet."""
     p = table(spark, sf_dir, "papers")

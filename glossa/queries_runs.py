@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from .operators import events, results_view, runs
 from .registry import Registry
 from .sources import records
 from .streaming import events as streams
-from .tables import base
+from .tables import base, shared_folder
 
 R = Registry()
 
@@ -230,16 +229,10 @@ def protocol_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.parse_lines(lines).select("event_id", "kind", F.col("json").isNotNull().alias("is_json"))
 
 
-def _stream_folder(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share, from the session's setting; the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-
-
 @R.query("""SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly windows by a stream that runs over the table once, in complete mode."""
-    where = _stream_folder(spark, "windows")
+    where = shared_folder(spark, "windows")
     e = base(spark, sf_dir, "events")
     source = streams.read_table(spark, f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else sf_dir, e.schema, pathGlobFilter="*.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else "events.parquet")
     collected = where + "/out"

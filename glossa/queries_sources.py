@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from . import constants as C
 from .functions import text
 from .operators import candidates, citations, evidence, events, metadata, output, reports, results_view, runs
-from .queries_runs import _stream_folder
 from .registry import Registry
 from .sources import markup, records, search
 from .streaming import events as streams
-from .tables import base, sql_with, table
+from .tables import base, shared_folder, sql_with, table
 
 R = Registry()
 
@@ -34,7 +33,7 @@ def _said(*parts: Column | str) -> Column:
 @R.query(_DOCS + """SELECT pmid, 'Title of ' || pmid AS title, md5(t) AS abstract_md5, '2019 Mar' AS dp, 'Journal Article|' || lang AS publication_types, source AS authors FROM d""")
 def medline_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as MEDLINE text and read back, with a continued title and repeated tags."""
-    d, path = _docs(spark, sf_dir), _stream_folder(spark, "medline")
+    d, path = _docs(spark, sf_dir), shared_folder(spark, "medline")
     lines = ["PMID- ", F.col("pmid"), "\nTI  - Title of\n      ", F.col("pmid"), "\nAB  - ", F.col("t"), "\nDP  - 2019 Mar\nPT  - Journal Article\nPT  - ", F.col("lang"), "\nAU  - ", F.col("source")]
     d.select(_said(*lines).alias("value")).write.option("lineSep", "\n\n").text(path)
     got = records.read_medline(spark, path)
@@ -125,7 +124,7 @@ def annotations_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(sql_with(["lexicon"], "SELECT CAST(ordinal AS INT) AS ordinal, symbol, names AS aliases, CASE WHEN ordinal % 2 = 0 THEN locus_type ELSE 'unknown' END AS locus_type FROM lexicon"))
 def lexicon_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lexicon written as one JSON map, with old and new field names, and loaded in its order."""
-    path = _stream_folder(spark, "lexicon")
+    path = shared_folder(spark, "lexicon")
     names = F.concat(F.lit('["'), F.replace("names", F.lit(","), F.lit('","')), F.lit('"]'))
     new = _said('{"alias_symbol": ', names, ', "locus_type": "', F.col("locus_type"), '"}')
     old = _said('{"aliases": ', names, "}")
@@ -140,7 +139,7 @@ def lexicon_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM supplier, (VALUES (0), (1), (2)) AS v(k) WHERE s_suppkey % 5 BETWEEN 1 AND 4""")
 def journal_ranks_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journal ranks from a file with several ISSNs a row, some of them malformed."""
-    path, s = _stream_folder(spark, "journals"), base(spark, sf_dir, "supplier")
+    path, s = shared_folder(spark, "journals"), base(spark, sf_dir, "supplier")
     issn = _said("1234", F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0"), ", 9999", F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), "x, 12")
     s.select(_said("The Journal of ", F.col("s_name")).alias("Title"), issn.alias("Issn"), _said("Q", (F.col("s_suppkey") % 5).cast("string")).alias("SJR Best Quartile")).write.option("header", True).option("sep", ";").csv(path)
     return records.read_journal_ranks(spark, path)
@@ -347,7 +346,7 @@ def results_written(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("pmid").alias("PMID"), F.col("gene").alias("Gene/Group"), F.col("variant").alias("Variant Name"), F.col("finding").alias("Finding"), F.col("quote").alias("Finding Citation"),
         F.lit("HIGH").alias("Confidence"), F.col("association_type").alias("Association Type"), F.lit("hidden").alias("internal"),
     )
-    where = output.write_results(r, ["Finding"], _stream_folder(spark, "results"))
+    where = output.write_results(r, ["Finding"], shared_folder(spark, "results"))
     csv = lambda k: spark.read.option("header", True).csv(where[k])
     p = csv("primary_csv")
     assert "internal" not in p.columns and "internal" in csv("metadata_csv").columns
@@ -364,7 +363,7 @@ def payloads_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Debug, audit and candidate payloads, written as JSON and read back."""
     r = table(spark, sf_dir, "rows_given")
     papers = r.groupBy("pmid").agg(F.count("*").alias("candidate_count"), F.lit(0).cast("long").alias("emitted_rows"))
-    path = _stream_folder(spark, "payloads")
+    path = shared_folder(spark, "payloads")
     audit = reports.audit_payload(papers, r.withColumn("association_group", F.lit("")))
     reports.drop_debug(papers, {"query": "q"}).withColumnRenamed("payload", "debug").join(audit.withColumnRenamed("payload", "audit"), "pmid").write.json(path)
     found = candidates_of(r)
@@ -391,7 +390,7 @@ def traces_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("""SELECT 'run' || (user_id % 20) AS run_id, CAST(count(DISTINCT user_id) AS BIGINT) AS n_papers, CAST(min(user_id) AS VARCHAR) AS first_paper, CAST(count(*) AS BIGINT) AS total FROM events GROUP BY user_id % 20""")
 def manifests_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run manifests written as JSON and read back."""
-    path = _stream_folder(spark, "manifests")
+    path = shared_folder(spark, "manifests")
     e = base(spark, sf_dir, "events").withColumn("run_id", _said("run", (F.col("user_id") % 20).cast("string")))
     per = e.groupBy("run_id", F.lpad(F.col("user_id").cast("string"), 12, "0").alias("pmid")).agg(F.count("*").alias("n"))
     reports.manifest(e.select("run_id").distinct(), e.groupBy("run_id").agg(F.count("*").alias("total")), per).write.json(path)
@@ -412,7 +411,7 @@ def plots_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("""SELECT CASE event_id % 4 WHEN 0 THEN 'progress' WHEN 1 THEN 'log' ELSE 'result' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (event_id % 4 <> 2) AS BIGINT) AS n_json FROM events WHERE event_id % 4 <> 3 GROUP BY 1""")
 def events_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of files as a stream, dispatched by kind and appended to a table of each."""
-    where = _stream_folder(spark, "routed")
+    where = shared_folder(spark, "routed")
     m = F.col("event_id") % 4
     body = _said('{"id": ', F.col("event_id").cast("string"), "}")
     base(spark, sf_dir, "events").select(F.when(m == 0, _said("PROGRESS:", body)).when(m == 1, _said("LOG:", body)).when(m == 2, F.lit("RESULT:{broken")).otherwise(F.lit("noise")).alias("value")).write.text(f"{where}/lines")
