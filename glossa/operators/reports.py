@@ -95,8 +95,9 @@ def added_since(selected: DataFrame, original: DataFrame) -> DataFrame:
 def workbook(primary: DataFrame, meta: DataFrame, path: str) -> bool:
     """Writes a workbook of both tables and one sheet a group, on the driver, where openpyxl is there; says whether it did.
 
-    A workbook is made for reading: its rows are bounded by what a sheet can hold.
+    A workbook is made for reading: more rows than a sheet can hold are an error, not cut.
     """
+    most = 1_048_575
     try:
         from openpyxl import Workbook
         from openpyxl.styles import PatternFill
@@ -106,10 +107,12 @@ def workbook(primary: DataFrame, meta: DataFrame, path: str) -> bool:
     book = Workbook()
 
     def sheet(title: str, df: DataFrame) -> None:
+        if df.limit(most + 1).count() > most:
+            raise ValueError(f"{title}: more rows than a sheet holds")
         ws = book.create_sheet(title[:31])
         ws.append(df.columns)
         colour = df.columns.index("Confidence") + 1 if "Confidence" in df.columns else 0
-        for r in df.limit(1_048_575).toLocalIterator():
+        for r in df.toLocalIterator():
             ws.append(["" if x is None else str(x) for x in r])
             if colour and (fill := fills.get(r["Confidence"])):
                 ws.cell(ws.max_row, colour).fill = PatternFill("solid", fgColor=fill)
