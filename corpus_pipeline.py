@@ -18,27 +18,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go. Null and empty texts stay, and so does everything where labels of both classes are missing."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go, and texts of which nothing stays."""
+    """Later occurrences of three-line windows go, and texts of which nothing stays. Null and empty texts, and texts of fewer than three lines, stay as they are."""
     return _counted(linededup.without_repeated_lines(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One row of each class of near duplicates stays, that of the smallest id, repeated rows included. Texts without words stay; a row without id goes if its class has one with an id."""
     return neardup.without_near_duplicates(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages go, and documents that they mostly make up."""
+    """Benchmark passages go, and documents that they mostly make up. Null and empty texts stay; with an empty benchmark all do."""
     return _counted(decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of fixed length."""
+    """Token pieces in sequences of fixed length. Null and empty texts are their end id; longer ones are cut; rows without id are packed too."""
     return packing.best_fit_pack(docs, tokenizer_path("word_bpe_49k.json"), end=0)
 
 

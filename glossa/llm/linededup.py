@@ -5,7 +5,8 @@ are hashed; the first occurrence of a window, by doc_id and then by line, is
 kept, and the lines that any later occurrence covers are removed. Windows of
 three empty lines do not count, nor do texts of fewer than three lines.
 
-Defined cases: a null text stays null and has no lines; an empty text is one
+Defined cases: a very long text is a block of its own, with all its lines; a null
+text stays null and has no lines; an empty text is one
 empty line; among rows of equal id the order is that of the blocks in which they
 were read; a null id comes first. Windows are told apart by 64-bit hashes.
 """

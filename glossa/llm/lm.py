@@ -15,7 +15,8 @@ M(v) = SPREAD c(v) ** GROWTH, the number of different words that Heaps' law
 expects behind v; it sums to one for any M. The failure arc of v weighs
 M(v) / (c(v) + M(v)).
 
-Defined cases: a null text is empty and has its end token only; a null id is
+Defined cases: a very long text is a block of its own and scored whole; repeated
+rows are each scored; a null text is empty and has its end token only; a null id is
 empty text to crc32; without training documents every token is unknown and
 scores 0. Keys are 64-bit hashes: with n different words or pairs about
 n * n / 2**65 pairs of them share a count.

@@ -22,42 +22,52 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a bigram automaton of the training documents. Null text: its end token only; null id: the crc32 of empty text; repeated rows: each scored; no training rows: all unknown, score 0."""
     return lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that benchmark windows cover. Null or wordless text: no words, no hits; an item without id hits unlisted; repeated rows: each its own."""
     return decontaminate.digest(decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document row's class of near duplicates. Text without words: a class of its own; null ids: named by another id of the class if it has one; repeated rows: one of them kept."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. Null or empty text: no spans; repeated rows: each its own; values of any length are costed whole."""
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to token-id files and read back. Null or empty text: the end id only; null id: first; repeated ids: side by side, by a hash of their texts."""
     return tokenfile.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence signs of every document. Null or empty text: no labels, score 0; a malformed expression: its identifiers at a lower strength."""
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed into sequences of 2048. Null or empty text: its end id; longer texts are cut into pieces; repeated rows: each packed."""
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=0)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later occurrences of three-line windows. Null text: null, no lines; rows of one id: in the order in which they were read; null id: first."""
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score. Null, empty or wordless text: that of a text which says nothing; no labels of both classes: 0."""
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and class. Null, empty, zero or non-finite vectors: no links; other lengths: compared among themselves; repeated ids: vectors of their own."""
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
