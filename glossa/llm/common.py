@@ -107,12 +107,14 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(released, schema)
 
 
-#: Bytes of text for which a shuffle of texts or of their keys gets one more partition.
+#: Bytes of text for which a shuffle of texts or of their keys gets one more shard.
 SHARD_BYTES = 12 << 20
+#: Partitions of such a shuffle, at most: Spark's driver keeps track of each one for each map task. Beyond, one has several shards, or more of a sorted range.
+PARTITIONS = 20_000
 
 
 def shards_for(n_bytes: int, size: int = SHARD_BYTES) -> int:
-    """Partitions for a shuffle of so many bytes of text, so that each stays of one size however large the input is."""
+    """Shards for so many bytes of text, so that each stays of one size however large the input is."""
     return max(1, -(-n_bytes // size))
 
 

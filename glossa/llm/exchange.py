@@ -7,8 +7,11 @@ know, and answers in the order in which the block sent them. Blocks then read
 their documents again, next to the answers. A key of any frequency is one entry
 per block, so no shard grows with a key's frequency; and there is one shard for
 each SHARD_BYTES of text, so none grows with the input: what a task holds has
-one size at any scale. Messages are at most blocks times shards, each with its
-keys' part of one block.
+one size at any scale. A block sends nothing to shards of which it has no key, so
+its messages, and the work of making them, are never more than its distinct keys,
+however many shards there are. Beyond PARTITIONS shards a partition has several,
+sorted, and works on one after the other: Spark keeps track of each partition for
+each map task, which no driver could do for millions of them.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytescan as B
-from .common import batch, documents, drop, map_arrow, shards_for, shared_table
+from .common import PARTITIONS, batch, documents, drop, map_arrow, shards_for, shared_table
 
 #: Bytes of text in a block; a longer single text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -38,10 +41,11 @@ _MESSAGE_SQL = "shard int, block long, payload binary, totals array<long>"
 TO_ALL = -1
 _OWN = -1
 
-Request = Callable[[pa.RecordBatch, int], list[bytes]]
+#: Makes a block's messages by shard, of its documents and the number of shards.
+Request = Callable[[pa.RecordBatch, int], dict[int, bytes]]
 Respond = Callable[[dict[int, bytes]], tuple[dict[int, bytes], list[int]]]
-#: Makes a block's rows of its documents, its answers by shard, and its number.
-Finish = Callable[[pa.RecordBatch, list[bytes | None], int], pa.RecordBatch]
+#: Makes a block's rows of its documents, its answers in the order of their shards, and its number.
+Finish = Callable[[pa.RecordBatch, list[bytes], int], pa.RecordBatch]
 
 
 def _packed(pieces: list[pa.RecordBatch]) -> bytes:
@@ -80,9 +84,13 @@ class Blocks:
     table: DataFrame
     n_docs: int
     shards: int
-    #: Blocks that a partition made, on average, rounded up: their numbers spread evenly over the shards.
+    #: Blocks that a partition made, on average, rounded up: their numbers spread evenly over the partitions.
     stride: int
 
+    @property
+    def partitions(self) -> int:
+        return min(self.shards, PARTITIONS)
+
     def drop(self) -> None:
         drop(self.table)
 
@@ -95,9 +103,12 @@ def block_table(docs: DataFrame, label: str, keep: tuple[str, ...] = ()) -> Bloc
     return Blocks(table, sums["d"] or 0, shards_for(sums["b"] or 0), -(-sums["n"] // ((sums["p"] or 0) + 1)) or 1)
 
 
-def shard_limits(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of sorted keys begins, and the end."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+def shard_parts(shards: int, *keys: np.ndarray) -> list[tuple[int, list[slice]]]:
+    """The shards that keys fall to, in ascending order, each with its part of every one of the sorted arrays."""
+    of = [(k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32) for k in keys]
+    some = np.unique(np.concatenate(of))
+    parts = [map(slice, np.searchsorted(o, some).tolist(), np.searchsorted(o, some, "right").tolist()) for o in of]
+    return [(shard, list(own)) for shard, *own in zip(some.tolist(), *parts, strict=True)]
 
 
 def ask(blocks: Blocks, request: Request, respond: Respond, label: str) -> DataFrame:
@@ -108,9 +119,8 @@ def ask(blocks: Blocks, request: Request, respond: Respond, label: str) -> DataF
         for b in batches:
             for block, payload in zip(b.column("block").to_pylist(), b.column("payload"), strict=True):
                 parts = request(_documents_of(payload.as_py()), n)
-                some = [k for k, p in enumerate(parts) if p]
-                if some:
-                    yield batch(_MESSAGE, some, [block] * len(some), [parts[k] for k in some], [None] * len(some))
+                if parts:
+                    yield batch(_MESSAGE, list(parts), [block] * len(parts), list(parts.values()), [None] * len(parts))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, {}
@@ -130,8 +140,9 @@ def ask(blocks: Blocks, request: Request, respond: Respond, label: str) -> DataF
         if own:
             yield answered()
 
-    # One shard a partition; sorted, so that a task that has several works on one after the other.
-    asked = map_arrow(blocks.table.select("block", "payload"), requests, _MESSAGE_SQL).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "block")
+    # Sorted, so that a task that has several shards works on one after the other.
+    home = F.expr(f"cast(shard * {blocks.partitions}L div {n} as int)")
+    asked = map_arrow(blocks.table.select("block", "payload"), requests, _MESSAGE_SQL).repartitionById(blocks.partitions, home).sortWithinPartitions("shard", "block")
     return shared_table(map_arrow(asked, answers, _MESSAGE_SQL), label)
 
 
@@ -144,25 +155,24 @@ def totals(answers: DataFrame, width: int) -> list[int]:
 
 def finish(blocks: Blocks, answers: DataFrame, done: Finish, schema: str) -> DataFrame:
     """Blocks with their answers, by shard; done() makes a block's rows of them."""
-    n = blocks.shards
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, docs, replies = None, None, {}
+        at, docs, replies = None, None, []
         for b in batches:
             for shard, block, payload in zip(b.column("shard").to_pylist(), b.column("block").to_pylist(), b.column("payload"), strict=True):
                 if shard == _OWN:
                     if docs is not None:
-                        yield done(docs, [replies.get(k) for k in range(n)], at)
-                    at, docs, replies = block, _documents_of(payload.as_py()), {}
+                        yield done(docs, replies, at)
+                    at, docs, replies = block, _documents_of(payload.as_py()), []
                 else:
                     assert block == at
-                    replies[shard] = payload.as_py()
+                    replies.append(payload.as_py())
         if docs is not None:
-            yield done(docs, [replies.get(k) for k in range(n)], at)
+            yield done(docs, replies, at)
 
     own = blocks.table.select(F.lit(_OWN).alias("shard"), "block", "payload")
-    home = F.pmod(F.shiftright("block", 20) * blocks.stride + F.col("block").bitwiseAND((1 << 20) - 1), F.lit(n)).cast("int")
-    both = own.unionByName(answers.where(F.col("block") != TO_ALL).select("shard", "block", "payload")).repartitionById(n, home).sortWithinPartitions("block", "shard")
+    home = F.pmod(F.shiftright("block", 20) * blocks.stride + F.col("block").bitwiseAND((1 << 20) - 1), F.lit(blocks.partitions)).cast("int")
+    both = own.unionByName(answers.where(F.col("block") != TO_ALL).select("shard", "block", "payload")).repartitionById(blocks.partitions, home).sortWithinPartitions("block", "shard")
     return map_arrow(both, finished, schema)
 
 

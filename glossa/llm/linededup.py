@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .common import batch, frames, pack, pack_sorted, unframe, unpack, unpack_sorted
-from .exchange import ask, block_table, by_key, finish, from_planes, planes, shard_limits
+from .exchange import ask, block_table, by_key, finish, from_planes, planes, shard_parts
 
 WINDOW = 3
 _NO_ID = -(1 << 63)
@@ -48,12 +48,20 @@ class _Lines:
         self.first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
-def _request(docs: pa.RecordBatch, shards: int) -> list[bytes]:
+def _request(docs: pa.RecordBatch, shards: int) -> dict[int, bytes]:
     lines = _Lines(docs)
     firsts = lines.order[lines.first]
     keys, ids = lines.key[firsts], lines.id[firsts]
-    limits = shard_limits(keys, shards)
-    return [frames([pack_sorted(keys[a:b]), pack(planes(ids[a:b]))]) if b > a else b"" for a, b in zip(limits, limits[1:])]
+    return {shard: frames([pack_sorted(keys[own]), pack(planes(ids[own]))]) for shard, (own,) in shard_parts(shards, keys)}
+
+
+def _packed(bits: np.ndarray) -> bytes:
+    """Bits behind their number."""
+    return len(bits).to_bytes(4, "little") + np.packbits(bits).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8, offset=4), count=int.from_bytes(raw[:4], "little"))
 
 
 def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], list[int]]:
@@ -68,17 +76,16 @@ def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], list[int]]:
     place = np.where(is_least, np.arange(len(order)), len(order))
     winner = np.zeros(len(order), bool)
     winner[order[np.minimum.reduceat(place, starts)]] = True
-    return {b: np.packbits(w).tobytes() for b, w in zip(blocks, np.split(winner, np.cumsum([len(k) for k in keys])[:-1]), strict=True)}, []
+    return {b: _packed(w) for b, w in zip(blocks, np.split(winner, np.cumsum([len(k) for k in keys])[:-1]), strict=True)}, []
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
 
-def _done(docs: pa.RecordBatch, replies: list[bytes | None], _: int) -> pa.RecordBatch:
+def _done(docs: pa.RecordBatch, replies: list[bytes], _: int) -> pa.RecordBatch:
     lines = _Lines(docs)
     firsts = lines.order[lines.first]
-    limits = shard_limits(lines.key[firsts], len(replies))
-    first_here = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(r, np.uint8), count=int(b - a)) for r, a, b in zip(replies, limits, limits[1:]) if r is not None)]).astype(bool)
+    first_here = np.concatenate([np.zeros(0, np.uint8), *map(_unpacked, replies)]).astype(bool)
     later = np.ones(len(lines.key), bool)
     later[firsts[first_here]] = False
     gone = np.zeros(len(lines.start), bool)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from . import bytescan as B
 from .common import batch, frames, id_crc, pack, pack_sorted, unframe, unpack, unpack_sorted
-from .exchange import ask, block_table, finish, from_planes, planes, shard_limits, summed, totals
+from .exchange import ask, block_table, finish, from_planes, planes, shard_parts, summed, totals
 
 SPREAD, GROWTH = 2.0, 0.9
 FOLDS, HELD_OUT = 7, 2
@@ -65,18 +65,11 @@ def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.nda
     return distinct, counts
 
 
-def _request(docs: pa.RecordBatch, shards: int) -> list[bytes]:
+def _request(docs: pa.RecordBatch, shards: int) -> dict[int, bytes]:
     t = _Tokens(docs)
-    parts: list[list[bytes]] = [[] for _ in range(shards)]
-    some = [False] * shards
-    for keys in (t.token, t.pair):
-        distinct, counts = _counted(keys, t.training)
-        limits = shard_limits(distinct, shards)
-        for k in range(shards):
-            a, b = limits[k], limits[k + 1]
-            parts[k] += [pack_sorted(distinct[a:b]), pack(planes(counts[a:b]))]
-            some[k] |= b > a
-    return [frames(p) if x else b"" for p, x in zip(parts, some, strict=True)]
+    words, pairs = (_counted(keys, t.training) for keys in (t.token, t.pair))
+    message = lambda own: [x for (keys, counts), k in zip((words, pairs), own, strict=True) for x in (pack_sorted(keys[k]), pack(planes(counts[k])))]
+    return {shard: frames(message(own)) for shard, own in shard_parts(shards, words[0], pairs[0])}
 
 
 def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], list[int]]:
@@ -138,9 +131,9 @@ class Automaton:
 
 
 def _finisher(tokens: int, kinds: int, discount: float):
-    def done(docs: pa.RecordBatch, replies: list[bytes | None], _: int) -> pa.RecordBatch:
+    def done(docs: pa.RecordBatch, replies: list[bytes], _: int) -> pa.RecordBatch:
         t = _Tokens(docs)
-        got = [unframe(r) for r in replies if r is not None]
+        got = [unframe(r) for r in replies]
         words, which = np.unique(t.token, return_inverse=True)
         counts = np.concatenate([from_planes(unpack(p[0])) for p in got])
         distinct, first, pair_of = np.unique(t.pair, return_index=True, return_inverse=True)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .common import batch, drop, frames, map_arrow, pack, pack_sorted, shared_table, unframe, unpack, unpack_sorted
-from .exchange import Blocks, ask, block_table, finish, from_planes, kept_rows, planes, row_numbers, shard_limits, summed
+from .exchange import Blocks, ask, block_table, finish, from_planes, kept_rows, planes, row_numbers, shard_parts, summed
 from .graph import components, forest
 
 SHINGLE = 5
@@ -80,10 +80,9 @@ class _Shingles:
         self.count = np.diff(np.append(first, len(keys)))
 
 
-def _request(docs: pa.RecordBatch, shards: int) -> list[bytes]:
+def _request(docs: pa.RecordBatch, shards: int) -> dict[int, bytes]:
     keys, df = np.unique(_Shingles(docs).key, return_counts=True)
-    limits = shard_limits(keys, shards)
-    return [frames([pack_sorted(keys[a:b]), pack(planes(df[a:b]))]) if b > a else b"" for a, b in zip(limits, limits[1:])]
+    return {shard: frames([pack_sorted(keys[own]), pack(planes(df[own]))]) for shard, (own,) in shard_parts(shards, keys)}
 
 
 def _respond(own: dict[int, bytes]) -> tuple[dict[int, bytes], list[int]]:
@@ -136,10 +135,10 @@ def weights_of(counts: np.ndarray, codes: np.ndarray, scale: float) -> np.ndarra
 
 
 def _signer(scale: float):
-    def done(docs: pa.RecordBatch, replies: list[bytes | None], block: int) -> pa.RecordBatch:
+    def done(docs: pa.RecordBatch, replies: list[bytes], block: int) -> pa.RecordBatch:
         s, n = _Shingles(docs), docs.num_rows
         keys, which = np.unique(s.key, return_inverse=True)
-        codes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(unpack(r), np.uint8) for r in replies if r is not None)])
+        codes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(unpack(r), np.uint8) for r in replies)])
         assert len(codes) == len(keys)
         code = codes[which]
         weight = weights_of(s.count, code, scale)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import batch, documents, map_arrow, new_path, shards_for
+from .common import PARTITIONS, batch, documents, map_arrow, new_path, shards_for
 from .encoding import ENCODED_BYTES, Encoder, broadcast_tokenizer, crc, with_end
 
 MAGIC = b"GTB2"
@@ -45,7 +45,7 @@ BLOCK = 4096
 SEGMENT_TOKENS = 2 << 20
 #: A segment of two-byte ids takes 4 MB, so files stay below 256 MB.
 FILE_SEGMENTS = 56
-#: Bytes of text for which the files get one more shard.
+#: Bytes of text for which the files get one more shard, up to PARTITIONS; a task writes segment after segment, so a shard's size does not matter to it.
 SHARD_TEXT = 32 << 20
 SEPARATOR = "\n--end of segment 5f1c0d83b7a94e26--\n"
 _HEADER = struct.Struct(">4sIIIqqqqq")
@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str, shards: i
     """Encodes all texts, appends the end id to each, and writes token-id files in ascending id order under path."""
     spark = docs.sparkSession
     rows = documents(docs)
-    shards = shards or shards_for(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, SHARD_TEXT)
+    shards = shards or min(PARTITIONS, shards_for(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, SHARD_TEXT))
     definition = broadcast_tokenizer(spark, tokenizer)
     bits = bits_for(max(vocabulary or Encoder(definition.value).vocabulary, end + 1))
     # Equal rows come apart by where they were read, so that no single text or id makes a hot shard.

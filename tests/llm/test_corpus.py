@@ -26,6 +26,27 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(exchange, "BLOCK_BYTES", 20_000)
 
 
+@pytest.mark.parametrize("operator", [lm.lm_scores, linededup.dedup_lines, neardup.near_duplicates])
+def test_partitions_of_several_shards(spark, sf_dir, docs_of, monkeypatch, operator):
+    docs = docs_of(real(spark, sf_dir, 60), 4)
+    rows = lambda: sorted((tuple(r) for r in operator(docs).collect()), key=str)
+    want = rows()
+    # Many more shards than a block's keys fall to, and than partitions.
+    monkeypatch.setattr(exchange, "shards_for", lambda n: 5000)
+    monkeypatch.setattr(exchange, "PARTITIONS", 3)
+    assert rows() == want
+
+
+def test_shards_of_keys():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 200, np.uint64))
+    other = keys[::3]
+    parts = exchange.shard_parts(1 << 22, keys, other)
+    assert [s for s, _ in parts] == sorted({int(k >> np.uint64(32)) * (1 << 22) >> 32 for k in keys})
+    for at, k in enumerate((keys, other)):
+        assert np.array_equal(np.concatenate([k[own[at]] for _, own in parts]), k)
+    assert exchange.shard_parts(4, keys[:0]) == []
+
+
 def real(spark, sf_dir, n=80):
     return [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(n).select("doc_id", "text").collect()]
 
