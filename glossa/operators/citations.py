@@ -124,6 +124,20 @@ def rows_naming(index: DataFrame, genes: DataFrame, id_column: str = "pmid") ->
     return index.join(simple.unionByName(other).distinct(), key)
 
 
+def cells_mentioning(tables: DataFrame, genes: DataFrame, id_column: str = "pmid") -> DataFrame:
+    """id, gene, table_no and row_index of table rows of which any cell contains a name of a gene of the same paper, in any case.
+
+    tables and genes are as for table_rows and rows_naming. This is the looser form
+    of rows_naming: a name inside a longer word counts.
+    """
+    t = tables.select(id_column, F.posexplode("tables").alias("table_no", "t")).select(id_column, "table_no", F.posexplode("t.rows").alias("row_index", "cells"))
+    low = t.withColumn("cells", F.transform("cells", lambda c: F.lower(F.coalesce(c, F.lit("")))))
+    # One row a paper and gene, so that a table row meets each gene of its paper once.
+    names = genes.select(id_column, "gene", F.explode("names").alias("_n")).where("_n <> ''").groupBy(id_column, "gene").agg(F.collect_set(F.lower("_n")).alias("_names"))
+    has = F.exists("cells", lambda c: F.exists("_names", lambda n: F.contains(c, n)))
+    return low.join(names, id_column).where(has).select(id_column, "gene", "table_no", "row_index")
+
+
 def best_table_row(citations: DataFrame, index: DataFrame, id_column: str = "pmid") -> DataFrame:
     """For citations (id, cid, gene, names, citation) the best row that names the gene: 1.0 if it has all numbers, else 0.7; the first on ties."""
     r = rows_naming(index, citations.select(id_column, "gene", "names"), id_column)

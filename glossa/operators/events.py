@@ -82,6 +82,41 @@ def top_counts(events: DataFrame, column: str, most: int = 200) -> DataFrame:
     return events.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)
 
 
+def call_profile(calls: DataFrame, run: str, order: str, most: int = 5000, noise: tuple[str, ...] = ()) -> DataFrame:
+    """Per run and function of a trace: calls, deepest (calls open around it) and returns.
+
+    calls has run, order, event (call or return) and function. Dunder and anonymous
+    functions and those of noise are left out, and of the rest a run's first `most`
+    events count, as in the trace that they come from.
+    """
+    shown = calls.where(F.col("event").isin("call", "return") & ~F.col("function").rlike("^(__.*__$|<.*>$)") & ~F.col("function").isin(*noise))
+    w = Window.partitionBy(run).orderBy(order)
+    # A return closes its call before the next event, so the depth never falls below zero.
+    step = F.when(F.col("event") == "call", 1).otherwise(-1)
+    e = shown.withColumns({"_nth": F.row_number().over(w), "_sum": F.sum(step).over(w)}).where(F.col("_nth") <= most)
+    e = e.withColumn("_depth", F.col("_sum") - F.least(F.min("_sum").over(w), F.lit(0)))
+    called = F.col("event") == "call"
+    return e.groupBy(run, "function").agg(F.count_if(called).alias("calls"), F.max(F.when(called, F.col("_depth") - 1)).alias("deepest"), F.count_if(~called).alias("returns"))
+
+
+def applied(jobs: DataFrame, changes: DataFrame, key: str = "job_id", order: str = "seq") -> DataFrame:
+    """A job table after a batch of changes (insert, update, delete by id), which may be written in its place.
+
+    changes has the columns of jobs, order and action. A null field of an update
+    leaves the job's value; a job that is inserted again after it was deleted has
+    nothing of the old one.
+    """
+    fields = [c for c in jobs.columns if c != key]
+    old = jobs.select(key, *fields, F.lit(-1).cast("long").alias(order), F.lit("insert").alias("action"))
+    log = old.unionByName(changes.select(key, *fields, F.col(order).cast("long").alias(order), "action"))
+    gone = log.groupBy(key).agg(F.max(F.when(F.col("action") == "delete", F.col(order))).alias("_gone"))
+    left = log.join(gone, key).where(F.col("_gone").isNull() | (F.col(order) > F.col("_gone"))).drop("_gone")
+    # What follows a delete must begin with an insert: an update of no job changes nothing.
+    begun = left.groupBy(key).agg(F.min(F.when(F.col("action") == "insert", F.col(order))).alias("_begun"))
+    left = left.join(begun, key).where(F.col(order) >= F.col("_begun"))
+    return left.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields])
+
+
 def progress_deltas(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Positive increments of a cumulative counter."""
     w = Window.partitionBy(key).orderBy(order)

@@ -126,3 +126,23 @@ def workbook(primary: DataFrame, meta: DataFrame, path: str) -> bool:
             sheet("".join(c for c in str(group or "Unclassified") if c not in r"[]:*?/\\"), primary.where(F.col("`Association Group`").eqNullSafe(group)))
     book.save(path)
     return True
+
+
+def latex_rows(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """order and line: each row as a line of a LaTeX table, cells with one decimal where they are fractions, special characters escaped, -- for null."""
+    kinds = dict(rows.dtypes)
+
+    def cell(c: str) -> Column:
+        if kinds[c] in ("double", "float") or kinds[c].startswith("decimal"):
+            value = F.when(F.col(c).isNotNull(), F.format_string("%.1f", F.col(c).cast("double")))
+        else:
+            value = F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\textbackslash ")), r"([&%$#_{}])", r"\\$1")
+        return F.coalesce(value, F.lit("--"))
+
+    return rows.select(*order, F.concat(F.concat_ws(" & ", *[cell(c) for c in columns]), F.lit(" \\\\")).alias("line"))
+
+
+def latex_table(lines: list[str], titles: list[str], caption: str, label: str) -> str:
+    """A LaTeX table of lines that latex_rows made of a small aggregate."""
+    head = ["\\begin{table}", f"\\caption{{{caption}}}", f"\\label{{{label}}}", f"\\begin{{tabular}}{{{'l' + 'r' * (len(titles) - 1)}}}", "\\hline", " & ".join(titles) + " \\\\", "\\hline"]
+    return "\n".join([*head, *lines, "\\hline", "\\end{tabular}", "\\end{table}"])

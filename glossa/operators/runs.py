@@ -172,6 +172,30 @@ def headroom(slots: DataFrame, by: list[str], most: int = 480, estimate: int = C
     return slots.select(*by, "slot", "quota_window", "calls").groupBy(*by).applyInPandas(fold, schema)
 
 
+def paced(requests: DataFrame, key: str, order: list[str], arrival: str, gap: int) -> DataFrame:
+    """When each request of a key is sent (started), if one follows another by at least gap: at its arrival or gap after the one before.
+
+    Sending times have a closed form, a running maximum, so no request waits on a
+    fold: the latest of all earlier arrivals, each moved on by the gaps since.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    r = requests.withColumn("_i", F.row_number().over(w).cast("long") * gap)
+    return r.withColumn("started", F.max(F.col(arrival) - F.col("_i")).over(w) + F.col("_i")).drop("_i")
+
+
+def attempt_outcomes(attempts: DataFrame, pool: list[str], started: str, seconds: str, limit: float) -> DataFrame:
+    """outcome of each attempt: done, timed_out (over the limit, not tried again) or resubmitted (in flight when its pool was rebuilt).
+
+    A pool is rebuilt when its first attempt times out. Attempts that begin later
+    belong to the rebuilt pool and count as done or timed out by their own time.
+    """
+    over = F.col(seconds) > limit
+    rebuilt = attempts.groupBy(*pool).agg(F.min(F.when(over, F.col(started) + limit)).alias("_rebuilt"))
+    flying = (F.col(started) < F.col("_rebuilt")) & (F.col(started) + F.least(F.col(seconds), F.lit(limit)) > F.col("_rebuilt"))
+    outcome = F.when(flying, "resubmitted").when(over, "timed_out").otherwise("done")
+    return attempts.join(rebuilt, pool).withColumn("outcome", outcome).drop("_rebuilt")
+
+
 def failure_streaks(runs: DataFrame, key: str, order: str, failed: str, stop_at: int = C.FAILURES_IN_A_ROW) -> DataFrame:
     """Consecutive failures up to each run of a key, and whether the key stops there (first time that stop_at is reached)."""
     w = Window.partitionBy(key).orderBy(order)

@@ -23,6 +23,12 @@ def _hits(low: str, terms) -> str:
     return f"len(list_filter({_quoted(terms)}, lambda t: contains({low}, t)))"
 
 
+def _replaced(text: str, words: dict[str, str]) -> str:
+    for sign, word in words.items():
+        text = f"replace({text}, '{sign}', '{word}')"
+    return text
+
+
 def _parts_sql(distinct: bool) -> str:
     weights = " + ".join(f"CASE WHEN contains(low, '{k}') THEN {w} ELSE 0 END" for k, w in C.GENETIC_KEYWORDS.items())
     alpha = r"\b(?:" + "|".join(C.KNOWN_SYMBOLS) + r")\b"
@@ -99,18 +105,8 @@ def _scored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@R.query(_RANKED + " UNION ALL ".join(f"(SELECT '{mode}' AS mode, pmid, recommendation AS recommendation_score FROM m WHERE search_rank IS NOT NULL ORDER BY {order} LIMIT 25 OFFSET 25)" for mode, order in _ORDERS.items()))
-def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of each of the four sort orders (papers without a search rank would tie)."""
-    ranked, out = _scored_once(spark, sf_dir).where("search_rank IS NOT NULL"), None
-    for mode in _ORDERS:
-        p = screening.page(ranked, screening.paper_order(mode), 2).select(F.lit(mode).alias("mode"), "pmid", "recommendation_score")
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 @R.query(_RANKED + " UNION ALL ".join(f"(SELECT '{mode}' AS mode, pmid, recommendation AS recommendation_score FROM m ORDER BY {order}, pmid LIMIT 25 OFFSET 25)" for mode, order in _ORDERS.items()))
-def ranked_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of each of the four sort orders over all papers; the id parts what is equal."""
     ranked, out = _scored_once(spark, sf_dir), None
     for mode in _ORDERS:
@@ -119,6 +115,9 @@ def ranked_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+R.also("ranked_pages", "ranked_pages_all")
+
+
 @R.query(_SCREEN + """SELECT s.pmid, CAST(coalesce(raw_score, 0) AS INT) AS score, l.quality, l.toxic FROM s LEFT JOIN labels l ON s.doc_id = l.doc_id ORDER BY coalesce(raw_score, 0) DESC, s.doc_id LIMIT 20""")
 def screening_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: texts scored, joined with their labels, the twenty best."""
@@ -178,22 +177,18 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.parse_identifiers(rows).select("doc_id", "position", "type", "value")
 
 
+# Letters and digits beyond ASCII bound words in Spark's patterns but not in all engines': the SQL writes each as a letter, and other signs as blanks.
 @R.query(sql_with(["papers"], r"""
-SELECT pmid, CAST(len(regexp_extract_all(abstract, '\b\d+(?:\.\d+)?\b')) AS INT) AS n_numbers, CASE WHEN trim(regexp_replace(abstract, '\s+', ' ', 'g')) = '' THEN 0 ELSE CAST(len(string_split(trim(regexp_replace(abstract, '\s+', ' ', 'g')), ' ')) AS INT) END AS n_words,
-  md5(regexp_replace(upper(title), '[^A-Z0-9]', '', 'g')) AS title_key FROM papers WHERE regexp_full_match(abstract, '[\x00-\x7F]*')"""))
+, t AS (SELECT pmid, title, coalesce(abstract, '') AS a FROM papers),
+u AS (SELECT *, regexp_replace(regexp_replace(a, '[^\p{L}\p{Nd}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', 'a', 'g') AS plain, trim(regexp_replace(a, '\s+', ' ', 'g')) AS squeezed FROM t)
+SELECT pmid, CAST(len(regexp_extract_all(plain, '\b\d+(?:\.\d+)?\b')) AS INT) AS n_numbers, CASE WHEN squeezed = '' THEN 0 ELSE CAST(len(string_split(squeezed, ' ')) AS INT) END AS n_words,
+  md5(regexp_replace(upper(title), '[^A-Z0-9]', '', 'g')) AS title_key FROM u""".strip()))
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numbers, words and keys of ASCII texts (engines differ on word boundaries beside accented letters)."""
-    return _measures(table(spark, sf_dir, "papers").where(F.col("abstract").rlike(r"(?s)^[\x00-\x7F]*$")))
-
-
-def _measures(p: DataFrame) -> DataFrame:
-    return p.select("pmid", F.size(text.numbers(F.coalesce("abstract", F.lit("")))).alias("n_numbers"), text.word_count("abstract").alias("n_words"), F.md5(text.token_key("title")).alias("title_key"))
+    """numbers, words and keys of all texts; a null text has none."""
+    return table(spark, sf_dir, "papers").select("pmid", F.size(text.numbers(F.coalesce("abstract", F.lit("")))).alias("n_numbers"), text.word_count("abstract").alias("n_words"), F.md5(text.token_key("title")).alias("title_key"))
 
 
-@R.query()
-def text_measures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numbers, words and keys of all texts; a null text has none."""
-    return _measures(table(spark, sf_dir, "papers"))
+R.also("text_measures", "text_measures_all")
 
 
 @R.query(sql_with(["papers"], r"""
@@ -205,7 +200,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "papers").select("pmid", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
 
 
-@R.query("""WITH c AS (SELECT doc_id, text AS t, lower(text) AS l, regexp_extract_all(text, '[^\\x00-\\x7F]+') AS x FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')),
+@R.query("WITH c AS (SELECT doc_id, regexp_replace(" + _replaced("coalesce(text, '')", C.GREEK) + """, '[^\\x00-\\x7F]+', ' ', 'g') AS t FROM documents),
 d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \\r]+', ' ', 'g'), '\\t+', chr(9), 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS k FROM c),
 e AS (SELECT doc_id, CASE WHEN length(k) < 100 THEN '' ELSE k END AS k FROM d)
 SELECT doc_id, md5(k) AS clean_md5, CASE WHEN k = '' THEN 'empty' WHEN """ + _hits("lower(k)", C.NON_CONTENT) + " > 2 THEN 'low_quality' WHEN length(k) > 5000 AND " + _hits("lower(k)", C.ACADEMIC) + " >= 3 THEN 'full_article' WHEN length(k) > 1000 AND " + _hits("lower(k)", C.ACADEMIC) + " >= 2 THEN 'substantial_content' WHEN length(k) > 500 AND " + _hits("lower(k)", C.ACADEMIC) + """ >= 1 THEN 'abstract_content' ELSE 'minimal_content' END AS content_type,
@@ -213,19 +208,12 @@ round(CASE WHEN length(k) < 100 THEN 0 ELSE least(greatest((CASE WHEN length(k)
  + (CASE WHEN len(string_split(regexp_replace(k, '\\s+', ' ', 'g'), ' ')) > 1000 THEN 0.2 WHEN len(string_split(regexp_replace(k, '\\s+', ' ', 'g'), ' ')) > 500 THEN 0.1 ELSE 0 END)
  + (CASE WHEN len(regexp_split_to_array(k, '[.!?]+')) > 20 THEN 0.2 WHEN len(regexp_split_to_array(k, '[.!?]+')) > 10 THEN 0.1 ELSE 0 END) + least(""" + _hits("lower(k)", C.ACADEMIC) + " * 0.05, 0.2) - (CASE WHEN " + _hits("lower(k)", C.PENALIZED) + " > 0 THEN 0.3 ELSE 0 END), 0), 1) END, 6)::DOUBLE AS quality FROM e")
 def content_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaning, type and quality of ASCII texts."""
-    return _cleaned(base(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$")))
-
-
-def _cleaned(docs: DataFrame) -> DataFrame:
-    d = docs.withColumn("k", text.clean_content("text"))
+    """Cleaning, type and quality of all texts, Greek and other non-ASCII ones and null among them."""
+    d = base(spark, sf_dir, "documents").withColumn("k", text.clean_content("text"))
     return d.select("doc_id", F.md5("k").alias("clean_md5"), text.content_type("k", F.lit("")).alias("content_type"), F.round(text.content_quality("k"), 6).alias("quality"))
 
 
-@R.query()
-def content_cleaned_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaning, type and quality of all texts, Greek and other non-ASCII ones and null among them."""
-    return _cleaned(base(spark, sf_dir, "documents"))
+R.also("content_cleaned", "content_cleaned_all")
 
 
 @R.query(sql_with(["lexicon", "labels_given"], """
@@ -271,6 +259,10 @@ def mention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.mention_index(table(spark, sf_dir, "papers"), text_column="abstract").select("pmid", "mention", "gene", "variant", "rule").distinct()
 
 
+#: Passages of fewer than five words that are broadcast at once.
+SHORT_AT_ONCE = 20_000
+
+
 @R.query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))""")
 def citations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T22, exact path: passages that stand in a document.
@@ -278,7 +270,7 @@ def citations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     Passages of five words and more meet documents on the second to fourth word;
     only those pairs are searched, and no pair of unrelated texts is ever made.
     Shorter ones have no three words that are whole words of any text that has
-    them: they are searched in every text.
+    them: they are searched in every text, a block of at most about SHORT_AT_ONCE at a time.
     """
     shape = lambda c: text.squeezed(F.lower(text.normalized(c)))
     d = base(spark, sf_dir, "documents").select("doc_id", shape("text").alias("body"))
@@ -293,7 +285,10 @@ def citations_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = long.select("key").distinct()
     near = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "key", "left_semi")
     pairs = near.join(long, "key").join(d, "doc_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
-    pairs = pairs.unionByName(d.join(F.broadcast(short), F.contains("body", F.col("quote"))).select("item_id", "doc_id"))
+    blocks = max(1, -(-short.count() // SHORT_AT_ONCE))
+    for k in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == k)
+        pairs = pairs.unionByName(d.join(F.broadcast(some), F.contains("body", F.col("quote"))).select("item_id", "doc_id"))
     return pairs.distinct()
 
 
@@ -309,6 +304,29 @@ def table_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.best_table_row(cited, citations.table_rows(tables)).select("pmid", "score", "label", "row_index")
 
 
+@R.query("""WITH d AS (SELECT doc_id, lang, source, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+r AS (SELECT doc_id, lang, source, unnest(generate_series(0, 2)) AS row_index, w FROM d), c AS (SELECT doc_id, lang, source, row_index, list_slice(w, row_index * 5 + 1, row_index * 5 + 5) AS cells FROM r)
+SELECT doc_id, CAST(row_index AS INT) AS row_index FROM c WHERE len(list_filter(cells, lambda x: contains(lower(x), lang) OR contains(lower(x), 'an'))) > 0""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows of which a cell contains a name; the first fifteen words of each text are its table."""
+    words = F.filter(F.split(text.squeezed(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
+    row = lambda k: F.slice("w", 5 * k + 1, 5)
+    d = base(spark, sf_dir, "documents").withColumn("w", words)
+    tables = d.select("doc_id", F.array(F.struct(F.array(*[row(k) for k in range(3)]).alias("rows"))).alias("tables"))
+    genes = d.select("doc_id", F.lit("g").alias("gene"), F.array(F.upper("lang"), F.lit("An"), F.lit("")).alias("names"))
+    return citations.cells_mentioning(tables, genes, "doc_id").select("doc_id", "row_index")
+
+
+@R.query("""WITH d AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), '<>', '  '), '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT CAST(doc_id AS STRING) AS pmid, md5(trim(t || CASE WHEN doc_id % 3 = 0 THEN ' Second part.' ELSE '' END)) AS abstract_md5 FROM d""")
+def abstracts_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts of articles in a service's answers, some in two parts."""
+    plain, n = F.translate(F.coalesce("text", F.lit("")), "<>", "  "), F.col("doc_id")
+    second = F.when(n % 3 == 0, "<AbstractText Label='B'><i>Second</i> part.</AbstractText>").otherwise("")
+    xml = F.concat(F.lit("<PubmedArticle><PMID Version='1'>"), n.cast("string"), F.lit("</PMID><AbstractText>"), plain, F.lit("</AbstractText>"), second, F.lit("</PubmedArticle>"))
+    return markup.abstracts(base(spark, sf_dir, "documents").select(xml.alias("xml"))).select("pmid", F.md5("abstract").alias("abstract_md5"))
+
+
 @R.query()
 def citations_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with a changed word, verified in their own text by the sequence matcher."""

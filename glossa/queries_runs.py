@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import events, results_view, runs
+from .operators import events, reports, results_view, runs
 from .registry import Registry
 from .sources import records
 from .streaming import events as streams
@@ -246,4 +246,52 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+@R.query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS came, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, came AS started FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, greatest(e.came, s.started + 3600000000) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT event_id, started FROM s""")
+def requests_paced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When requests are sent, an hour or more apart for each user."""
+    e = base(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return runs.paced(e, "user_id", ["at", "event_id"], "at", 3_600_000_000).select("event_id", "started")
+
+
+@R.query("""WITH a AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, epoch_us(ts) / 1e6 AS started, value * 40 AS seconds FROM events)
+SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.user_id = a.user_id AND f.day = a.day AND a.started < f.rebuilt AND a.started + least(a.seconds, 600) > f.rebuilt) THEN 'resubmitted' WHEN seconds > 600 THEN 'timed_out' ELSE 'done' END AS outcome FROM a""".replace(
+    "\nSELECT event_id", ", f AS (SELECT DISTINCT ON (user_id, day) user_id, day, started + 600 AS rebuilt FROM a WHERE seconds > 600 ORDER BY user_id, day, started)\nSELECT event_id", 1))
+def attempts_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that end, time out, or are submitted again because another timed out."""
+    a = base(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("started"), (F.col("value") * 40).alias("seconds"))
+    return runs.attempt_outcomes(a, ["user_id", "day"], "started", "seconds", 600.0).select("event_id", "outcome")
+
+
+@R.query("""WITH e AS (SELECT user_id AS run_id, event_id, CASE WHEN event_id % 5 < 3 THEN 'call' ELSE 'return' END AS event, CASE event_type WHEN 'error' THEN '__init__' WHEN 'view' THEN '<lambda>' ELSE event_type END AS function FROM events),
+k AS (SELECT *, row_number() OVER w AS nth, sum(CASE WHEN event = 'call' THEN 1 ELSE -1 END) OVER w AS level FROM e WHERE function NOT LIKE '\\_\\_%' ESCAPE '\\' AND function NOT LIKE '<%' WINDOW w AS (PARTITION BY run_id ORDER BY event_id)),
+d AS (SELECT a.run_id, a.event, a.function, a.level - least(0, min(b.level)) AS depth FROM k a JOIN k b ON a.run_id = b.run_id AND b.nth <= a.nth WHERE a.nth <= 20 GROUP BY a.run_id, a.nth, a.event, a.function, a.level)
+SELECT run_id, function, CAST(count(*) FILTER (event = 'call') AS BIGINT) AS calls, CAST(max(depth - 1) FILTER (event = 'call') AS BIGINT) AS deepest, CAST(count(*) FILTER (event = 'return') AS BIGINT) AS returns FROM d GROUP BY run_id, function""")
+def calls_profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each function by run, how deep they stand, the first 20 events of a run."""
+    m = F.col("event_type")
+    e = base(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", F.when(F.col("event_id") % 5 < 3, "call").otherwise("return").alias("event"), F.when(m == "error", "__init__").when(m == "view", "<lambda>").otherwise(m).alias("function"))
+    return events.call_profile(e, "run_id", "event_id", most=20)
+
+
+@R.query("""WITH e AS (SELECT user_id AS job_id, event_id AS seq, event_type AS status, CASE WHEN event_id % 3 = 0 THEN value END AS stats, CASE WHEN event_id % 10 = 0 THEN 'delete' WHEN event_id % 7 = 0 THEN 'insert' ELSE 'update' END AS action FROM events),
+j AS (SELECT DISTINCT ON (job_id) job_id, status, stats FROM e WHERE job_id % 2 = 0 ORDER BY job_id, seq), l AS (SELECT job_id, -1 AS seq, status, stats, 'insert' AS action FROM j UNION ALL SELECT * FROM e),
+k AS (SELECT *, coalesce(max(CASE WHEN action = 'delete' THEN seq END) OVER (PARTITION BY job_id), -2) AS gone FROM l), m AS (SELECT *, min(CASE WHEN action = 'insert' THEN seq END) OVER (PARTITION BY job_id) AS begun FROM k WHERE seq > gone)
+SELECT job_id, max_by(status, seq) AS status, round(max_by(stats, seq) FILTER (stats IS NOT NULL), 6) AS stats FROM m WHERE seq >= begun GROUP BY job_id""")
+def jobs_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job table after inserts, updates and deletes by id."""
+    n = F.col("event_id")
+    e = base(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), n.alias("seq"), F.col("event_type").alias("status"), F.when(n % 3 == 0, F.col("value")).alias("stats"), F.when(n % 10 == 0, "delete").when(n % 7 == 0, "insert").otherwise("update").alias("action"))
+    jobs = e.where("job_id % 2 = 0").groupBy("job_id").agg(F.min_by(F.struct("status", "stats"), "seq").alias("f")).select("job_id", "f.*")
+    return events.applied(jobs, e).select("job_id", "status", F.round("stats", 6).alias("stats"))
+
+
+@R.query(_CLASSES + f""", k AS ({_BLOCKS}) SELECT time_block, concat_ws(' & ', time_block, runs, successful_runs, printf('%.1f', median_runtime_seconds), printf('%.1f', median_output_rows)) || ' ' || chr(92) || chr(92) AS line FROM k""")
+def latex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a LaTeX table of the time blocks."""
+    b = runs.block_summary(_batches(spark, sf_dir))
+    return reports.latex_rows(b, ["time_block", "runs", "successful_runs", "median_runtime_seconds", "median_output_rows"], ["time_block"])
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

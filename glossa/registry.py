@@ -24,3 +24,9 @@ class Registry:
             return f
 
         return add
+
+    def also(self, name: str, other: str) -> None:
+        """Keeps a query under a second name, by which it was known before."""
+        self.queries[other] = self.queries[name]
+        if name in self.sql:
+            self.sql[other] = self.sql[name]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed
+from ..functions.text import squeezed, strip_tags
 
 TABLE_CAP = 20
 IMAGE_TYPES = ("jpg", "jpeg", "png", "gif", "tif", "tiff", "webp")
@@ -152,6 +152,17 @@ def html_title(html: Column | str) -> Column:
     return squeezed(F.regexp_extract(F.col(html) if isinstance(html, str) else html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def abstracts(answers: DataFrame, column: str = "xml") -> DataFrame:
+    """pmid and abstract of each article in answers of a metadata service: its abstract's parts joined by blanks, tags stripped.
+
+    An article without id goes; one without abstract has an empty one.
+    """
+    part = lambda x: strip_tags(F.regexp_extract(x, r"(?is)^<AbstractText[^>]*>(.*)</AbstractText>$", 1))
+    found = answers.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<PubmedArticle\b.*?</PubmedArticle>"), F.lit(0))).alias("_a"))
+    parts = F.transform(F.regexp_extract_all("_a", F.lit(r"(?is)<AbstractText[^>]*>.*?</AbstractText>"), F.lit(0)), part)
+    return found.select(F.regexp_extract("_a", r"(?is)<PMID[^>]*>\s*(\d+)", 1).alias("pmid"), F.array_join(F.filter(parts, lambda p: p != ""), " ").alias("abstract")).where("pmid <> ''")
+
+
 def limited_supplements(files: DataFrame, most: int = 3, budget: int = 200_000) -> DataFrame:
     """At most `most` files of a paper in order, until a character budget; the last one is clipped. files has pmid, position, text."""
     from pyspark.sql import Window
