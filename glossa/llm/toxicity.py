@@ -57,6 +57,7 @@ PARTS = 10
 TELLING = 9.21
 NO_MODEL_SCORE = 0.0
 _PAIR = np.uint64(0xA24BAED4963EE407)
+_AT_ONCE = 1 << 16
 
 
 def _before(words: B.Words, h: np.ndarray) -> np.ndarray:
@@ -86,10 +87,15 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def _own_weight(a: np.ndarray, b: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """The posterior probability that a toxic and b ordinary texts come of a rate of their own, not of the given rate of toxic ones."""
-    alike = _log_beta(a + EVENNESS * rate, b + EVENNESS * (1 - rate)) - _log_beta(EVENNESS * rate, EVENNESS * (1 - rate))
-    odds = _log_beta(a + 1.0, b + 1.0) - alike - np.log(max(len(a), 2) - 1)
-    # Even a sure expression leaves the shared backoff its part.
-    return 1 / (1 + np.exp(-np.clip(odds, None, 36)))
+    out = np.empty(len(a))
+    # A part at a time, so that the terms of all expressions are never held at once.
+    for k in range(0, len(a), _AT_ONCE):
+        own = slice(k, k + _AT_ONCE)
+        alike = _log_beta(a[own] + EVENNESS * rate[own], b[own] + EVENNESS * (1 - rate[own])) - _log_beta(EVENNESS * rate[own], EVENNESS * (1 - rate[own]))
+        odds = _log_beta(a[own] + 1.0, b[own] + 1.0) - alike - np.log(max(len(a), 2) - 1)
+        # Even a sure expression leaves the shared backoff its part.
+        out[own] = 1 / (1 + np.exp(-np.clip(odds, None, 36)))
+    return out
 
 
 @dataclass
@@ -137,7 +143,9 @@ def fit(texts: Iterable[tuple[str, int]]) -> Model | None:
     y = np.array([t for _, t in rows], np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    sample = _Sample(B.scan(pa.array([t for t, _ in rows], pa.string())), y)
+    column = pa.array([t for t, _ in rows], pa.string())
+    del rows
+    sample = _Sample(column, y)
     part = np.zeros(len(y), np.int64)
     for t in (0, 1):
         part[y == t] = np.arange((y == t).sum()) % PARTS
@@ -161,28 +169,41 @@ def fit(texts: Iterable[tuple[str, int]]) -> Model | None:
         used.remove(min(wrong, key=lambda k: model.curve[k]))
 
 
+def _numbered(keys: np.ndarray, firsts: bool = False) -> tuple[np.ndarray, ...]:
+    """The distinct keys, where each stands first if that is asked, and the number of each key's own."""
+    *found, of = np.unique(keys, return_index=firsts, return_inverse=True)
+    return (*found, of.astype(np.int32))
+
+
 class _Sample:
     """The words and pairs of labelled texts, counted once; models of any of the texts are made from that."""
 
-    def __init__(self, words: B.Words, y: np.ndarray) -> None:
-        self.y, self.n, self.owner = y, words.counts(), words.owner()
+    def __init__(self, texts: pa.Array, y: np.ndarray) -> None:
+        # The driver does this: what is no longer needed goes before the next array of all words is made.
+        words = B.scan(texts)
+        self.y, self.n, self.owner = y, words.counts(), words.owner().astype(np.int32)
         h = words.hashes()
         before = _before(words, h)
+        del words
         pair = _pairs(before, h)
-        after = np.append(h[1:], np.uint64(2)) if len(h) else h
-        self.kinds, which = np.unique(h, return_inverse=True)
-        self.pairs, first, at = np.unique(pair, return_index=True, return_inverse=True)
-        self.which, self.at = which.astype(np.int32), at.astype(np.int32)
+        self.kinds, self.which = _numbered(h)
+        del h
+        self.pairs, first, self.at = _numbered(pair, True)
+        del pair
         #: Of each pair its word, and the number of the word before.
         self.word = self.which[first]
-        self.context = np.unique(before[first], return_inverse=True)[1].astype(np.int32)
-        _, first, triple = np.unique(B.mix(pair + after * _PAIR), return_index=True, return_inverse=True)
-        self.triple, self.pair_of = triple.astype(np.int32), self.at[first]
+        self.context = _numbered(before[first])[1]
+        del before
+        # A pair and the word behind it.
+        triple = self.at.astype(np.int64) * (len(self.kinds) + 1)
+        triple += np.append(self.which[1:], len(self.kinds)) if len(self.which) else self.which
+        _, first, self.triple = _numbered(triple, True)
+        self.pair_of = self.at[first]
         #: Each word's and each pair's texts, once.
         self.word_texts, self.pair_texts = (self._once(k, size) for k, size in ((self.which, len(self.kinds)), (self.at, len(self.pairs))))
 
     def _once(self, key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        both = np.unique(self.owner * max(size, 1) + key)
+        both = np.unique(self.owner.astype(np.int64) * max(size, 1) + key)
         return (both % max(size, 1)).astype(np.int32), (both // max(size, 1)).astype(np.int32)
 
     def _texts(self, once: tuple[np.ndarray, np.ndarray], size: int, of: np.ndarray) -> np.ndarray:
@@ -212,14 +233,19 @@ class _Sample:
         # A pair that differs no more than its word has its texts in the word's proportion.
         odds = rate / (1 - rate) * (p[0] / p[1])[self.word]
         weight = _own_weight(*(self._texts(self.pair_texts, np_, of) for of in classes), np.clip(odds / (1 + odds), 1e-6, 1 - 1e-6))
-        both, backoff = self._after(behind[0] + behind[1])
+        shared_after = self._contexts(behind[0] + behind[1])
         q = []
         for c, w in zip(behind, p, strict=True):
-            own, left = self._after(c)
-            lower = w[self.word]
-            # The pooled pair, of the class's word.
-            common = (both / shared[self.word] + backoff) * lower
-            q.append(weight * (own + left * lower) + (1 - weight) * common)
+            own_after, of_class = self._contexts(c), np.empty(np_)
+            for k in range(0, np_, _AT_ONCE):
+                at = slice(k, k + _AT_ONCE)
+                lower = w[self.word[at]]
+                own, left = self._after(c[at], own_after, at)
+                both, backoff = self._after(behind[0][at] + behind[1][at], shared_after, at)
+                # The pooled pair, of the class's word.
+                common = (both / shared[self.word[at]] + backoff) * lower
+                of_class[at] = weight[at] * (own + left * lower) + (1 - weight[at]) * common
+            q.append(of_class)
         return p, q
 
     def ratios(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,14 +253,18 @@ class _Sample:
         p, q = self.probabilities(seen)
         return tuple(np.log(x[0]) - np.log(x[1]) for x in (p, q))
 
-    def _after(self, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each pair the discounted probability after its first word, and the weight that this leaves to the word."""
+    def _contexts(self, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each first word the counts of its pairs, and the weight that their discounts leave to the word behind it."""
         size = int(self.context.max(initial=-1)) + 1
         total = np.bincount(self.context, behind, size)
         kinds = np.bincount(self.context, np.minimum(behind, 1), size)
         n = np.maximum(total, 1)
-        free = np.where(total > 0, DISCOUNT * kinds / n, 1.0)
-        return np.maximum(behind - DISCOUNT, 0) / n[self.context], free[self.context]
+        return n, np.where(total > 0, DISCOUNT * kinds / n, 1.0)
+
+    def _after(self, behind: np.ndarray, contexts: tuple[np.ndarray, np.ndarray], at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of the pairs at a place the discounted probability after its first word, and the weight that this leaves to the word."""
+        n, free = (x[self.context[at]] for x in contexts)
+        return np.maximum(behind - DISCOUNT, 0) / n, free
 
     def evidence(self, ratio: np.ndarray, pair_ratio: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, (pair_ratio - ratio[-1])[self.at], len(self.n)) if len(self.at) else np.zeros(len(self.n))

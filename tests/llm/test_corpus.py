@@ -347,7 +347,7 @@ def test_toxicity_probabilities_of_words_sum_to_one_in_each_class(spark):
 def test_toxicity_probabilities_equal_their_definition():
     texts, y = ["you fool you fool stop", "a fine day a fine walk", "you stop fool", "a day"], [1, 0, 1, 0]
     d = toxicity.DISCOUNT
-    sample = toxicity._Sample(bytescan.scan(pa.array(texts)), np.array(y))
+    sample = toxicity._Sample(pa.array(texts), np.array(y))
     (p, _), words = sample.probabilities(np.ones(4, bool)), sorted({w for t in texts for w in t.split()})
     number = {w: int(np.searchsorted(sample.kinds, bytescan.scan(pa.array([w])).hashes()[0])) for w in words}
     before = {(c, w): {a for t, k in zip(texts, y) if k == c for a, b in zip(["", *t.split()], t.split()) if b == w} for c in (0, 1) for w in words}
