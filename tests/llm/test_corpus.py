@@ -337,7 +337,7 @@ def test_toxicity_sample_takes_one_text_of_a_repeated_id(spark, docs_of):
 def test_toxicity_probabilities_of_words_sum_to_one_in_each_class(spark):
     docs, labels = labelled(spark, 40)
     truth = dict(labels)
-    sample = toxicity._Sample(bytescan.scan(pa.array([t for _, t in docs])), np.array([truth[i] for i, _ in docs]))
+    sample = toxicity._Sample(pa.array([t for _, t in docs]), np.array([truth[i] for i, _ in docs]))
     for seen in (np.ones(len(docs), bool), np.arange(len(docs)) % 3 > 0):
         p, q = sample.probabilities(seen)
         assert all(x.sum() == pytest.approx(1) and (x > 0).all() for x in p) and len(p[0]) == len(sample.kinds) + 1
