@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, linededup, lm, neardup, packing, secrets, tokenfile, toxicity
+from . import alignment, decontaminate, divergence, embeddings, licenses, linededup, lm, mixing, neardup, packing, secrets, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,21 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources takes. Null text: size 0; null source: the last one; repeated rows: each taken for itself; a very long text: counted whole, and taken at most twice."""
+    return mixing.mix_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned. Null or empty text, or one that a tokenizer does not give back: zeros; repeated rows: each counted; a very long text: aligned whole."""
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ. Null text, lang or source: empty; a source without terms: audited with counts of 0; ties: by the bytes of the name; a very long text: counted whole."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_decontaminate": op2_decontaminate,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_near_vectors": op10_near_vectors,
+    "op11_source_mix": op11_source_mix,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,5 +150,59 @@ kept AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
   CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op11_source_mix": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w FROM sized GROUP BY source
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY source_size * (6 // w), source NULLS LAST) AS k FROM sources
+), levels AS (
+  SELECT k, source_size, w, 150 * sum(source_size) OVER () - 200 * coalesce(sum(source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+    100 * sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den FROM ordered
+), first_open AS (
+  SELECT k, CAST(num AS DOUBLE) AS num, CAST(den AS DOUBLE) AS den FROM levels WHERE num * w <= 2 * den * source_size ORDER BY k LIMIT 1
+), targets AS (
+  SELECT o.source, source_size, CASE WHEN o.k < f.k THEN 2.0::DOUBLE * source_size ELSE w * f.num / f.den END AS target,
+    CAST('0x' || substr(md5('mix-1' || CASE WHEN o.source IS NULL THEN '-' ELSE '+' || o.source END), 1, 7) AS BIGINT) * 4 AS shift
+  FROM ordered o CROSS JOIN first_open f
+), rates AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(CAST(floor(target / source_size * 1073741824.0::DOUBLE) AS BIGINT), 2147483648) END AS rate FROM targets
+), placed AS (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS place FROM sized
+)
+SELECT doc_id, size, source_size, target, CAST(size * ((rate * (place + 1) + shift) // 1073741824 - (rate * place + shift) // 1073741824) AS BIGINT) AS taken
+FROM placed JOIN rates ON placed.source IS NOT DISTINCT FROM rates.source
+""",
+    "op13_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), counted AS (
+  SELECT lang, term, source, count(*) AS n, count(DISTINCT d) AS docs FROM words GROUP BY ALL
+), kept AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM counted GROUP BY lang, term HAVING sum(docs) >= 10
+), vocabulary AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, k.n AS all_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p,
+    1 + (1000000000 * (all_n + 2)) // (sum(all_n) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS q
+  FROM cells JOIN vocabulary USING (lang)
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
 """,
 }
