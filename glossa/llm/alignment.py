@@ -34,11 +34,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import PARTITIONS, batch, documents, drop, frames, map_arrow, pack, shared_table, unframe, unpack
+from .common import PARTITIONS, batch, documents, drop, frames, map_arrow, pack, place_of, shared_table, unframe, unpack
 from .encoding import broadcast_tokenizer
 
 #: Bytes of text in a block; a longer single text is a block of its own.
@@ -187,42 +187,50 @@ def encoded_runs(runs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return map_arrow(runs.select("run"), encoded, _ENCODED_SQL)
 
 
-def aligned(texts: DataFrame) -> DataFrame:
-    """Per id of texts (id, a, a_bytes, b, b_bytes): n_a, n_b, n_groups, groups as text, and links as pairs of ids with how often they are linked.
+def aligned(texts: DataFrame, partitions: int) -> DataFrame:
+    """Per id of texts (id, a, a_bytes, b, b_bytes): n_a, n_b, n_groups, groups as text, and pairs of ids with how often each is linked, group by group.
 
-    Ids without tokens are left out.
+    Ids without tokens are left out. Rows are dealt out by id once: all that follows looks at one id's tokens, and
+    with the session of `_own_session` also the joins stay within the partition.
     """
 
     def side(name: str) -> DataFrame:
-        tokens = texts.select("id", F.posexplode(F.arrays_zip(F.col(name).alias("token"), F.col(f"{name}_bytes").alias("bytes"))).alias("pos", "x"))
+        tokens = texts.select("id", name, f"{name}_bytes").repartition(partitions, "id").select("id", F.posexplode(F.arrays_zip(F.col(name).alias("token"), F.col(f"{name}_bytes").alias("bytes"))).alias("pos", "x"))
         end = F.sum("x.bytes").over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return tokens.select("id", F.lit(name).alias("side"), "pos", F.col("x.token").alias("token"), end.alias("end"))
+        return tokens.select("id", "pos", F.col("x.token").alias("token"), end.alias("end"))
 
     a, b = side("a"), side("b")
+    # A cut is where tokens of both end; a token's group is the number of cuts before its end.
     cuts = a.select("id", "end").join(b.select("id", "end"), ["id", "end"])
     before = Window.partitionBy("id").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
-    marked = a.withColumn("cut", F.lit(0)).unionByName(b.withColumn("cut", F.lit(0))).unionByName(cuts.select("id", F.lit(None).cast("string").alias("side"), F.lit(0).alias("pos"), F.lit(0).alias("token"), "end", F.lit(1).alias("cut")))
-    tokens = marked.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0))).where("side IS NOT NULL").select("id", "side", "pos", "token", "group")
-    tokens = shared_table(tokens, "align-tokens")
 
-    def ids(name: str):
-        own = F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("pos", "token"))))
-        return F.transform(own, lambda x: x["token"])
+    def grouped(tokens: DataFrame, name: str) -> DataFrame:
+        marked = tokens.join(cuts.withColumn("cut", F.lit(1)), ["id", "end"], "left")
+        own = marked.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0))).groupBy("id", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+        return own.select("id", "group", F.transform("x", lambda x: x["token"]).alias(name))
 
     def said(name: str):
-        return F.concat_ws(",", F.transform(name, lambda x: x.cast("string")))
+        return F.array_join(F.col(name).cast("array<string>"), ",")
 
-    grouped = tokens.groupBy("id", "group").agg(ids("a").alias("as"), ids("b").alias("bs"))
-    shown = grouped.select("id", "group", F.size("as").alias("n_a"), F.size("bs").alias("n_b"), F.concat(said("as"), F.lit("|"), said("bs")).alias("said"))
-    groups = F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("group", "said"))), lambda x: x["said"]))
-    texts_of = shown.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), groups.alias("groups"))
-    # Equal tokens of a group are one row with their number, so a group gives each pair of ids once.
-    times = tokens.groupBy("id", "group", "side", "token").agg(F.count("*").alias("n"))
-    x, y = times.where("side = 'a'").select("id", "group", F.col("token").alias("ta"), F.col("n").alias("na")), times.where("side = 'b'").select("id", "group", F.col("token").alias("tb"), F.col("n").alias("nb"))
-    pair = F.shiftleft(F.col("ta").cast("long"), _PAIR_BITS).bitwiseOR(F.col("tb").cast("long"))
-    links = x.join(y, ["id", "group"]).groupBy("id", pair.alias("pair")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
-    listed = links.groupBy("id").agg(F.collect_list(F.struct("pair", "n")).alias("links"))
-    return texts_of.join(listed, "id").select("id", "n_a", "n_b", "n_groups", "groups", F.col("links.pair").alias("pairs"), F.col("links.n").alias("times"))
+    def times(name: str, x):
+        return F.size(F.filter(name, lambda y: y == x)).cast("long")
+
+    # Every group has tokens of both sides: its last byte is a cut.
+    both = grouped(a, "as").join(grouped(b, "bs"), ["id", "group"])
+    pairs = F.flatten(F.transform(F.array_distinct("as"), lambda x: F.transform(F.array_distinct("bs"), lambda y: F.struct(F.shiftleft(x.cast("long"), _PAIR_BITS).bitwiseOR(y.cast("long")).alias("pair"), (times("as", x) * times("bs", y)).alias("n")))))
+    shown = both.select("id", F.struct("group", F.concat(said("as"), F.lit("|"), said("bs")).alias("said"), pairs.alias("links")).alias("g"), F.size("as").alias("n_a"), F.size("bs").alias("n_b"))
+    facts = shown.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list("g")).alias("g"))
+    links = F.flatten("g.links")
+    return facts.select("id", "n_a", "n_b", "n_groups", F.array_join("g.said", ";").alias("groups"), links["pair"].alias("pairs"), links["n"].alias("times"))
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session whose joins take rows dealt out by a part of the join's keys as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
 
 
 def _returned(blocks: DataFrame, n: int, stride: int, answers: DataFrame, columns: list[str], done: Callable[[bytes, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
@@ -339,12 +347,16 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     own = blocks.select("block", F.concat(F.unhex(F.lpad(F.hex("block"), 16, "0")), "payload").alias("payload"))
     runs = blocks.select(F.explode("runs").alias("run")).distinct()
     known = shared_table(encoded_runs(runs, a_path, b_path).withColumn("id", F.monotonically_increasing_id()), "align-runs")
-    facts = known.select("id", "run", "ok").join(aligned(known.where("ok")), "id", "left").drop("id")
-    met = blocks.select("block", F.posexplode("runs").alias("at", "run")).join(facts, "run")
+    # One table of numbers says how a run is aligned; the run itself stands only in the table of runs.
+    spark = docs.sparkSession
+    tokens = _own_session(spark).read.schema(known.schema).parquet(place_of(known)).where("ok").drop("run")
+    own_facts = shared_table(aligned(tokens, n), "align-facts")
+    facts = spark.read.schema(own_facts.schema).parquet(place_of(own_facts))
+    met = blocks.select("block", F.posexplode("runs").alias("at", "run")).join(known.select("id", "run", "ok"), "run").drop("run").join(facts, "id", "left")
     columns = ["ok", "n_a", "n_b", "n_groups", "groups", "pairs", "times"]
     filled = met.select("block", "at", "ok", *(F.coalesce(c, F.lit(0)).alias(c) for c in columns[1:4]), F.coalesce("groups", F.lit("")).alias("groups"), *(F.coalesce(F.col(c), F.array().cast("array<long>")).alias(c) for c in columns[5:]))
     linked = shared_table(_returned(own, n, stride, filled, columns, _linked, "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
-    drop(blocks, known)
+    drop(blocks, known, own_facts)
     counts = linked.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n"))
     a_id = F.shiftright("pair", _PAIR_BITS).cast("int")
     scored = counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id)))

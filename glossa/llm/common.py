@@ -53,6 +53,11 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def place_of(table: DataFrame) -> str:
+    """Where a table of shared_table() lies: another session can read it there."""
+    return _PLACES[table]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
