@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .common import PARTITIONS, batch, documents, drop, frames, map_arrow, pack, place_of, shared_table, unframe, unpack
-from .encoding import broadcast_tokenizer
+from .encoding import broadcast_tokenizer, tokenizer_json
 
 #: Bytes of text in a block; a longer single text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -164,16 +164,24 @@ class _Tokenizers:
         return [(x, y) if b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) else None for x, y, r in zip(a, b, raw, strict=True)]
 
 
-_ENCODED = pa.schema([("run", pa.string()), ("ok", pa.bool_()), ("a", pa.list_(pa.int32())), ("a_bytes", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("b_bytes", pa.list_(pa.int32()))])
-_ENCODED_SQL = "run string, ok boolean, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>"
+_ENCODED = pa.schema([("run", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+
+
+def _model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def token_bytes(spark: SparkSession, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
+    """Each tokenizer's ids (token, bytes): as many rows as its vocabulary has entries, whatever the corpus."""
+    both = _Tokenizers(tokenizer_json(a_path), _model(b_path))
+    return tuple(spark.createDataFrame(pa.table({"token": pa.array(range(len(x)), pa.int32()), "bytes": pa.array(map(len, x), pa.int32())})) for x in (both.a_bytes, both.b_bytes))
 
 
 def encoded_runs(runs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Runs (run) with both tokenizers' ids and their numbers of bytes."""
+    """Runs (run) with both tokenizers' ids; those that a tokenizer does not give back are left out."""
     spark = runs.sparkSession
-    with open(b_path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
-    definition = broadcast_tokenizer(spark, a_path)
+    model, definition = spark.sparkContext.broadcast(_model(b_path)), broadcast_tokenizer(spark, a_path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _Tokenizers(definition.value, model.value)
@@ -181,33 +189,42 @@ def encoded_runs(runs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for k in range(0, b.num_rows, 4096):
                 own = b.column("run").slice(k, 4096)
                 got = both.encode(own.to_pylist())
-                a, c = ([x[side] if x else [] for x in got] for side in (0, 1))
-                yield batch(_ENCODED, own, [x is not None for x in got], a, [[len(both.a_bytes[i]) for i in x] for x in a], c, [[len(both.b_bytes[i]) for i in x] for x in c])
+                own = own.filter(pa.array([x is not None for x in got], pa.bool_()))
+                yield batch(_ENCODED, own, [x[0] for x in got if x], [x[1] for x in got if x])
+
+    return map_arrow(runs.select("run"), encoded, "run string, a array<int>, b array<int>")
+
+
+_KEY = ["h", "run"]
 
-    return map_arrow(runs.select("run"), encoded, _ENCODED_SQL)
 
+def keyed(runs: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt out by a hash of their run (h). Runs are told apart by themselves; the hash makes sorting cheap."""
+    return runs.withColumn("h", F.xxhash64("run")).repartition(partitions, "h")
 
-def aligned(texts: DataFrame, partitions: int) -> DataFrame:
-    """Per id of texts (id, a, a_bytes, b, b_bytes): n_a, n_b, n_groups, groups as text, and pairs of ids with how often each is linked, group by group.
 
-    Ids without tokens are left out. Rows are dealt out by id once: all that follows looks at one id's tokens, and
-    with the session of `_own_session` also the joins stay within the partition.
+def aligned(runs: DataFrame, bytes_a: DataFrame, bytes_b: DataFrame, partitions: int) -> DataFrame:
+    """Per run of runs (run, a, b): n_a, n_b, n_groups, groups as text, pairs of ids, and how often each is linked, group by group (null: once each).
+
+    Runs are dealt out once: all that follows looks at one run's tokens, and in the session of `_own_session` joins
+    stay within the partition too.
     """
 
-    def side(name: str) -> DataFrame:
-        tokens = texts.select("id", name, f"{name}_bytes").repartition(partitions, "id").select("id", F.posexplode(F.arrays_zip(F.col(name).alias("token"), F.col(f"{name}_bytes").alias("bytes"))).alias("pos", "x"))
-        end = F.sum("x.bytes").over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return tokens.select("id", "pos", F.col("x.token").alias("token"), end.alias("end"))
+    def side(name: str, sizes: DataFrame) -> DataFrame:
+        tokens = keyed(runs.select("run", name), partitions).select(*_KEY, F.posexplode(name).alias("pos", "token")).join(F.broadcast(sizes), "token")
+        end = F.sum("bytes").over(Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return tokens.select(*_KEY, end.alias("end"), F.col("token").alias(f"token_{name}"))
+
+    # Ends of either side in one row where they meet: that is a cut. A token's group is the number of cuts before its end.
+    ends = side("a", bytes_a).join(side("b", bytes_b), [*_KEY, "end"], "full")
+    cut = (F.col("token_a").isNotNull() & F.col("token_b").isNotNull()).cast("int")
+    before = F.coalesce(F.sum(cut).over(Window.partitionBy(*_KEY).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    a, b = side("a"), side("b")
-    # A cut is where tokens of both end; a token's group is the number of cuts before its end.
-    cuts = a.select("id", "end").join(b.select("id", "end"), ["id", "end"])
-    before = Window.partitionBy("id").orderBy("end").rangeBetween(Window.unboundedPreceding, -1)
+    def ids(name: str):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", F.col(name).alias("token"))))), lambda x: x["token"])
 
-    def grouped(tokens: DataFrame, name: str) -> DataFrame:
-        marked = tokens.join(cuts.withColumn("cut", F.lit(1)), ["id", "end"], "left")
-        own = marked.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0))).groupBy("id", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
-        return own.select("id", "group", F.transform("x", lambda x: x["token"]).alias(name))
+    # Every group has tokens of both sides: its last byte is a cut.
+    groups = ends.withColumn("group", before).groupBy(*_KEY, "group").agg(ids("token_a").alias("as"), ids("token_b").alias("bs"))
 
     def said(name: str):
         return F.array_join(F.col(name).cast("array<string>"), ",")
@@ -215,13 +232,12 @@ def aligned(texts: DataFrame, partitions: int) -> DataFrame:
     def times(name: str, x):
         return F.size(F.filter(name, lambda y: y == x)).cast("long")
 
-    # Every group has tokens of both sides: its last byte is a cut.
-    both = grouped(a, "as").join(grouped(b, "bs"), ["id", "group"])
+    # Equal tokens of a group are counted, so a group gives each pair of ids once.
     pairs = F.flatten(F.transform(F.array_distinct("as"), lambda x: F.transform(F.array_distinct("bs"), lambda y: F.struct(F.shiftleft(x.cast("long"), _PAIR_BITS).bitwiseOR(y.cast("long")).alias("pair"), (times("as", x) * times("bs", y)).alias("n")))))
-    shown = both.select("id", F.struct("group", F.concat(said("as"), F.lit("|"), said("bs")).alias("said"), pairs.alias("links")).alias("g"), F.size("as").alias("n_a"), F.size("bs").alias("n_b"))
-    facts = shown.groupBy("id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list("g")).alias("g"))
-    links = F.flatten("g.links")
-    return facts.select("id", "n_a", "n_b", "n_groups", F.array_join("g.said", ";").alias("groups"), links["pair"].alias("pairs"), links["n"].alias("times"))
+    shown = groups.select(*_KEY, F.struct("group", F.concat(said("as"), F.lit("|"), said("bs")).alias("said"), pairs.alias("links")).alias("g"), F.size("as").alias("n_a"), F.size("bs").alias("n_b"))
+    facts = shown.groupBy(*_KEY).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list("g")).alias("g"))
+    facts = facts.select(*_KEY, "n_a", "n_b", "n_groups", F.array_join("g.said", ";").alias("groups"), F.flatten("g.links").alias("links"))
+    return facts.select(*_KEY, "n_a", "n_b", "n_groups", "groups", F.col("links.pair").alias("pairs"), F.when(F.exists("links", lambda x: x["n"] > 1), F.col("links.n")).alias("times"))
 
 
 def _own_session(spark: SparkSession) -> SparkSession:
@@ -276,15 +292,19 @@ def _linked(payload: bytes, answers: pa.Table) -> pa.RecordBatch:
     ids, counts, order = unframe(payload[8:])
     counts, order = _from_int(counts), _from_int(order)
     n_docs, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
-    ok = answers.column("ok").to_numpy()
+    # A run that a tokenizer does not give back has come back without groups.
+    ok = ~answers.column("groups").is_null().to_numpy()
     good = counts > 0
     good[doc[~ok[order]]] = False
     own = good[doc]
     doc, order = doc[own], order[own]
-    sums = [np.bincount(doc, answers.column(c).to_numpy()[order], n_docs).astype(np.int64) for c in ("n_a", "n_b", "n_groups")]
+    sums = [np.bincount(doc, answers.column(c).fill_null(0).to_numpy()[order], n_docs).astype(np.int64) for c in ("n_a", "n_b", "n_groups")]
     pairs, size = _flat(answers.column("pairs"))
-    times, _ = _flat(answers.column("times"))
     starts = np.cumsum(size) - size
+    # Where nothing is said, each pair of a run is linked once.
+    several, listed = _flat(answers.column("times"))
+    times, some = np.ones(len(pairs), np.int64), np.flatnonzero(listed)
+    times[np.repeat(starts[some], size[some]) + B.ragged(size[some])] = several
     # A document's distinct runs, then its distinct pairs.
     runs, often = np.unique(doc * len(ok) + order, return_counts=True)
     run, of = runs % max(len(ok), 1), runs // max(len(ok), 1)
@@ -337,26 +357,29 @@ def _scored(payload: bytes, answers: pa.Table) -> pa.RecordBatch:
     return batch(_SCHEMA, *own.columns[:5], n_best, count_sum, own.column("groups_sha256"))
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Blocks whose number travels in the payload too."""
+    return blocks.select("block", F.concat(F.unhex(F.lpad(F.hex("block"), 16, "0")), "payload").alias("payload"))
+
+
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     blocks = shared_table(map_arrow(documents(docs), _blocks, "block long, payload binary, runs array<string>"), "align-blocks")
     seen = blocks.agg(F.count("*").alias("n"), F.max(F.shiftright("block", 20)).alias("p")).first()
     n = max(1, min(PARTITIONS, seen["n"] * _PER_BLOCK))
     stride = -(-seen["n"] // ((seen["p"] or 0) + 1)) or 1
-    # The block's number travels in its payload, so that it comes back with it.
-    own = blocks.select("block", F.concat(F.unhex(F.lpad(F.hex("block"), 16, "0")), "payload").alias("payload"))
-    runs = blocks.select(F.explode("runs").alias("run")).distinct()
-    known = shared_table(encoded_runs(runs, a_path, b_path).withColumn("id", F.monotonically_increasing_id()), "align-runs")
-    # One table of numbers says how a run is aligned; the run itself stands only in the table of runs.
-    spark = docs.sparkSession
-    tokens = _own_session(spark).read.schema(known.schema).parquet(place_of(known)).where("ok").drop("run")
-    own_facts = shared_table(aligned(tokens, n), "align-facts")
-    facts = spark.read.schema(own_facts.schema).parquet(place_of(own_facts))
-    met = blocks.select("block", F.posexplode("runs").alias("at", "run")).join(known.select("id", "run", "ok"), "run").drop("run").join(facts, "id", "left")
-    columns = ["ok", "n_a", "n_b", "n_groups", "groups", "pairs", "times"]
-    filled = met.select("block", "at", "ok", *(F.coalesce(c, F.lit(0)).alias(c) for c in columns[1:4]), F.coalesce("groups", F.lit("")).alias("groups"), *(F.coalesce(F.col(c), F.array().cast("array<long>")).alias(c) for c in columns[5:]))
-    linked = shared_table(_returned(own, n, stride, filled, columns, _linked, "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
-    drop(blocks, known, own_facts)
+    known = shared_table(encoded_runs(blocks.select(F.explode("runs").alias("run")).distinct(), a_path, b_path), "align-runs")
+    session = _own_session(docs.sparkSession)
+
+    def within(table: DataFrame) -> DataFrame:
+        return session.read.schema(table.schema).parquet(place_of(table))
+
+    facts = aligned(within(known), *token_bytes(session, a_path, b_path), n)
+    met = keyed(within(blocks).select("block", F.posexplode("runs").alias("at", "run")), n).join(facts, _KEY, "left")
+    columns = ["n_a", "n_b", "n_groups", "groups", "pairs", "times"]
+    done = shared_table(_returned(_numbered(within(blocks)), n, stride, met.select("block", "at", *columns), columns, _linked, "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
+    linked = docs.sparkSession.read.schema(done.schema).parquet(place_of(done))
+    drop(blocks, known)
     counts = linked.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n"))
     a_id = F.shiftright("pair", _PAIR_BITS).cast("int")
     scored = counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id)))
