@@ -8,14 +8,13 @@ How it runs: neither tokenizer's merges reach across a place where other text is
 a blank or a line feed (for B this is read off its vocabulary), so a text is a row of runs
 that begin there, and tokens, cuts, groups and links of a text are those of its runs. Each
 distinct run of the corpus is tokenized once and aligned once, relationally: tokens by
-posexplode, byte ends by a windowed running sum, cuts by an equi-join on run and end, group
-numbers by a running count of cuts, links by a join of both sides' groups. Aligning every
-document's own tokens this way would move each token of the corpus through several shuffles
-for the same rows.
+posexplode, byte ends by a windowed running sum, cuts where both sides meet on run and end,
+group numbers by a running count of cuts. Aligning every document's own tokens this way would
+move each token of the corpus through several shuffles for the same rows.
 
 Documents are kept in blocks of bounded size, as numbers of the block's runs. Runs meet
 their alignment in a join on the run, a row for each block and run, and come back to the
-block; a block sends each pair of ids with the number of its documents that link it, these
+block, which brings both sides of each group together for its links; a block sends each pair of ids with the number of its documents that link it, these
 are summed, and come back in the same way. So a run or pair of any frequency is one row a
 block, and a join splits the blocks of a frequent one over tasks.
 
@@ -172,10 +171,11 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def token_bytes(spark: SparkSession, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
-    """Each tokenizer's ids (token, bytes): as many rows as its vocabulary has entries, whatever the corpus."""
+def token_bytes(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
+    """Both tokenizers' ids (of_b, token, bytes): as many rows as their vocabularies have entries, whatever the corpus."""
     both = _Tokenizers(tokenizer_json(a_path), _model(b_path))
-    return tuple(spark.createDataFrame(pa.table({"token": pa.array(range(len(x)), pa.int32()), "bytes": pa.array(map(len, x), pa.int32())})) for x in (both.a_bytes, both.b_bytes))
+    sides = [(False, both.a_bytes), (True, both.b_bytes)]
+    return spark.createDataFrame(pa.table({"of_b": [s for s, x in sides for _ in x], "token": pa.array([i for _, x in sides for i in range(len(x))], pa.int32()), "bytes": pa.array([len(t) for _, x in sides for t in x], pa.int32())}))
 
 
 def encoded_runs(runs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -203,41 +203,29 @@ def keyed(runs: DataFrame, partitions: int) -> DataFrame:
     return runs.withColumn("h", F.xxhash64("run")).repartition(partitions, "h")
 
 
-def aligned(runs: DataFrame, bytes_a: DataFrame, bytes_b: DataFrame, partitions: int) -> DataFrame:
-    """Per run of runs (run, a, b): n_a, n_b, n_groups, groups as text, pairs of ids, and how often each is linked, group by group (null: once each).
+def aligned(runs: DataFrame, sizes: DataFrame, partitions: int) -> DataFrame:
+    """Per run of runs (run, a, b): its groups as text. sizes has the bytes of each token (of_b, token, bytes).
 
-    Runs are dealt out once: all that follows looks at one run's tokens, and in the session of `_own_session` joins
-    stay within the partition too.
+    Runs are dealt out once: all that follows looks at one run's tokens, and stays within the partition.
     """
-
-    def side(name: str, sizes: DataFrame) -> DataFrame:
-        tokens = keyed(runs.select("run", name), partitions).select(*_KEY, F.posexplode(name).alias("pos", "token")).join(F.broadcast(sizes), "token")
-        end = F.sum("bytes").over(Window.partitionBy(*_KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return tokens.select(*_KEY, end.alias("end"), F.col("token").alias(f"token_{name}"))
-
-    # Ends of either side in one row where they meet: that is a cut. A token's group is the number of cuts before its end.
-    ends = side("a", bytes_a).join(side("b", bytes_b), [*_KEY, "end"], "full")
+    sides = F.array(F.struct(F.lit(False).alias("of_b"), F.col("a").alias("ids")), F.struct(F.lit(True).alias("of_b"), F.col("b").alias("ids")))
+    tokens = keyed(runs.select("run", "a", "b"), partitions).select(*_KEY, F.explode(sides).alias("s")).select(*_KEY, "s.of_b", F.posexplode("s.ids").alias("pos", "token")).join(F.broadcast(sizes), ["of_b", "token"])
+    end = F.sum("bytes").over(Window.partitionBy(*_KEY, "of_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Tokens of both sides meet on run and end, which is a cut if both are there. It is the equi-join of the two sides,
+    # as a grouping, since each side has one token at an end: rows keep their partition, which a full join would give up.
+    ends = tokens.withColumn("end", end).groupBy(*_KEY, "end").agg(F.max(F.when(~F.col("of_b"), F.col("token"))).alias("token_a"), F.max(F.when(F.col("of_b"), F.col("token"))).alias("token_b"))
     cut = (F.col("token_a").isNotNull() & F.col("token_b").isNotNull()).cast("int")
+    # A token's group is the number of cuts before its end.
     before = F.coalesce(F.sum(cut).over(Window.partitionBy(*_KEY).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    def ids(name: str):
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", F.col(name).alias("token"))))), lambda x: x["token"])
-
-    # Every group has tokens of both sides: its last byte is a cut.
-    groups = ends.withColumn("group", before).groupBy(*_KEY, "group").agg(ids("token_a").alias("as"), ids("token_b").alias("bs"))
-
     def said(name: str):
-        return F.array_join(F.col(name).cast("array<string>"), ",")
-
-    def times(name: str, x):
-        return F.size(F.filter(name, lambda y: y == x)).cast("long")
+        own = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", F.col(name).cast("string").alias("token")))))
+        return F.array_join(F.transform(own, lambda x: x["token"]), ",")
 
-    # Equal tokens of a group are counted, so a group gives each pair of ids once.
-    pairs = F.flatten(F.transform(F.array_distinct("as"), lambda x: F.transform(F.array_distinct("bs"), lambda y: F.struct(F.shiftleft(x.cast("long"), _PAIR_BITS).bitwiseOR(y.cast("long")).alias("pair"), (times("as", x) * times("bs", y)).alias("n")))))
-    shown = groups.select(*_KEY, F.struct("group", F.concat(said("as"), F.lit("|"), said("bs")).alias("said"), pairs.alias("links")).alias("g"), F.size("as").alias("n_a"), F.size("bs").alias("n_b"))
-    facts = shown.groupBy(*_KEY).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_sort(F.collect_list("g")).alias("g"))
-    facts = facts.select(*_KEY, "n_a", "n_b", "n_groups", F.array_join("g.said", ";").alias("groups"), F.flatten("g.links").alias("links"))
-    return facts.select(*_KEY, "n_a", "n_b", "n_groups", "groups", F.col("links.pair").alias("pairs"), F.when(F.exists("links", lambda x: x["n"] > 1), F.col("links.n")).alias("times"))
+    # Every group has tokens of both sides: its last byte is a cut.
+    groups = ends.withColumn("group", before).groupBy(*_KEY, "group").agg(F.concat(said("token_a"), F.lit("|"), said("token_b")).alias("said"))
+    listed = groups.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("group", "said"))).alias("g"))
+    return listed.select(*_KEY, F.array_join("g.said", ";").alias("groups"))
 
 
 def _own_session(spark: SparkSession) -> SparkSession:
@@ -276,10 +264,39 @@ def _returned(blocks: DataFrame, n: int, stride: int, answers: DataFrame, column
     return map_arrow(both, finished, schema)
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column, and how many each row has."""
-    column = column.combine_chunks()
-    return column.flatten().to_numpy().astype(np.int64), np.diff(column.offsets.to_numpy()).astype(np.int64)
+class _Groups:
+    """The groups of runs, read from their text. A row of pairs is a pair of ids of a run's group, with how often it is linked there."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw, where = B.buffers(column.cast(pa.large_string()))
+        some = np.flatnonzero(np.diff(where))
+        self.text = np.insert(raw, where[1:][some], np.uint8(ord(";")))
+        self.at = where + np.append(0, np.cumsum(np.diff(where) > 0))
+        n = len(where) - 1
+        # A number ends at each separator.
+        ends = np.flatnonzero((self.text < 0x30) | (self.text > 0x39))
+        sign = self.text[ends]
+        digits = np.diff(ends, prepend=-1) - 1
+        ids = np.zeros(len(ends), np.int64)
+        for k in range(int(digits.max(initial=0))):
+            has = digits > k
+            ids[has] += (self.text[ends[has] - 1 - k] - 0x30).astype(np.int64) * 10**k
+        # Behind a bar come the second tokenizer's ids, up to the group's end.
+        last = np.maximum.accumulate(np.where(sign != ord(","), np.arange(len(sign)), -1))
+        of_b = np.zeros(len(sign), bool)
+        of_b[1:] = (last[:-1] >= 0) & (sign[np.maximum(last[:-1], 0)] == ord("|"))
+        group = np.cumsum(sign == ord(";")) - (sign == ord(";"))
+        run = np.searchsorted(self.at, ends, "right") - 1
+        run_of = run[np.flatnonzero(sign == ord(";"))]
+        self.n_a, self.n_b, self.n_groups = (np.bincount(x, minlength=n) for x in (run[~of_b], run[of_b], run_of))
+        # Equal tokens of a group are counted, so a group gives each pair of ids once.
+        key, often = np.unique((group * 2 + of_b) << _PAIR_BITS | ids, return_counts=True)
+        side, ids = key >> _PAIR_BITS, key & ((1 << _PAIR_BITS) - 1)
+        a = np.flatnonzero(side % 2 == 0)
+        first, size = np.searchsorted(side, side[a] + 1), np.searchsorted(side, side[a] + 1, "right") - np.searchsorted(side, side[a] + 1)
+        x, y = np.repeat(a, size), np.repeat(first, size) + B.ragged(size)
+        self.pair, self.times = ids[x] << _PAIR_BITS | ids[y], often[x] * often[y]
+        self.pairs_of = np.bincount(run_of[side[x] // 2], minlength=n)
 
 
 _SUMS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())])
@@ -293,18 +310,16 @@ def _linked(payload: bytes, answers: pa.Table) -> pa.RecordBatch:
     counts, order = _from_int(counts), _from_int(order)
     n_docs, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
     # A run that a tokenizer does not give back has come back without groups.
-    ok = ~answers.column("groups").is_null().to_numpy()
+    column = answers.column("groups").combine_chunks()
+    ok = ~column.is_null().to_numpy(zero_copy_only=False)
+    groups = _Groups(column)
     good = counts > 0
     good[doc[~ok[order]]] = False
     own = good[doc]
     doc, order = doc[own], order[own]
-    sums = [np.bincount(doc, answers.column(c).fill_null(0).to_numpy()[order], n_docs).astype(np.int64) for c in ("n_a", "n_b", "n_groups")]
-    pairs, size = _flat(answers.column("pairs"))
+    sums = [np.bincount(doc, x[order], n_docs).astype(np.int64) for x in (groups.n_a, groups.n_b, groups.n_groups)]
+    pairs, times, size = groups.pair, groups.times, groups.pairs_of
     starts = np.cumsum(size) - size
-    # Where nothing is said, each pair of a run is linked once.
-    several, listed = _flat(answers.column("times"))
-    times, some = np.ones(len(pairs), np.int64), np.flatnonzero(listed)
-    times[np.repeat(starts[some], size[some]) + B.ragged(size[some])] = several
     # A document's distinct runs, then its distinct pairs.
     runs, often = np.unique(doc * len(ok) + order, return_counts=True)
     run, of = runs % max(len(ok), 1), runs // max(len(ok), 1)
@@ -318,9 +333,7 @@ def _linked(payload: bytes, answers: pa.Table) -> pa.RecordBatch:
     linked, pair = key[first] // max(len(names), 1), key[first] % max(len(names), 1)
     some, pair = np.unique(pair, return_inverse=True)
     # The groups of a document are those of its runs, one after the other.
-    raw, where = B.buffers(answers.column("groups").combine_chunks().cast(pa.large_string()))
-    text = np.insert(raw, where[1:], np.uint8(ord(";")))
-    where = where + np.arange(len(where))
+    text, where = groups.text, groups.at
     digests, total = [], np.append(0, np.cumsum(np.bincount(doc, minlength=n_docs)))
     body = memoryview(text.tobytes())
     for d in range(n_docs):
@@ -374,9 +387,9 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def within(table: DataFrame) -> DataFrame:
         return session.read.schema(table.schema).parquet(place_of(table))
 
-    facts = aligned(within(known), *token_bytes(session, a_path, b_path), n)
+    facts = aligned(within(known), token_bytes(session, a_path, b_path), n)
     met = keyed(within(blocks).select("block", F.posexplode("runs").alias("at", "run")), n).join(facts, _KEY, "left")
-    columns = ["n_a", "n_b", "n_groups", "groups", "pairs", "times"]
+    columns = ["groups"]
     done = shared_table(_returned(_numbered(within(blocks)), n, stride, met.select("block", "at", *columns), columns, _linked, "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
     linked = docs.sparkSession.read.schema(done.schema).parquet(place_of(done))
     drop(blocks, known)
