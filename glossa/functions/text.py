@@ -238,6 +238,8 @@ def safe_number(value: Column | str, kind: str = "double") -> Column:
 
 
 def natural_key(text: Column | str, width: int = 12) -> Column:
-    """A sort key that orders digit runs by their numbers."""
+    """A sort key that orders digit runs by their numbers, whatever their length: longer ones than the width stand behind, by their number of digits."""
     parts = F.regexp_extract_all(F.lower(_col(text)), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    key = lambda n: F.when(F.length(n) <= width, F.lpad(n, width, "0")).otherwise(F.concat(F.lit("9" * width + ":"), F.lpad(F.length(n).cast("string"), 8, "0"), n))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), key(number(p))).otherwise(p)), "")

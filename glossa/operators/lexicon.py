@@ -40,12 +40,35 @@ def normalization_note(label: Column | str, symbol: Column | str, source: Column
     return F.when(sym.isNull(), "").when(gene_key(lab) != sym, F.concat(F.trim(lab), F.lit("->"), sym, F.lit(" ("), src, F.lit(")"))).otherwise(src)
 
 
+def shortened(word: Column | str, most: int) -> Column:
+    """A word and every string that comes of leaving out up to `most` of its letters, each once."""
+    w = F.col(word) if isinstance(word, str) else word
+    one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    every = last = F.array(w)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda x: x != ""), one)))
+        every = F.concat(every, last)
+    return F.array_distinct(every)
+
+
+def near_symbols(labels: DataFrame, symbols: DataFrame, farthest: int = 3) -> DataFrame:
+    """label, symbol, distance of all pairs at an edit distance of at most `farthest`.
+
+    Two words so near have a string in common that is left when each loses up to that many letters, so both sides
+    meet in an equi-join on such strings; the exact distance decides. A label much longer than every symbol meets none and is
+    left out first, which bounds the strings of a label by the longest symbol.
+    """
+    longest = symbols.agg(F.coalesce(F.max(F.length("symbol")), F.lit(0))).first()[0]
+    a = labels.select("label").distinct().where(F.length("label") <= longest + farthest).select("label", F.explode(shortened("label", farthest)).alias("_k"))
+    b = symbols.select("symbol").distinct().select("symbol", F.explode(shortened("symbol", farthest)).alias("_k"))
+    met = a.join(b, "_k").where(F.abs(F.length("label") - F.length("symbol")) <= farthest).select("label", "symbol").distinct()
+    return met.withColumn("distance", F.levenshtein("label", "symbol")).where(F.col("distance") <= farthest)
+
+
 def suggestions(labels: DataFrame, lexicon: DataFrame, label: str = "label", n: int = 3, farthest: int = 3) -> DataFrame:
-    """The n nearest symbols of the same first letter and a length that differs by at most farthest."""
-    a = labels.select(gene_key(label).alias("label")).where("label <> ''").distinct().withColumn("_first", F.substring("label", 1, 1))
-    b = lexicon.select(F.upper("symbol").alias("symbol")).distinct().withColumn("_first", F.substring("symbol", 1, 1))
-    near = a.withColumn("_length", F.explode(F.sequence(F.length("label") - farthest, F.length("label") + farthest)))
-    near = near.join(b.withColumn("_length", F.length("symbol")), ["_first", "_length"]).withColumn("distance", F.levenshtein("label", "symbol")).where(F.col("distance") <= farthest)
+    """The n symbols that are nearest to each label, whatever letter they begin with, nearest first and then by name; of one at least a letter has to stay."""
+    near = near_symbols(labels.select(gene_key(label).alias("label")).where("label <> ''"), lexicon.select(F.upper("symbol").alias("symbol")), farthest)
+    near = near.where(F.col("distance") < F.greatest(F.length("label"), F.length("symbol")))
     w = Window.partitionBy("label").orderBy("distance", "symbol")
     top = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
     return top.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "symbol"))), lambda x: x["symbol"]), "; ").alias("suggestions"))

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import runs
 from .registry import Registry
-from .sources import landed, published, supplements
+from .sources import landed, manifests, markup, published, supplements
 from .tables import base, shared_folder
 
 R = Registry()
@@ -108,4 +109,57 @@ def supplements_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("paper", F.regexp_extract("file", r"\.(\w+)$", 1).alias("kind"), "member", "row", F.array_join("cells", "|").alias("cells"), "reason")
 
 
+_HOURLY = """SELECT CAST(epoch(date_trunc('hour', ts)) // 3600 AS BIGINT) AS h, date_trunc('hour', ts) AS started, count(*) AS n, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS ok, count(*) FILTER (event_type = 'error' AND user_id % 7 <> 0) AS bad,
+  count(*) FILTER (event_type = 'error' AND user_id % 11 = 0) AS quota, count(*) FILTER (event_type = 'error' AND user_id % 7 = 0) AS late, count(*) FILTER (event_type = 'click') AS calls, count(*) FILTER (event_type = 'purchase') AS outputs, CAST(max(user_id) % 100 AS DOUBLE) / 4 AS runtime FROM events GROUP BY ALL"""
+
+
+@R.query(f"""WITH m AS (SELECT * FROM ({_HOURLY}) WHERE h % 10 <> 3 AND h % 7 <> 5),
+b AS (SELECT *, CASE WHEN h % 3 = 1 THEN 0 ELSE quota END AS q, CASE WHEN h % 3 = 2 THEN 0 ELSE late END AS l, n > 0 AND ok = n AS good FROM m)
+SELECT 'run' || CAST(h AS VARCHAR) AS run_id, CASE WHEN hour(started) < 6 THEN 'night' WHEN hour(started) < 12 THEN 'morning' WHEN hour(started) < 18 THEN 'afternoon' ELSE 'evening' END AS time_block, runtime AS runtime_seconds, ok AS completed_papers, n AS total_papers, bad AS failed_papers, calls AS api_calls,
+  CASE WHEN good AND q > 0 THEN 'complete_with_quota_limit' WHEN good AND l > 0 THEN 'complete_with_timeout' WHEN good THEN 'complete_clean' WHEN q > 0 THEN 'quota_limited' WHEN l > 0 THEN 'timeout' WHEN calls = 0 AND outputs = 0 THEN 'upstream_metadata_or_fulltext_failure' WHEN h % 2 = 1 THEN 'runner_error' ELSE 'partial_or_unclassified_failure' END AS failure_class FROM b""")
+def manifests_analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of three shapes as VARIANT values: renamed, retyped and missing fields; pilots and another corpus's runs are left out."""
+    where = shared_folder(spark, "manifests")
+    kind, user = F.col("event_type"), F.col("user_id")
+    error = kind == "error"
+    status = F.when(error & (user % 7 == 0), "timeout").when(error, "failed").when(kind == "signup", "no_full_text").otherwise("ok")
+    e = base(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("started")).agg(
+        F.collect_list(F.struct(F.col("event_id").cast("string").alias("pmid"), status.alias("status"))).alias("papers"), F.count_if(error & (user % 11 == 0)).alias("quota"), F.count_if(error & (user % 7 == 0)).alias("late"),
+        F.count_if(kind == "click").alias("calls"), F.count_if(kind == "purchase").alias("outputs"), (F.max("user_id") % 100 / 4).alias("runtime"), F.count("*").alias("n"), F.count_if(status == "ok").alias("ok"), F.count_if(status == "failed").alias("bad"),
+    )
+    h = F.expr("unix_seconds(cast(started as timestamp)) div 3600")
+    run, at, text = F.concat(F.lit("run"), h.cast("string")), F.date_format("started", "yyyy-MM-dd HH:mm:ss"), lambda c: F.col(c).cast("string")
+    code, pilot, corpus = (h % 2).cast("int"), h % 10 == 3, F.when(h % 7 == 5, "other").otherwise("c1")
+    # The current shape; an older one with other names and text for numbers; and one with counters at the top, without papers.
+    shapes = [
+        F.to_json(F.struct(run.alias("run_id"), at.alias("started_at"), corpus.alias("corpus_fingerprint"), pilot.alias("pilot"), F.col("runtime").alias("runtime_seconds"), code.alias("return_code"), F.struct(F.col("quota").alias("quota_limited_rows"), F.col("late").alias("timeout_count"), F.col("calls").alias("gemini_api_calls"), F.col("outputs").alias("output_rows")).alias("batch"), F.col("papers").alias("per_paper"))),
+        F.to_json(F.struct(run.alias("run"), at.alias("start"), corpus.alias("fingerprint"), pilot.alias("is_pilot"), text("runtime").alias("runtime"), code.cast("string").alias("returnCode"), F.struct(text("ok").alias("completed"), text("n").alias("total"), text("bad").alias("failed"), text("late").alias("timeouts"), text("calls").alias("api_calls"), F.col("outputs").alias("rows")).alias("stats"))),
+        F.to_json(F.struct(run.alias("id"), F.struct(at.alias("started_at")).alias("schedule"), F.struct(corpus.alias("fingerprint")).alias("corpus"), pilot.cast("string").alias("pilot"), F.col("runtime").alias("duration_seconds"), code.alias("exit_code"), F.col("ok").alias("completed_papers"), F.col("n").alias("total_papers"), F.col("bad").alias("failed_papers"), F.col("quota").alias("quota_limited_rows"), F.col("calls").alias("gemini_api_calls"), text("outputs").alias("output_rows"))),
+    ]
+    body = F.when(h % 3 == 0, shapes[0]).when(h % 3 == 1, shapes[1]).otherwise(shapes[2])
+    published.publish(e.select(F.concat(run, F.lit(".json")).alias("name"), body.cast("binary").alias("content")), where, "files")
+    m = manifests.manifests(manifests.read_variants(spark, where), "c1").withColumn("time_block", runs.time_block("started"))
+    return runs.batch_rows(m).select("run_id", "time_block", "runtime_seconds", "completed_papers", "total_papers", "failed_papers", F.col("gemini_api_calls").alias("api_calls"), "failure_class")
+
+
+_FIGURES = "SELECT doc_id // 12 AS pmid, doc_id % 2 AS parser, doc_id % 12 // 2 AS part, doc_id, CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'Fig ' || CAST(doc_id AS VARCHAR) END AS label, CASE WHEN doc_id % 3 = 0 THEN lang ELSE ' ' END AS caption FROM documents"
+
+
+@R.query(f"""WITH RECURSIVE f AS ({_FIGURES}), u AS (SELECT pmid, doc_id, parser, part, doc_id AS url, 0 AS k FROM f WHERE doc_id % 7 <> 6 UNION ALL SELECT pmid, doc_id, parser, part, doc_id + 3, 1 FROM f WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 6),
+e AS (SELECT DISTINCT a.pmid, a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.pmid = b.pmid AND a.url = b.url),
+r AS (SELECT pmid, x, y FROM e UNION SELECT r.pmid, r.x, e.y FROM r JOIN e ON r.pmid = e.pmid AND r.y = e.x),
+g AS (SELECT r.pmid, r.x AS doc_id, arg_min(r.y, (parser, part)) AS lead FROM r JOIN f ON f.pmid = r.pmid AND f.doc_id = r.y GROUP BY ALL),
+o AS (SELECT f.*, coalesce(lead, f.doc_id) AS lead FROM f LEFT JOIN g USING (pmid, doc_id)),
+a AS (SELECT pmid, lead, url, min((parser, part, k)) AS seen FROM u JOIN o USING (pmid, doc_id) GROUP BY ALL)
+SELECT o.pmid, coalesce(arg_min(label, (parser, part)) FILTER (trim(label) <> ''), '') AS label, coalesce(arg_min(caption, (parser, part)) FILTER (trim(caption) <> ''), '') AS caption, CAST(count(*) AS BIGINT) AS n_figures,
+  coalesce((SELECT string_agg(CAST(url AS VARCHAR), ',' ORDER BY seen) FROM a WHERE a.pmid = o.pmid AND a.lead = o.lead), '') AS urls FROM o GROUP BY o.pmid, o.lead""".replace("f.*, coalesce(lead", "f.pmid, f.doc_id, f.parser, f.part, label, caption, coalesce(lead").replace("JOIN o USING (pmid, doc_id) GROUP", "JOIN (SELECT pmid, doc_id, lead FROM o) USING (pmid, doc_id) GROUP"))
+def figures_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of two parsers that share addresses, in chains of any length."""
+    d = F.col("doc_id")
+    urls = F.when(d % 7 == 6, F.array().cast("array<string>")).when(d % 5 == 0, F.array(d.cast("string"))).otherwise(F.array(d.cast("string"), (d + 3).cast("string")))
+    f = base(spark, sf_dir, "documents").select(F.expr("doc_id div 12").alias("pmid"), (d % 2).cast("int").alias("parser"), F.expr("cast(doc_id % 12 div 2 as int)").alias("part"), F.when(d % 4 == 1, "").otherwise(F.concat(F.lit("Fig "), d.cast("string"))).alias("label"), F.when(d % 3 == 0, F.col("lang")).otherwise(" ").alias("caption"), urls.alias("urls"))
+    merged = markup.merge_figures(f, counted=True)
+    return merged.select("pmid", "label", "caption", "n_figures", F.array_join("urls", ",").alias("urls"))
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from .functions import scoring, text
-from .operators import candidates, citations, evidence, lexicon, metadata, screening
+from .operators import candidates, citations, evidence, lexicon, metadata, screening, termsearch
 from .registry import Registry
 from .sources import markup, records
 from .tables import base, shared_folder, sql_with, table
@@ -353,6 +353,15 @@ def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("pmid", "gene", "grounding_match", "grounding_snippet", "grounding_source")
 
 
+@R.query(R.sql["evidence_snippets"])
+def evidence_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of a paper found by one automaton in one pass over its text; the same rows as evidence_snippets."""
+    p = table(spark, sf_dir, "papers")
+    found = lexicon.scan(p, _lexicon(spark, sf_dir), text_column="abstract")
+    c = found.select("pmid", "gene", F.lit("").alias("variant"), F.array("gene").alias("terms"))
+    return termsearch.ground_in_one_pass(c, p.select("pmid", F.col("abstract").alias("text"))).select("pmid", "gene", "grounding_match", "grounding_snippet", "grounding_source")
+
+
 @R.query()
 def context_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a lexicon candidate stands in biological context."""
@@ -418,4 +427,18 @@ def selected_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.auto_selected(_ranked(spark, sf_dir)).select("pmid", scoring.score_band(F.col("recommendation_score")).alias("band"))
 
 
+_SYMBOLS = "SELECT DISTINCT upper(substr(p_name, 1, 2) || split_part(p_name, ' ', 2)) || CAST(p_size % 20 AS STRING) AS symbol, p_partkey FROM part"
+_MISSPELT = "CASE p_partkey % 5 WHEN 0 THEN substr(symbol, 2) WHEN 1 THEN substr(symbol, 1, 2) || 'X' || substr(symbol, 4) WHEN 2 THEN symbol || 'AB' WHEN 3 THEN 'Q' || substr(symbol, 2) ELSE reverse(symbol) END"
+
+
+@R.query(f"""WITH s AS ({_SYMBOLS}), l AS (SELECT DISTINCT {_MISSPELT} AS label FROM s), d AS (SELECT label, symbol, levenshtein(label, symbol) AS distance FROM l JOIN (SELECT DISTINCT symbol FROM s) ON true),
+t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, symbol) AS nth FROM d WHERE distance <= 3 AND distance < greatest(length(label), length(symbol)))
+SELECT label, string_agg(symbol, '; ' ORDER BY nth) AS suggestions FROM t WHERE nth <= 3 GROUP BY label""")
+def gene_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest symbols of misspelt labels, also where the first letter is wrong."""
+    s = spark.sql(_SYMBOLS.replace("FROM part", "FROM {part}"), part=base(spark, sf_dir, "part"))
+    labels = s.select(F.expr(_MISSPELT).alias("label"))
+    return lexicon.suggestions(labels, s)
+
+
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import candidates, gates, metadata, output, results_view, screening
+from .operators import candidates, counters, gates, metadata, output, results_view, screening
 from .registry import Registry
-from .tables import base, sql_with, table
+from .tables import base, shared_folder, sql_with, table
 
 R = Registry()
 
@@ -76,6 +76,16 @@ def gate_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.all_gates(_gated(spark, sf_dir), ["Finding"])[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@R.query(_WITH_GATES + """, k AS (SELECT *, error <> '' AS quota FROM g)
+SELECT unnest(['rows', 'papers', 'genes', 'quota_rows', 'quota_papers', 'kept', 'ungrounded_citation', 'low_validation_confidence', 'insufficient_user_evidence']) AS counter, unnest([count(*), count(DISTINCT pmid), count(DISTINCT CASE WHEN trim(gene) <> '' THEN pmid || '|' || upper(trim(gene)) END), count(*) FILTER (quota), count(DISTINCT CASE WHEN quota THEN pmid END), count(*) FILTER (reason = 'kept'),
+  count(*) FILTER (reason = 'ungrounded_citation'), count(*) FILTER (reason = 'low_validation_confidence'), count(*) FILTER (reason = 'insufficient_user_evidence')]) AS n FROM k""")
+def gates_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's counters, observed while its rows are written."""
+    rows = counters.judged(_gated(spark, sf_dir), ["Finding"])
+    told = counters.write_counted(rows, shared_folder(spark, "judged"), ("ungrounded_citation", "low_validation_confidence", "insufficient_user_evidence"), quota=F.col("error") != "")
+    return spark.createDataFrame([*told.items()], "counter string, n long")
+
+
 _CONFIDENCE = """, c AS (SELECT *, CASE WHEN trim(gene) = '' THEN 'REVIEW' WHEN extraction_mode = 'skeleton' THEN 'REVIEW' WHEN source = 'llm_figure' THEN 'REVIEW' WHEN NOT quote_valid THEN 'REVIEW' WHEN validation_confidence < 0.85 THEN 'LOW'
   WHEN gene_source = 'both' AND quote_valid THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
   CASE WHEN trim(gene) = '' THEN 'No genes extracted' WHEN extraction_mode = 'skeleton' THEN 'LLM failed; no content' || CASE WHEN error <> '' THEN ' (' || error || ')' ELSE '' END

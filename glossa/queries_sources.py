@@ -235,10 +235,10 @@ def sections_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '1234-567X' END AS issn, 'A ' || lang || ' title' AS plain, CAST(length(text) AS INT) AS length, left(text, CASE WHEN length(text) > 200 THEN 80 ELSE length(text) END) AS head, CASE WHEN length(text) > 200 THEN right(text, 80) END AS tail,
-  lang || '|x' AS listed, CASE doc_id % 4 WHEN 0 THEN 'Strong' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Weak' ELSE 'Needs review' END AS shown, CASE WHEN doc_id % 2 = 0 THEN 'plan ' || lang ELSE source END AS label FROM documents WHERE text IS NOT NULL""")
+  lang || '|x' AS listed, CASE doc_id % 4 WHEN 0 THEN 'Strong' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Weak' ELSE 'Needs review' END AS shown, CASE WHEN doc_id % 2 = 0 THEN 'plan ' || lang ELSE source END AS label FROM documents""")
 def values_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ISSNs, tags, long values, lists, display names and labels."""
-    d, k = base(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("doc_id")
+    d, k = base(spark, sf_dir, "documents"), F.col("doc_id")
     short = text.summarize("text")
     return d.select(
         "doc_id", text.format_issn(F.when(k % 3 == 0, "12-34").otherwise(" 1234 567x ")).alias("issn"), text.strip_tags(_said("<i>A</i> <b>", F.col("lang"), "</b>\n title ")).alias("plain"),

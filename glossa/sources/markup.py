@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, strip_tags
+from ..operators.components import components
 
 TABLE_CAP = 20
 IMAGE_TYPES = ("jpg", "jpeg", "png", "gif", "tif", "tiff", "webp")
@@ -128,14 +129,17 @@ def article_tables(parts: DataFrame) -> DataFrame:
     return rows.groupBy("pmid").agg(F.transform(F.array_sort(F.collect_list(t)), lambda x: F.struct(x["label"].alias("label"), x["table_id"].alias("table_id"), x["rows"].alias("rows"))).alias("tables"))
 
 
-def merge_figures(figures: DataFrame) -> DataFrame:
-    """Figures of two parsers (pmid, parser, part, label, caption, urls) that share an address are one; first non-empty fields win, addresses are joined in order."""
-    f = figures.withColumn("_id", F.struct("parser", "part"))
-    keys = f.select("pmid", "_id", F.explode("urls").alias("_u"))
-    least = keys.groupBy("pmid", "_u").agg(F.min("_id").alias("_m"))
-    group = keys.join(least, ["pmid", "_u"]).groupBy("pmid", "_id").agg(F.min("_m").alias("_g"))
+def merge_figures(figures: DataFrame, counted: bool = False) -> DataFrame:
+    """Figures of two parsers (pmid, parser, part, label, caption, urls) that share an address, directly or over others, are one; first non-empty fields win, addresses are joined in order. Figures without address stay as they are. If asked, n_figures says how many became one."""
+    f = figures.withColumn("_id", F.struct("pmid", "parser", "part"))
+    keys = f.select("_id", F.explode("urls").alias("_u"))
+    # One pair for each figure and address: the address's first figure stands for it.
+    least = keys.groupBy(F.col("_id.pmid").alias("_p"), "_u").agg(F.min("_id").alias("_m"))
+    pairs = keys.withColumn("_p", F.col("_id.pmid")).join(least, ["_p", "_u"]).select(F.col("_id").alias("a"), F.col("_m").alias("b"))
+    group = components(pairs).select(F.col("node").alias("_id"), F.col("component").alias("_g"))
     first = lambda c: F.coalesce(F.min_by(c, F.when(F.trim(c) != "", F.col("_id"))), F.lit(""))
-    return f.join(group, ["pmid", "_id"]).groupBy("pmid", "_g").agg(first("label").alias("label"), first("caption").alias("caption"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_id", "urls"))), lambda x: x["urls"]))).alias("urls")).drop("_g")
+    whole = f.join(group, "_id", "left").withColumn("_g", F.coalesce("_g", "_id"))
+    return whole.groupBy("pmid", "_g").agg(first("label").alias("label"), first("caption").alias("caption"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_id", "urls"))), lambda x: x["urls"]))).alias("urls"), *([F.count("*").alias("n_figures")] if counted else [])).drop("_g")
 
 
 def html_text(html: Column | str) -> Column:
