@@ -12,9 +12,9 @@ posexplode, byte ends by a windowed running sum, cuts where both sides meet on r
 group numbers by a running count of cuts. Aligning every document's own tokens this way would
 move each token of the corpus through several shuffles for the same rows.
 
-Documents are kept in blocks of bounded size, as numbers of the block's runs. Runs meet
-their alignment in a join on the run, a row for each block and run, and come back to the
-block, which brings both sides of each group together for its links; a block sends each pair of ids with the number of its documents that link it, these
+Documents are kept in blocks of bounded size, as numbers of the block's runs. The groups of the
+runs that most blocks have are told to every task; other runs meet theirs in a join on the
+run, a row for each block and run, and come back to the block, which brings both sides of each group together for its links; a block sends each pair of ids with the number of its documents that link it, these
 are summed, and come back in the same way. So a run or pair of any frequency is one row a
 block, and a join splits the blocks of a frequent one over tasks.
 
@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,7 +164,9 @@ class _Tokenizers:
         return [(x, y) if b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) else None for x, y, r in zip(a, b, raw, strict=True)]
 
 
-_ENCODED = pa.schema([("run", pa.string()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+#: Runs of most blocks that every task gets, and the bytes that one of them has at most: some 10 MB in all.
+HOT_RUNS, HOT_BYTES = 1 << 16, 64
+_ENCODED = pa.schema([("run", pa.string()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
 def _model(path: str) -> bytes:
@@ -179,7 +182,7 @@ def token_bytes(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
 
 
 def encoded_runs(runs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Runs (run) with both tokenizers' ids; those that a tokenizer does not give back are left out."""
+    """Runs (run, n) with both tokenizers' ids; those that a tokenizer does not give back are left out."""
     spark = runs.sparkSession
     model, definition = spark.sparkContext.broadcast(_model(b_path)), broadcast_tokenizer(spark, a_path)
 
@@ -189,10 +192,10 @@ def encoded_runs(runs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for k in range(0, b.num_rows, 4096):
                 own = b.column("run").slice(k, 4096)
                 got = both.encode(own.to_pylist())
-                own = own.filter(pa.array([x is not None for x in got], pa.bool_()))
-                yield batch(_ENCODED, own, [x[0] for x in got if x], [x[1] for x in got if x])
+                good = pa.array([x is not None for x in got], pa.bool_())
+                yield batch(_ENCODED, own.filter(good), b.column("n").slice(k, 4096).filter(good), [x[0] for x in got if x], [x[1] for x in got if x])
 
-    return map_arrow(runs.select("run"), encoded, "run string, a array<int>, b array<int>")
+    return map_arrow(runs.select("run", "n"), encoded, "run string, n long, a array<int>, b array<int>")
 
 
 _KEY = ["h", "run"]
@@ -229,9 +232,10 @@ def aligned(runs: DataFrame, sizes: DataFrame, partitions: int) -> DataFrame:
 
 
 def _own_session(spark: SparkSession) -> SparkSession:
-    """A session whose joins take rows dealt out by a part of the join's keys as they are."""
+    """A session whose joins take rows dealt out by a part of the join's keys as they are, and which deletes a query's shuffle files at its end: what it gives is written."""
     own = spark.newSession()
     own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
         own.conf.set(key, spark.conf.get(key))
     return own
@@ -303,14 +307,14 @@ _SUMS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n
 _LINKED = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 
 
-def _linked(payload: bytes, answers: pa.Table) -> pa.RecordBatch:
+def _linked(payload: bytes, answers: pa.Table, hot: list[str]) -> pa.RecordBatch:
     """A block's documents with what their runs say, and the pairs that they link."""
     block = int.from_bytes(payload[:8], "big")
     ids, counts, order = unframe(payload[8:])
     counts, order = _from_int(counts), _from_int(order)
     n_docs, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
     # A run that a tokenizer does not give back has come back without groups.
-    column = answers.column("groups").combine_chunks()
+    column = pc.coalesce(answers.column("groups"), pa.array(hot, pa.string()).take(answers.column("hot"))).combine_chunks()
     ok = ~column.is_null().to_numpy(zero_copy_only=False)
     groups = _Groups(column)
     good = counts > 0
@@ -381,20 +385,29 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     seen = blocks.agg(F.count("*").alias("n"), F.max(F.shiftright("block", 20)).alias("p")).first()
     n = max(1, min(PARTITIONS, seen["n"] * _PER_BLOCK))
     stride = -(-seen["n"] // ((seen["p"] or 0) + 1)) or 1
-    known = shared_table(encoded_runs(blocks.select(F.explode("runs").alias("run")).distinct(), a_path, b_path), "align-runs")
     session = _own_session(docs.sparkSession)
 
     def within(table: DataFrame) -> DataFrame:
         return session.read.schema(table.schema).parquet(place_of(table))
 
-    facts = aligned(within(known), token_bytes(session, a_path, b_path), n)
-    met = keyed(within(blocks).select("block", F.posexplode("runs").alias("at", "run")), n).join(facts, _KEY, "left")
-    columns = ["groups"]
-    done = shared_table(_returned(_numbered(within(blocks)), n, stride, met.select("block", "at", *columns), columns, _linked, "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
-    linked = docs.sparkSession.read.schema(done.schema).parquet(place_of(done))
-    drop(blocks, known)
+    met = within(blocks).select("block", F.posexplode("runs").alias("at", "run"))
+    seen_runs = met.groupBy("run").agg(F.count("*").alias("n"))
+    known = shared_table(encoded_runs(seen_runs, a_path, b_path), "align-runs")
+    facts = shared_table(aligned(known, token_bytes(session, a_path, b_path), n), "align-facts")
+    # The runs of most blocks are told to every task; all others meet their blocks in a join.
+    often = known.where((F.octet_length("run") <= HOT_BYTES) & (F.col("n") > 1)).select("run", "n").orderBy(F.desc("n"), "run").limit(HOT_RUNS)
+    hot = sorted((r["run"], r["groups"]) for r in facts.join(F.broadcast(often), "run").select("run", "groups").collect())
+    told_groups = session.sparkContext.broadcast([g for _, g in hot])
+    number = F.broadcast(session.createDataFrame(pa.table({"run": pa.array([r for r, _ in hot], pa.string()), "hot": pa.array(range(len(hot)), pa.int32())})))
+    marked = met.join(number, "run", "left")
+    rare = keyed(marked.where("hot IS NULL").select("block", "at", "run"), n).join(keyed(facts.drop("h"), n), _KEY, "left").select("block", "at", F.lit(None).cast("int").alias("hot"), "groups")
+    answers = marked.where("hot IS NOT NULL").select("block", "at", "hot", F.lit(None).cast("string").alias("groups")).unionByName(rare)
+    linked = shared_table(_returned(_numbered(within(blocks)), n, stride, answers, ["hot", "groups"], lambda p, t: _linked(p, t, told_groups.value), "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
+    drop(blocks, known, facts)
     counts = linked.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n"))
     a_id = F.shiftright("pair", _PAIR_BITS).cast("int")
-    scored = counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id)))
-    told = linked.select("block", F.posexplode("pairs").alias("at", "pair")).join(scored, "pair").select("block", "at", "n", "best")
-    return _returned(linked.select("block", "payload"), n, stride, told, ["n", "best"], _scored, _SQL)
+    scored = shared_table(counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id))), "align-pairs")
+    spark = docs.sparkSession
+    last, counted = (spark.read.schema(t.schema).parquet(place_of(t)) for t in (linked, scored))
+    told = last.select("block", F.posexplode("pairs").alias("at", "pair")).join(counted, "pair").select("block", "at", "n", "best")
+    return _returned(last.select("block", "payload"), n, stride, told, ["n", "best"], _scored, _SQL)
