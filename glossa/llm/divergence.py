@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import PARTITIONS, batch, drop, map_arrow, shards_for, shared_table
+from .common import PARTITIONS, batch, map_arrow, shared_table
 
 #: Documents of a language in which a kept term occurs, at least.
 LEAST_DOCS = 10
@@ -146,9 +146,8 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
         for piece in B.chunks(batches):
             yield _partials(piece)
 
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # Spark's estimate of the input's size is of its files; a task then gets the partials of some 32 MB of them.
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, min(PARTITIONS, shards_for(size, 32 << 20)))
+    # Two for each partition of the input, whose size Spark's reader bounds, so what one of them gets does not grow.
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, min(PARTITIONS, 2 * rows._jdf.queryExecution().toRdd().getNumPartitions()))
     found = map_arrow(rows, partials, "lang string, term string, source string, docs long, n long")
     order = ["lang", "term", "source"]
     dealt = found.repartition(n, "lang", "term").sortWithinPartitions(*order)
