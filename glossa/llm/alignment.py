@@ -165,7 +165,7 @@ class _Tokenizers:
 
 
 #: Runs of most blocks that every task gets, and the bytes that one of them has at most: some 10 MB in all.
-HOT_RUNS, HOT_BYTES = 1 << 16, 64
+HOT_RUNS, HOT_BYTES = 1 << 17, 32
 _ENCODED = pa.schema([("run", pa.string()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
@@ -243,9 +243,9 @@ def _own_session(spark: SparkSession) -> SparkSession:
 
 def _returned(blocks: DataFrame, n: int, stride: int, answers: DataFrame, columns: list[str], done: Callable[[bytes, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
     """Blocks (block, payload) with the rows of answers (block, at and columns) that come back to each, in order of at."""
-    empty = [F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in columns]
-    own = blocks.select("block", F.lit(_OWN).alias("at"), "payload", *empty)
-    rows = answers.select("block", "at", F.lit(None).cast("binary").alias("payload"), *columns)
+    more = [c for c in columns if c != "at"]
+    own = blocks.select("block", F.lit(_OWN).alias("at"), "payload", *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in more])
+    rows = answers.select("block", "at", F.lit(None).cast("binary").alias("payload"), *more)
     home = F.pmod(F.shiftright("block", 20) * stride + F.col("block").bitwiseAND((1 << 20) - 1), F.lit(n)).cast("int")
     both = own.unionByName(rows).repartitionById(n, home).sortWithinPartitions("block", "at")
 
@@ -307,16 +307,24 @@ _SUMS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n
 _LINKED = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
 
 
+_TOLD = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
+_UNTOLD = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("run", pa.string())])
+
+
 def _linked(payload: bytes, answers: pa.Table, hot: list[str]) -> pa.RecordBatch:
     """A block's documents with what their runs say, and the pairs that they link."""
-    block = int.from_bytes(payload[:8], "big")
-    ids, counts, order = unframe(payload[8:])
+    number, hot_at, payload = unframe(payload)
+    block, hot_at = int.from_bytes(number, "little"), _from_int(hot_at) - 1
+    ids, counts, order = unframe(payload)
     counts, order = _from_int(counts), _from_int(order)
-    n_docs, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
-    # A run that a tokenizer does not give back has come back without groups.
-    column = pc.coalesce(answers.column("groups"), pa.array(hot, pa.string()).take(answers.column("hot"))).combine_chunks()
+    # Groups of told runs, then those that have come back; a run that a tokenizer does not give back has come without.
+    back = np.full(len(hot_at), -1)
+    back[answers.column("at").to_numpy()] = np.arange(len(answers))
+    both = pa.concat_arrays([pa.array(hot, pa.string()), answers.column("groups").combine_chunks()])
+    column = both.take(pa.array(np.where(hot_at >= 0, hot_at, back + len(hot))))
     ok = ~column.is_null().to_numpy(zero_copy_only=False)
     groups = _Groups(column)
+    n_docs, doc = len(counts), np.repeat(np.arange(len(counts)), counts)
     good = counts > 0
     good[doc[~ok[order]]] = False
     own = good[doc]
@@ -374,9 +382,28 @@ def _scored(payload: bytes, answers: pa.Table) -> pa.RecordBatch:
     return batch(_SCHEMA, *own.columns[:5], n_best, count_sum, own.column("groups_sha256"))
 
 
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """Blocks whose number travels in the payload too."""
-    return blocks.select("block", F.concat(F.unhex(F.lpad(F.hex("block"), 16, "0")), "payload").alias("payload"))
+def _at_hot(runs: pa.Array, hot: pa.Array) -> np.ndarray:
+    """Each run's number among the told ones, or -1."""
+    return pc.index_in(runs, value_set=hot).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _known_here(batches: Iterator[pa.RecordBatch], hot: list[str]) -> Iterator[pa.RecordBatch]:
+    """Blocks whose payload says their number and which of their runs are told."""
+    told = pa.array(hot, pa.string())
+    for b in batches:
+        for block, payload, runs in zip(b.column("block").to_pylist(), b.column("payload"), b.column("runs"), strict=True):
+            yield batch(_TOLD, [block], [frames([block.to_bytes(8, "little"), _int(_at_hot(runs.values, told) + 1), payload.as_py()])])
+
+
+def _unknown_here(batches: Iterator[pa.RecordBatch], hot: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of a block that is not told."""
+    told = pa.array(hot, pa.string())
+    for b in batches:
+        for block, runs in zip(b.column("block").to_pylist(), b.column("runs"), strict=True):
+            at = np.flatnonzero(_at_hot(runs.values, told) < 0)
+            for k in range(0, len(at), 10_000):
+                own = at[k : k + 10_000]
+                yield batch(_UNTOLD, np.full(len(own), block), own, runs.values.take(pa.array(own)))
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -393,17 +420,16 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     met = within(blocks).select("block", F.posexplode("runs").alias("at", "run"))
     seen_runs = met.groupBy("run").agg(F.count("*").alias("n"))
     known = shared_table(encoded_runs(seen_runs, a_path, b_path), "align-runs")
-    facts = shared_table(aligned(known, token_bytes(session, a_path, b_path), n), "align-facts")
-    # The runs of most blocks are told to every task; all others meet their blocks in a join.
-    often = known.where((F.octet_length("run") <= HOT_BYTES) & (F.col("n") > 1)).select("run", "n").orderBy(F.desc("n"), "run").limit(HOT_RUNS)
-    hot = sorted((r["run"], r["groups"]) for r in facts.join(F.broadcast(often), "run").select("run", "groups").collect())
-    told_groups = session.sparkContext.broadcast([g for _, g in hot])
-    number = F.broadcast(session.createDataFrame(pa.table({"run": pa.array([r for r, _ in hot], pa.string()), "hot": pa.array(range(len(hot)), pa.int32())})))
-    marked = met.join(number, "run", "left")
-    rare = keyed(marked.where("hot IS NULL").select("block", "at", "run"), n).join(keyed(facts.drop("h"), n), _KEY, "left").select("block", "at", F.lit(None).cast("int").alias("hot"), "groups")
-    answers = marked.where("hot IS NOT NULL").select("block", "at", "hot", F.lit(None).cast("string").alias("groups")).unionByName(rare)
-    linked = shared_table(_returned(_numbered(within(blocks)), n, stride, answers, ["hot", "groups"], lambda p, t: _linked(p, t, told_groups.value), "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
-    drop(blocks, known, facts)
+    sizes = token_bytes(session, a_path, b_path)
+    # The runs of most blocks are told to every task; all others meet their blocks in a join, where they are aligned.
+    often = known.where((F.octet_length("run") <= HOT_BYTES) & (F.col("n") > 1)).orderBy(F.desc("n"), "run").limit(HOT_RUNS).select("run")
+    hot = sorted((r["run"], r["groups"]) for r in aligned(known.join(F.broadcast(often), "run"), sizes, n).select("run", "groups").collect())
+    told_runs, told_groups = (session.sparkContext.broadcast([x[k] for x in hot]) for k in (0, 1))
+    own = map_arrow(within(blocks), lambda it: _known_here(it, told_runs.value), "block long, payload binary")
+    rare = keyed(map_arrow(within(blocks).select("block", "runs"), lambda it: _unknown_here(it, told_runs.value), "block long, at int, run string"), n)
+    answers = rare.join(aligned(known.join(F.broadcast(often), "run", "left_anti"), sizes, n), _KEY, "left").select("block", "at", "groups")
+    linked = shared_table(_returned(own, n, stride, answers, ["at", "groups"], lambda p, t: _linked(p, t, told_groups.value), "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
+    drop(blocks, known)
     counts = linked.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n"))
     a_id = F.shiftright("pair", _PAIR_BITS).cast("int")
     scored = shared_table(counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id))), "align-pairs")
