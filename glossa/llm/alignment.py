@@ -12,11 +12,12 @@ posexplode, byte ends by a windowed running sum, cuts where both sides meet on r
 group numbers by a running count of cuts. Aligning every document's own tokens this way would
 move each token of the corpus through several shuffles for the same rows.
 
-Documents are kept in blocks of bounded size, as numbers of the block's runs. The groups of the
-runs that most blocks have are told to every task; other runs meet theirs in a join on the
-run, a row for each block and run, and come back to the block, which brings both sides of each group together for its links; a block sends each pair of ids with the number of its documents that link it, these
-are summed, and come back in the same way. So a run or pair of any frequency is one row a
-block, and a join splits the blocks of a frequent one over tasks.
+Documents are kept in blocks of bounded size, as numbers of the block's runs. The groups of
+the runs that most blocks have are told to every task; other runs meet theirs in a join on
+the run, a row for each block and run, and come back to the block, which brings both sides of
+each group together for its links. A block sends each pair of ids with the number of its
+documents that link it; these are summed, and come back in the same way. So a run or pair of
+any frequency is at most one row a block.
 
 Defined cases: null and empty texts, and texts that a tokenizer does not give back byte for
 byte, have no tokens: zeros, and '' for their groups; the strings of special tokens are
@@ -406,6 +407,20 @@ def _unknown_here(batches: Iterator[pa.RecordBatch], hot: list[str]) -> Iterator
                 yield batch(_UNTOLD, np.full(len(own), block), own, runs.values.take(pa.array(own)))
 
 
+def _of_most_blocks(known: DataFrame) -> DataFrame:
+    """The short runs (run) of most blocks, at most HOT_RUNS: those from a number of blocks on, by eighths of powers of two."""
+    level = F.floor(F.log2("n") * 8)
+    short = known.where((F.octet_length("run") <= HOT_BYTES) & (F.col("n") > 1)).withColumn("level", level)
+    total, least = 0, None
+    # A few hundred levels, whatever the number of runs.
+    for r in sorted(short.groupBy("level").agg(F.count("*").alias("runs")).collect(), reverse=True):
+        total += r["runs"]
+        if total > HOT_RUNS:
+            break
+        least = r["level"]
+    return short.where(F.lit(False) if least is None else F.col("level") >= least).select("run")
+
+
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     blocks = shared_table(map_arrow(documents(docs), _blocks, "block long, payload binary, runs array<string>"), "align-blocks")
@@ -422,7 +437,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     known = shared_table(encoded_runs(seen_runs, a_path, b_path), "align-runs")
     sizes = token_bytes(session, a_path, b_path)
     # The runs of most blocks are told to every task; all others meet their blocks in a join, where they are aligned.
-    often = known.where((F.octet_length("run") <= HOT_BYTES) & (F.col("n") > 1)).orderBy(F.desc("n"), "run").limit(HOT_RUNS).select("run")
+    often = _of_most_blocks(known)
     hot = sorted((r["run"], r["groups"]) for r in aligned(known.join(F.broadcast(often), "run"), sizes, n).select("run", "groups").collect())
     told_runs, told_groups = (session.sparkContext.broadcast([x[k] for x in hot]) for k in (0, 1))
     own = map_arrow(within(blocks), lambda it: _known_here(it, told_runs.value), "block long, payload binary")
