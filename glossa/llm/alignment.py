@@ -305,7 +305,7 @@ class _Groups:
 
 
 _SUMS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string())])
-_LINKED = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+_LINKED = pa.schema([("block", pa.int64()), ("payload", pa.binary()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32()))])
 
 
 _TOLD = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
@@ -363,7 +363,7 @@ def _linked(payload: bytes, answers: pa.Table, hot: list[str]) -> pa.RecordBatch
     with pa.ipc.new_stream(sink, _SUMS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd"))) as w:
         w.write_batch(table)
     out = frames([sink.getvalue().to_pybytes(), _int(per_doc), _int(pair), pack(weight.astype("<i8"))])
-    return batch(_LINKED, [block], [out], [names[some].tolist()], [np.bincount(pair, minlength=len(some)).tolist()])
+    return batch(_LINKED, [block], [out], [names[some]], [np.bincount(pair, minlength=len(some)).astype(np.int32)])
 
 
 _SCHEMA = pa.schema([*list(_SUMS)[:-1], ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())])
@@ -423,7 +423,7 @@ def _of_most_blocks(known: DataFrame) -> DataFrame:
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    blocks = shared_table(map_arrow(documents(docs), _blocks, "block long, payload binary, runs array<string>"), "align-blocks")
+    blocks = shared_table(map_arrow(documents(docs), _blocks, "block long, payload binary, runs array<string>"), "align-blocks", "zstd")
     seen = blocks.agg(F.count("*").alias("n"), F.max(F.shiftright("block", 20)).alias("p")).first()
     n = max(1, min(PARTITIONS, seen["n"] * _PER_BLOCK))
     stride = -(-seen["n"] // ((seen["p"] or 0) + 1)) or 1
@@ -434,7 +434,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     met = within(blocks).select("block", F.posexplode("runs").alias("at", "run"))
     seen_runs = met.groupBy("run").agg(F.count("*").alias("n"))
-    known = shared_table(encoded_runs(seen_runs, a_path, b_path), "align-runs")
+    known = shared_table(encoded_runs(seen_runs, a_path, b_path), "align-runs", "zstd")
     sizes = token_bytes(session, a_path, b_path)
     # The runs of most blocks are told to every task; all others meet their blocks in a join, where they are aligned.
     often = _of_most_blocks(known)
@@ -443,11 +443,11 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     own = map_arrow(within(blocks), lambda it: _known_here(it, told_runs.value), "block long, payload binary")
     rare = keyed(map_arrow(within(blocks).select("block", "runs"), lambda it: _unknown_here(it, told_runs.value), "block long, at int, run string"), n)
     answers = rare.join(aligned(known.join(F.broadcast(often), "run", "left_anti"), sizes, n), _KEY, "left").select("block", "at", "groups")
-    linked = shared_table(_returned(own, n, stride, answers, ["at", "groups"], lambda p, t: _linked(p, t, told_groups.value), "block long, payload binary, pairs array<long>, docs array<long>"), "align-links")
+    linked = shared_table(_returned(own, n, stride, answers, ["at", "groups"], lambda p, t: _linked(p, t, told_groups.value), "block long, payload binary, pairs array<long>, docs array<int>"), "align-links", "zstd")
     drop(blocks, known)
     counts = linked.select(F.explode(F.arrays_zip("pairs", "docs")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.docs").alias("n"))
     a_id = F.shiftright("pair", _PAIR_BITS).cast("int")
-    scored = shared_table(counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id))), "align-pairs")
+    scored = shared_table(counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(a_id))), "align-pairs", "zstd")
     spark = docs.sparkSession
     last, counted = (spark.read.schema(t.schema).parquet(place_of(t)) for t in (linked, scored))
     told = last.select("block", F.posexplode("pairs").alias("at", "pair")).join(counted, "pair").select("block", "at", "n", "best")

@@ -44,10 +44,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/glossa/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
+def shared_table(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Writes a DataFrame to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. compression: other than the session's."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
     return out
