@@ -43,7 +43,7 @@ from .common import PARTITIONS, batch, documents, drop, frames, map_arrow, pack,
 from .encoding import broadcast_tokenizer, tokenizer_json
 
 #: Bytes of text in a block; a longer single text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Partitions of runs and pairs for each block of text.
 _PER_BLOCK = 1
 #: The place of a block's own row, before what comes back to it.
@@ -165,8 +165,8 @@ class _Tokenizers:
         return [(x, y) if b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) else None for x, y, r in zip(a, b, raw, strict=True)]
 
 
-#: Runs of most blocks that every task gets, and the bytes that one of them has at most: some 10 MB in all.
-HOT_RUNS, HOT_BYTES = 1 << 17, 32
+#: Runs of most blocks that every task gets, and the bytes that one of them has at most: some 15 MB in all.
+HOT_RUNS, HOT_BYTES = 1 << 18, 32
 _ENCODED = pa.schema([("run", pa.string()), ("n", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
