@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import runs
 from .registry import Registry
@@ -66,7 +67,7 @@ def workbooks_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("paper").alias("book"), "sheet", "row", F.array_join("cells", "|").alias("cells"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _zipped(members: pd.Series) -> pd.Series:
     """Archives of members (name, body)."""
 

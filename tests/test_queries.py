@@ -4,6 +4,8 @@ import datetime
 import decimal
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -50,6 +52,11 @@ def test_entry(spark):
     assert df.columns == ["pmid", "score", "quality", "toxic"] and df.count() == 20
 
 
+def test_import_needs_no_session():
+    """The driver reads the names of all queries before it starts a session."""
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=os.path.dirname(entry.__file__), check=True, timeout=120)
+
+
 def test_registry(sf_dir):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert glob.glob(f"{sf_dir}/documents.parquet")
