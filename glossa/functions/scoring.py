@@ -32,6 +32,8 @@ class Signals:
     symbols: tuple[str, ...] = tuple(C.KNOWN_SYMBOLS)
     not_symbols: tuple[str, ...] = tuple(C.NOT_SYMBOLS)
     variants: tuple[str, ...] = tuple(C.VARIANT_SIGNS)
+    #: Whether only ASCII letters, digits and the underscore are parts of words, as in the queries' SQL; in the published form all letters are.
+    ascii_words: bool = False
 
 
 def _found(text: Column, terms) -> Column:
@@ -42,6 +44,15 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+#: The end of a word of ASCII letters, digits and underscores.
+_ASCII_BOUND = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def _ascii_bounds(pattern: str) -> str:
+    r"""A pattern whose \b knows ASCII words only; the engine's own \b takes other letters as parts of words, its \w does not."""
+    return re.sub(r"((?<!\\)(?:\\\\)*)\\b", lambda m: m[1] + _ASCII_BOUND, pattern)
+
+
 def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, distinct_variants: bool = True, name: str = "parts") -> DataFrame:
     """Adds the parts of an abstract's score: a struct of score, positive, negative, symbols, n_symbols, n_variants and context.
 
@@ -56,15 +67,16 @@ def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, disti
     p = p.withColumn("_low", F.lower("_raw"))
     raw, low = F.col("_raw"), F.col("_low")
     allowed = lambda x: ~x.isin(list(s.not_symbols))
+    bounded = _ascii_bounds if s.ascii_words else str
     if all(re.fullmatch("[A-Z][A-Z0-9]*", x) for x in s.symbols):
         # Both kinds of symbol are whole tokens of capitals and digits: one pass finds the tokens.
-        p = p.withColumn("_tokens", _all(raw, r"\b[A-Z][A-Z0-9]*\b"))
+        p = p.withColumn("_tokens", _all(raw, r"(?<!\w)[A-Z][A-Z0-9]*+(?!\w)" if s.ascii_words else r"\b[A-Z][A-Z0-9]*\b"))
         coded = F.filter("_tokens", lambda x: x.rlike(C.SYMBOL_PATTERN) & allowed(x))
         known = F.filter("_tokens", lambda x: x.isin(list(s.symbols)) & allowed(x))
     else:
         p = p.withColumn("_tokens", F.lit(None))
-        coded, known = F.filter(_all(raw, C.SYMBOL_PATTERN), allowed), F.filter(_all(raw, r"\b(?:" + "|".join(map(re.escape, s.symbols)) + r")\b"), allowed)
-    p = p.withColumns({"_symbols": F.concat(coded, known), "_variants": F.concat(*[_all(F.col("abstract"), v) for v in s.variants]), "_positive": _found(low, s.keywords), "_negative": _found(low, s.negatives), "_context": hits(low, list(s.context)) > 0, "_phrases": hits(low, list(s.phrases))})
+        coded, known = F.filter(_all(raw, bounded(C.SYMBOL_PATTERN)), allowed), F.filter(_all(raw, bounded(r"\b(?:" + "|".join(map(re.escape, s.symbols)) + r")\b")), allowed)
+    p = p.withColumns({"_symbols": F.concat(coded, known), "_variants": F.concat(*[_all(F.col("abstract"), bounded(v)) for v in s.variants]), "_positive": _found(low, s.keywords), "_negative": _found(low, s.negatives), "_context": hits(low, list(s.context)) > 0, "_phrases": hits(low, list(s.phrases))})
     weight = F.create_map(*[F.lit(x) for kv in s.keywords.items() for x in kv])
     p = p.withColumns({"_n": F.size(F.array_distinct("_symbols")), "_v": F.size(F.array_distinct("_variants") if distinct_variants else F.col("_variants")), "_w": F.aggregate("_positive", F.lit(0), lambda a, k: a + weight[k])})
     score = F.col("_w") - C.NEGATIVE_PENALTY * F.size("_negative") + 2 * F.col("_n") + 3 * F.col("_v") + F.col("_phrases")
