@@ -1,7 +1,7 @@
 """Jobs as a stream: a state machine that puts events in order, drops what comes behind the end of a job, and lets idle jobs expire.
 
 Events of a job may arrive in any order within the watermark's delay, across batches too. They wait in a
-list of the job's own until the watermark has passed them, and are then folded in order of time and number.
+list in the job's state until the watermark has passed them, and are then folded in order of time and number.
 A job is queued, then running with its first progress or log; a cancellation, a result or a process's exit
 ends it, and so does a time without events. What comes behind the end is left out, results of cancelled jobs
 among it. An ended job is remembered for a time, so that stragglers do not begin it anew, and then forgotten.
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,67 +34,57 @@ def _after(status: str, kind: str, ok: bool | None, code: int | None) -> str:
 class JobStates(StatefulProcessor):
     """Folds each job's events; yields every event that counts, with the job's status after it, and expirations.
 
-    State of a job: one row for its status, and the events that the watermark has not passed, which are no more
-    than its events within the delay.
+    State of a job: one value with its status, the time of its timer, and the events that the watermark has not
+    passed, which are no more than its events within the delay. Each call reads and writes that value once and sets
+    a timer at most: what a job costs is the number of times that its worker asks for state.
     """
 
     def __init__(self, key: str, idle_ms: int, keep_ms: int) -> None:
-        self.key, self.idle, self.keep = key, idle_ms, keep_ms
+        self.idle, self.keep = idle_ms, keep_ms
+        self.shown = Row(key, "seq", "at_ms", "kind", "status")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string, at_ms long")
-        self.waiting = handle.getListState("waiting", "at_ms long, seq long, kind string, ok boolean, code int")
+        self.job = handle.getValueState("job", "status string, at_ms long, wake_ms long, waiting array<struct<at_ms: long, seq: long, kind: string, ok: boolean, code: int>>")
 
-    def _wake_at(self, at: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(at)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = [(int(r.at_ms), int(r.seq), r.kind, None if pd.isna(r.ok) else bool(r.ok), None if pd.isna(r.code) else int(r.code)) for pdf in rows for r in pdf.itertuples(index=False)]
-        if self.status.exists() and self.status.get()[0] in ENDED:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(r.at_ms, r.seq, r.kind, r.ok, r.code) for r in rows]
+        status, last, wake, waiting = self.job.get() or ("queued", None, None, [])
+        if status in ENDED:
             return iter([])
-        self.waiting.appendList(came)
         first = min(x[0] for x in came)
-        planned = list(self.handle.listTimers())
-        if not planned or first < min(planned):
-            self._wake_at(first)
+        if wake is None or first < wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first)
+            wake = first
+        self.job.update((status, last, wake, [tuple(x) for x in waiting] + came))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        status, last = self.status.get() if self.status.exists() else ("queued", None)
+        status, last, _, waiting = self.job.get()
         if status in ENDED:
-            self.status.clear()  # remembered long enough
+            self.job.clear()  # remembered long enough
             return
-        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted(tuple(x) for x in waiting)
         due, rest = [x for x in waiting if x[0] <= now], [x for x in waiting if x[0] > now]
-        out = []
         for at, seq, kind, ok, code in due:
             if last is not None and at - last > self.idle:
                 break
             status, last = _after(status, kind, ok, code), at
-            out.append((key[0], seq, at, kind, status))
+            yield self.shown(key[0], seq, at, kind, status)
             if status in ENDED:
                 break
         if status not in ENDED and last is not None and last + self.idle <= now:
-            status = "expired"
-            out.append((key[0], None, last + self.idle, "idle", status))
-            last += self.idle
-        self.status.update((status, last))
-        if status in ENDED or not rest:
-            self.waiting.clear()  # an empty list cannot be put
-        else:
-            self.waiting.put(rest)
+            status, last = "expired", last + self.idle
+            yield self.shown(key[0], None, last, "idle", status)
         if status in ENDED:
-            self._wake_at(last + self.keep)
+            rest, wake = [], last + self.keep
         else:
-            self._wake_at(min([last + self.idle, *(x[0] for x in rest)]))
-        if out:
-            frame = pd.DataFrame(out, columns=[self.key, "seq", "at_ms", "kind", "status"])
-            frame["seq"] = frame["seq"].astype("Int64")
-            yield frame
+            wake = min([last + self.idle, *(x[0] for x in rest)])
+        self.job.update((status, last, wake, rest))
+        self.handle.registerTimer(wake)  # the timer that has just expired goes by itself
 
 
 def job_events(events: DataFrame, key: str, ts: str, delay: str, idle_ms: int, keep_ms: int = 30 * DAY_MS) -> DataFrame:
@@ -107,11 +96,11 @@ def job_events(events: DataFrame, key: str, ts: str, delay: str, idle_ms: int, k
     # The condition reads the time too: otherwise it would be moved below the watermark, which then would not see the other rows.
     named = F.when(F.col(ts).isNotNull(), F.col(key)).isNotNull()
     rows = events.withColumn("at_ms", F.unix_millis(ts)).withWatermark(ts, delay).where(named).select(key, ts, "at_ms", F.col("seq").cast("long").alias("seq"), "kind", "ok", F.col("code").cast("int").alias("code"))
-    return rows.groupBy(key).transformWithStateInPandas(JobStates(key, idle_ms, keep_ms), f"{key} {kind}, seq long, at_ms long, kind string, status string", "Append", "EventTime")
+    return rows.groupBy(key).transformWithState(JobStates(key, idle_ms, keep_ms), f"{key} {kind}, seq long, at_ms long, kind string, status string", "Append", "EventTime")
 
 
 def session_for_state(spark):
-    """A session of the same application whose streams may keep lists and timers for a key."""
+    """A session of the same application whose streams may keep state and timers for a key."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 
 from glossa.streaming import jobs
 
@@ -78,3 +79,43 @@ def test_slots(spark, tmp_path):
     got = {r["slot_id"]: (r["started_at"], r["outcome"]) for r in jobs.first_starts(spark.read.parquet(f"{tmp_path}/out").where("slot_id > 0")).collect()}
     # 3 started after its hour, 4 before its plan: neither start counts.
     assert got == {1: (at(0.05), "started"), 2: (at(1.5), "late"), 3: (None, "skipped"), 4: (None, "skipped"), 5: (None, "skipped")}
+
+
+def test_a_call_reads_and_writes_a_jobs_state_once():
+    """Every request goes over a socket; their number a job decides how long a large stream takes."""
+    asked, held, timers = [], {}, set()
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            asked.append("get")
+            return held.get("job")
+
+        def update(self, value):
+            asked.append("update")
+            held["job"] = value
+
+        def registerTimer(self, t):
+            asked.append("register")
+            timers.add(t)
+
+        def deleteTimer(self, t):
+            asked.append("delete")
+            timers.discard(t)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 50
+
+    row = Row("at_ms", "seq", "kind", "ok", "code")
+    states = jobs.JobStates("job_id", 1000, 1000)
+    states.init(Handle())
+    list(states.handleInputRows((1,), iter([row(40, 2, "log", None, None), row(90, 3, "result", True, None)]), Now()))
+    list(states.handleInputRows((1,), iter([row(30, 1, "progress", None, None)]), Now()))
+    assert asked == ["get", "register", "update", "get", "delete", "register", "update"] and timers == {30}
+    asked.clear()
+    shown = [tuple(r) for r in states.handleExpiredTimer((1,), Now(), None)]
+    assert shown == [(1, 1, 30, "progress", "running"), (1, 2, 40, "log", "running")]
+    assert asked == ["get", "update", "register"] and timers == {30, 90}
