@@ -110,3 +110,11 @@ def test_html_and_supplements(spark):
 @pytest.mark.parametrize("href, n", [("http://a/b", 1), ("f.png", 2), ("f", 14)])
 def test_image_urls(href, n):
     assert len(markup.image_urls(href, "http://x")) == n
+
+
+def test_a_worker_hands_parts_on_in_pieces():
+    """What a worker holds does not grow with its batch of articles; nothing is lost between pieces."""
+    xml = "<article><body>" + "<p>" + "x" * 999 + "</p>" + "<p>y</p>" * 2 + "</body></article>"
+    pieces = list(markup.parts_in_pieces([(str(k), xml, "") for k in range(100)] + [("bad", "<broken", ""), ("none", None, "")], 5000))
+    assert [(r["pmid"], r["part"]) for rows in pieces for r in rows] == [(str(k), part) for k in range(100) for part in range(3)]
+    assert max(sum(len(r["text"]) for r in rows) for rows in pieces) <= 5000 + 1001 and len(pieces) == 25
