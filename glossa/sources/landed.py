@@ -1,9 +1,9 @@
 """Landed literature replies as a data source: batches of ids planned as partitions, filters on ids pushed into the plan.
 
 A search or a metadata fetch asks for ids in batches, and each batch's reply is landed as one file of JSON
-lines, named for its first id. `spark.read.format("landed")` plans a partition for each batch that the pushed
-filters leave, and reads each reply by itself: a reply that cannot be read is one row with an error, and the
-others come out; more failures than are tolerated stop the query.
+lines, named for its first id. `spark.read.format("landed")` plans the batches that the pushed filters leave, each
+by itself while they are few and else in partitions of up to a few megabytes, and reads each reply by itself: a reply that cannot be read is one row with an error,
+and the others come out; more failures than are tolerated stop the query.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Ids that one call asks for.
 BATCH_IDS = 50
+#: Bytes of replies that one partition reads, what opening a reply counts for beside its own bytes, and the partitions up to which each has one batch.
+PARTITION_BYTES, OPEN_BYTES, FEW_PARTITIONS = 4 << 20, 4 << 10, 64
 SCHEMA = "pmid long, title string, abstract string, journal string, year int, batch long, error string"
 _NAME = re.compile(r"replies-(\d+)\.jsonl$")
 
@@ -31,8 +33,8 @@ def _files(path: str):
     return system, root
 
 
-class Batch(InputPartition):
-    """One reply, and which of its ids are asked for: it is read in another process than the one that planned it."""
+class Batch:
+    """One reply, and which of its ids are asked for."""
 
     def __init__(self, first: int, path: str, wanted: set[int] | None, least: int | None, most: int | None) -> None:
         self.first, self.path, self.wanted, self.least, self.most = first, path, wanted, least, most
@@ -41,6 +43,13 @@ class Batch(InputPartition):
         return (self.wanted is None or pmid in self.wanted) and (self.least is None or pmid >= self.least) and (self.most is None or pmid <= self.most)
 
 
+class Batches(InputPartition):
+    """Replies that one task reads, one after the other: in another process than the one that planned them."""
+
+    def __init__(self, batches: list[Batch]) -> None:
+        self.batches = batches
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
@@ -70,32 +79,45 @@ class _Reader(DataSourceReader):
     def _only(self, ids: set[int]) -> None:
         self.wanted = ids if self.wanted is None else self.wanted & ids
 
-    def partitions(self) -> list[Batch]:
+    def partitions(self) -> list[Batches]:
         from pyarrow import fs
 
         system, root = _files(self.path)
         firsts = {n // self.size * self.size for n in self.wanted} if self.wanted is not None else None
-        out = []
+        found = []
         for info in system.get_file_info(fs.FileSelector(root, recursive=True)):
             if (m := _NAME.search(info.path)) and (firsts is None or int(m[1]) in firsts):
                 first = int(m[1])
                 if (self.least is None or first + self.size > self.least) and (self.most is None or first <= self.most):
-                    out.append(Batch(first, info.path, self.wanted and {i for i in self.wanted if first <= i < first + self.size}, self.least, self.most))
-        return sorted(out, key=lambda b: b.first)
-
-    def read(self, partition: Batch) -> Iterator[tuple]:
+                    found.append((Batch(first, info.path, self.wanted and {i for i in self.wanted if first <= i < first + self.size}, self.least, self.most), info.size))
+        # A task costs more than a small reply: neighbours share one up to a size, so their number grows with the bytes only.
+        most = min(PARTITION_BYTES, sum(n + OPEN_BYTES for _, n in found) // FEW_PARTITIONS) if len(found) > FEW_PARTITIONS else 0
+        out, room = [], 0
+        for batch, n in sorted(found, key=lambda x: x[0].first):
+            if n + OPEN_BYTES > room:
+                out.append(Batches([]))
+                room = most
+            out[-1].batches.append(batch)
+            room -= n + OPEN_BYTES
+        return out
+
+    def read(self, partition: Batches) -> Iterator[tuple]:
         system, _ = _files(self.path)
+        for batch in partition.batches:
+            yield from self._replies(system, batch)
+
+    def _replies(self, system, batch: Batch) -> Iterator[tuple]:
         rows = []
         try:
-            with system.open_input_stream(partition.path) as f:
+            with system.open_input_stream(batch.path) as f:
                 for line in f.read().decode().splitlines():
                     r = json.loads(line)
-                    rows.append((int(r["pmid"]), r.get("title"), r.get("abstract"), r.get("journal"), r.get("year"), partition.first, None))
+                    rows.append((int(r["pmid"]), r.get("title"), r.get("abstract"), r.get("journal"), r.get("year"), batch.first, None))
         except (OSError, ValueError, KeyError, TypeError) as failure:
             # One call that failed costs its own ids only.
-            yield None, None, None, None, None, partition.first, f"{type(failure).__name__}: {failure}"[:200]
+            yield None, None, None, None, None, batch.first, f"{type(failure).__name__}: {failure}"[:200]
             return
-        yield from (r for r in rows if partition.has(r[0]))
+        yield from (r for r in rows if batch.has(r[0]))
 
 
 class LandedReplies(DataSource):

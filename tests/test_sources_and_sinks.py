@@ -38,6 +38,16 @@ def test_one_failed_batch_is_reported_and_two_are_an_error(spark, tmp_path):
         landed.failures(landed.fetched(spark, where)).collect()
 
 
+def test_many_small_replies_share_partitions(spark, tmp_path):
+    where = f"file://{tmp_path}/replies"
+    papers = spark.range(20_000).select(F.col("id").alias("pmid"), F.concat(F.lit("T"), "id").alias("title"))
+    landed.land(papers, where, cut=F.col("pmid") == 57)
+    df = landed.fetched(spark, where)
+    assert df.rdd.getNumPartitions() <= 2 * landed.FEW_PARTITIONS  # of 400 batches
+    assert tuple(df.agg(F.count("pmid"), F.count_distinct("pmid"), F.count("error"), F.count_distinct("batch")).first()) == (19_950, 19_950, 1, 400)
+    assert sorted(r["pmid"] for r in landed.fetched(spark, where).where("pmid >= 19990").collect()) == list(range(19990, 20000))
+
+
 def test_a_failing_task_leaves_nothing_behind(spark, tmp_path):
     where = f"file://{tmp_path}/logs"
     lines = spark.range(0, 100, 1, 4).select(F.concat(F.lit("line "), "id").alias("value"))
