@@ -1,3 +1,5 @@
+import re
+import time
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -83,3 +85,14 @@ def test_scores(spark):
     got = df.select(scoring.composite_score(F.col("c"), F.col("q")), scoring.genetics_signal(F.col("s")), scoring.tier(F.col("s")), scoring.recommendation(F.col("q"), F.col("c"))).collect()
     assert [tuple(r) for r in got] == [(43, 100, "high", 69), (12, 0, "none", 20), (74, 35, "medium", 100)]
     assert C.QUARTILE_SCORES["Q1"] == 100
+
+
+def test_sentences_of_odd_texts_and_of_a_long_line(spark):
+    """The same as the plain pattern's; a line without an end of sentence costs no more than its length."""
+    odd = ["", ".", "a", "a.b?!c\nd e\n\nf!", "no end\n", "\n\n", "..a..\n.b", "x\ny.", "a \n b", "end!\n"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.sentences("t").alias("s")).collect()
+    for r in rows:
+        assert r["s"] == [x for x in (" ".join(m.split()) for m in re.findall(r"[^.!?\n]+(?:[.!?]+|$)", r["t"])) if x]
+    start = time.monotonic()
+    long = spark.range(1).select(text.sentences(F.concat(F.repeat(F.lit("x"), F.lit(400_000)), F.lit("\nEnd."))).alias("s"))
+    assert long.first()["s"] == ["End."] and time.monotonic() - start < 20
