@@ -10,12 +10,15 @@ words to reach the ratio asked for.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import constants as C
 from ..functions.text import normalized, numbers, squeezed, word_count
@@ -99,6 +102,39 @@ def confidence(citation: Column | str, found: Column, ratio: Column) -> Column:
     return F.when(found, F.round(F.least(score, F.lit(1.0)), 3)).otherwise(0.0)
 
 
+def passages_within(bodies: DataFrame, passages: DataFrame) -> DataFrame:
+    """item_id and doc_id of all passages (item_id, quote) that stand in a body (doc_id, body), by one pass over each body.
+
+    The passages, which have to be few enough for one automaton, are sent to all tasks; nothing is shuffled.
+    """
+    schema = T.StructType([passages.schema["item_id"], bodies.schema["doc_id"]])
+    known: dict[str, list] = {}
+    for r in passages.collect():
+        known.setdefault(r["quote"], []).append(r["item_id"])
+    sent = bodies.sparkSession.sparkContext.broadcast(known)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        items, automaton = sent.value, ahocorasick.Automaton()
+        for quote in filter(None, items):
+            automaton.add_word(quote, quote)
+        automaton.make_automaton()
+        always = {""} & items.keys()
+        for b in batches:
+            found, at = [], []
+            for k, body in enumerate(b.column("body")):
+                if body.is_valid:
+                    hits = {q for _, q in automaton.iter(body.as_py())} if automaton.kind == ahocorasick.AHOCORASICK else set()
+                    ids = [i for q in hits | always for i in items[q]]
+                    found += ids
+                    at += [k] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(found, kind), b.column("doc_id").take(pa.array(at, pa.int64()))], names=["item_id", "doc_id"])
+
+    kind = to_arrow_type(schema["item_id"].dataType)
+    return bodies.select("doc_id", "body").mapInArrow(search, schema)
+
+
 def table_rows(tables: DataFrame, id_column: str = "pmid") -> DataFrame:
     """Index of table rows: id, table_no, label, row_index, row_text and numbers; tables has id and tables (label, table_id, rows)."""
     t = tables.select(id_column, F.posexplode("tables").alias("table_no", "t"))

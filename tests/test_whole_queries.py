@@ -57,3 +57,17 @@ def test_no_text_is_left_out(spark, sf_dir, name):
 def test_papers_without_a_search_rank_stand_on_pages(spark, sf_dir):
     got = queries.QUERIES["ranked_pages"](spark, sf_dir)
     assert got.where(F.col("pmid").cast("long") % 13 == 0).count() > 0
+
+
+def test_passages_are_found_in_one_pass_or_by_their_words(spark, tmp_path, monkeypatch):
+    texts = ["Alpha  beta\tgamma delta epsilon zeta", "beta–gamma mu g of it; xmu g \\alpha", "", None, "emu\ng and mu  g ⁄ ﬁne", "gamma delta epsilon zetas"]
+    items = ["beta gamma delta epsilon zeta", "gamma delta epsilon", "a", "", None, "μg of", "beta-gamma μg of it; xmu", "nowhere at all in any text", "a"]
+    sf = folder(spark, tmp_path, texts, items)
+    pairs = lambda df: sorted(tuple(r) for r in df.select("item_id", "doc_id").collect())
+    scanned = queries.QUERIES["citations_exact"](spark, sf)
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    want = [(0, 0), (1, 0), (1, 5), (2, 0), (2, 1), (2, 4), (2, 5), *[(3, d) for d in (0, 1, 2, 4, 5)], (5, 1), (6, 1), (8, 0), (8, 1), (8, 4), (8, 5)]
+    assert pairs(scanned) == want
+    monkeypatch.setattr(queries_literature, "CHARACTERS_AT_ONCE", 4)
+    assert pairs(queries.QUERIES["citations_exact"](spark, sf)) == want
