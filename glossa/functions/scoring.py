@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import hits
 
 
 def half_up(x: Column) -> Column:
@@ -36,8 +36,21 @@ class Signals:
     ascii_words: bool = False
 
 
-def _found(text: Column, terms) -> Column:
-    return F.filter(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+def _gates(terms, size: int = 3) -> dict[str, str]:
+    """For each term a few letters of it that as many terms as possible have: a text without them is not searched for any of these terms."""
+    parts = {t: sorted({t[k : k + size] for k in range(max(1, len(t) - size + 1))}) for t in terms}
+    out: dict[str, str] = {}
+    while left := [t for t in parts if t not in out]:
+        counts = Counter(g for t in left for g in parts[t])
+        best = max(sorted(counts), key=counts.get)
+        out |= {t: best for t in left if best in parts[t]}
+    return out
+
+
+def _found(text: Column, terms, gates: dict[str, str], opened: Column) -> Column:
+    """Which of the terms a text contains, in their order; opened tells by place which of the gates it contains."""
+    place = {g: k for k, g in enumerate(dict.fromkeys(gates.values()))}
+    return F.filter(F.array(*[F.when(F.get(opened, F.lit(place[gates[t]])) & F.contains(text, F.lit(t)), F.lit(t)) for t in terms]).cast("array<string>"), lambda x: x.isNotNull())
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -50,7 +63,16 @@ _ASCII_BOUND = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 def _ascii_bounds(pattern: str) -> str:
     r"""A pattern whose \b knows ASCII words only; the engine's own \b takes other letters as parts of words, its \w does not."""
-    return re.sub(r"((?<!\\)(?:\\\\)*)\\b", lambda m: m[1] + _ASCII_BOUND, pattern)
+    return re.sub(r"((?<!\\)(?:\\\\)*)\\b", lambda m: m[1] + _ASCII_BOUND, _bound_behind(pattern, r"(?<!\w{})"))
+
+
+def _bound_behind(pattern: str, behind: str = r"(?<=\b{})") -> str:
+    r"""A pattern that begins with \b and letters or a class of letters looks at the boundary behind these: few places get so far, and matches are the same."""
+    m = re.match(r"\\b([A-Za-z]|\[(?:[A-Z]-[A-Z]|[a-z]-[a-z]|[A-Za-z])+\])([A-Za-z]*)(?![?*+{A-Za-z])", pattern)
+    if not m or "|" in pattern:
+        return pattern
+    first = m[1] + m[2]
+    return first + behind.format(first) + pattern[m.end() :]
 
 
 def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, distinct_variants: bool = True, name: str = "parts") -> DataFrame:
@@ -67,16 +89,19 @@ def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, disti
     p = p.withColumn("_low", F.lower("_raw"))
     raw, low = F.col("_raw"), F.col("_low")
     allowed = lambda x: ~x.isin(list(s.not_symbols))
-    bounded = _ascii_bounds if s.ascii_words else str
+    bounded = _ascii_bounds if s.ascii_words else _bound_behind
     if all(re.fullmatch("[A-Z][A-Z0-9]*", x) for x in s.symbols):
         # Both kinds of symbol are whole tokens of capitals and digits: one pass finds the tokens.
-        p = p.withColumn("_tokens", _all(raw, r"(?<!\w)[A-Z][A-Z0-9]*+(?!\w)" if s.ascii_words else r"\b[A-Z][A-Z0-9]*\b"))
+        p = p.withColumn("_tokens", _all(raw, r"[A-Z](?<!\w[A-Z])[A-Z0-9]*+(?!\w)" if s.ascii_words else r"[A-Z](?<=\b[A-Z])[A-Z0-9]*\b"))
         coded = F.filter("_tokens", lambda x: x.rlike(C.SYMBOL_PATTERN) & allowed(x))
         known = F.filter("_tokens", lambda x: x.isin(list(s.symbols)) & allowed(x))
     else:
         p = p.withColumn("_tokens", F.lit(None))
         coded, known = F.filter(_all(raw, bounded(C.SYMBOL_PATTERN)), allowed), F.filter(_all(raw, bounded(r"\b(?:" + "|".join(map(re.escape, s.symbols)) + r")\b")), allowed)
-    p = p.withColumns({"_symbols": F.concat(coded, known), "_variants": F.concat(*[_all(F.col("abstract"), bounded(v)) for v in s.variants]), "_positive": _found(low, s.keywords), "_negative": _found(low, s.negatives), "_context": hits(low, list(s.context)) > 0, "_phrases": hits(low, list(s.phrases))})
+    gates = _gates([*s.keywords, *s.negatives, *s.context, *s.phrases])
+    p = p.withColumns({"_symbols": F.concat(coded, known), "_variants": F.concat(*[_all(F.col("abstract"), bounded(v)) for v in s.variants]), "_opened": F.array(*[F.contains(low, F.lit(g)) for g in dict.fromkeys(gates.values())])})
+    found = lambda terms: _found(low, terms, gates, F.col("_opened"))
+    p = p.withColumns({"_positive": found(s.keywords), "_negative": found(s.negatives), "_context": F.size(found(s.context)) > 0, "_phrases": F.size(found(s.phrases))})
     weight = F.create_map(*[F.lit(x) for kv in s.keywords.items() for x in kv])
     p = p.withColumns({"_n": F.size(F.array_distinct("_symbols")), "_v": F.size(F.array_distinct("_variants") if distinct_variants else F.col("_variants")), "_w": F.aggregate("_positive", F.lit(0), lambda a, k: a + weight[k])})
     score = F.col("_w") - C.NEGATIVE_PENALTY * F.size("_negative") + 2 * F.col("_n") + 3 * F.col("_v") + F.col("_phrases")
@@ -85,7 +110,7 @@ def with_abstract_parts(papers: DataFrame, signals: Signals | None = None, disti
         score.cast("int").alias("score"), F.col("_positive").alias("positive"), F.col("_negative").alias("negative"), F.slice("_symbols", 1, 10).alias("symbols"),
         F.col("_n").alias("n_symbols"), F.col("_v").alias("n_variants"), F.col("_context").alias("context"),
     )
-    used = ["_raw", "_low", "_tokens", "_symbols", "_variants", "_positive", "_negative", "_context", "_phrases", "_n", "_v", "_w"]
+    used = ["_raw", "_low", "_tokens", "_symbols", "_variants", "_opened", "_positive", "_negative", "_context", "_phrases", "_n", "_v", "_w"]
     return p.withColumn(name, F.when(F.length("abstract") >= C.SHORTEST_ABSTRACT, parts)).drop(*used)
 
 
