@@ -89,8 +89,15 @@ def snippet(text: Column, at: Column, size: Column, longest: int = C.SNIPPET_MAX
 def first_snippet(terms: Column | str, text: Column | str) -> Column:
     """The first term that the text has, and its snippet: (term, snippet), blank without one."""
     body = _text(text)
-    tried = F.flatten(F.transform(_terms(terms), lambda t: F.transform(_patterns(t), lambda p: F.struct(t.alias("term"), F.regexp_instr(body, p).alias("at"), F.length(F.coalesce(F.regexp_substr(body, p), F.lit(""))).alias("size")))))
-    first = F.get(F.filter(tried, lambda h: h["at"] > 0), F.lit(0))
+    hit = "struct<term:string,at:int,size:int>"
+
+    def place(t: Column, p: Column) -> Column:
+        at = lambda i: F.when(i > 0, F.struct(t.alias("term"), i.alias("at"), F.length(F.regexp_substr(F.substring(body, i, F.length(body)), p)).alias("size")).cast(hit))
+        return _let(F.regexp_instr(body, p), at)
+
+    # A term is searched for only if none before it stands in the text, and spread only if it does not stand there as it is.
+    one = lambda t: F.aggregate(_patterns(t), F.lit(None).cast(hit), lambda found, p: F.when(found.isNotNull(), found).otherwise(place(t, p)))
+    first = F.aggregate(_terms(terms), F.lit(None).cast(hit), lambda found, t: F.when(found.isNotNull(), found).otherwise(one(t)))
     return _let(first, lambda h: F.struct(F.coalesce(h["term"], F.lit("")).alias("term"), F.coalesce(snippet(body, h["at"], h["size"]), F.lit("")).alias("snippet")))
 
 
@@ -156,22 +163,28 @@ def statistical_sentence(terms: Column | str, text: Column | str) -> Column:
     return F.coalesce(F.get(F.array_compact(F.transform(_terms(terms), shortest)), F.lit(0)), F.lit(""))
 
 
-def ground(candidates: DataFrame, texts: DataFrame, id_column: str = "pmid") -> tuple[DataFrame, DataFrame]:
+def ground(candidates: DataFrame, texts: DataFrame, id_column: str = "pmid", hold: Callable[[DataFrame], DataFrame] = lambda x: x) -> tuple[DataFrame, DataFrame]:
     """Candidates (with terms) that their paper's text names, with match, source and snippet; and those that it does not.
 
     texts has id, text, and optionally original_text (before truncation) and
-    captions, in which candidates known from figures only are looked up.
+    captions, in which candidates known from figures only are looked up. hold may
+    write the rows that both results are taken from.
     """
     have = set(texts.columns)
     t = candidates.join(texts, id_column, "left")
     figure_only = F.forall("sources", lambda s: s == "llm_figure")
     first = F.when(figure_only, F.col("captions")).otherwise(F.col("text")) if "captions" in have else F.col("text")
-    t = t.withColumn("_a", first_snippet("terms", first))
-    again = F.col("original_text") if "original_text" in have else F.lit("")
-    t = t.withColumn("_b", first_snippet("terms", F.when((F.col("_a.term") == "") & ~figure_only, again)))
-    hit = F.when(F.col("_a.term") != "", F.col("_a")).otherwise(F.col("_b"))
-    source = F.when((F.col("_a.term") != "") & figure_only, "figure_caption").when(F.col("_a.term") != "", "paper_text").when(F.col("_b.term") != "", "original_text")
-    done = t.withColumns({"grounding_match": hit["term"], "grounding_snippet": hit["snippet"], "grounding_source": source}).drop("_a", "_b", *(have - {id_column}))
+
+    def found(a: Column) -> Column:
+        nothing = F.struct(F.lit("").alias("term"), F.lit("").alias("snippet"))
+        b = F.when((a["term"] == "") & ~figure_only, first_snippet("terms", F.col("original_text"))).otherwise(nothing) if "original_text" in have else nothing
+        source = lambda b: F.when((a["term"] != "") & figure_only, "figure_caption").when(a["term"] != "", "paper_text").when(b["term"] != "", "original_text")
+        return _let(b, lambda b: F.when(a["term"] != "", F.struct(a["term"].alias("term"), a["snippet"].alias("snippet"), source(b).alias("source"))).otherwise(F.struct(b["term"].alias("term"), b["snippet"].alias("snippet"), source(b).alias("source"))))
+
+    # Gathered in an array and taken out again, a row's finding is worked out once: filters and fields would each take the whole search along.
+    t = t.withColumn("_f", F.explode(F.array(_let(first_snippet("terms", first), found))))
+    done = t.withColumns({"grounding_match": F.col("_f.term"), "grounding_snippet": F.col("_f.snippet"), "grounding_source": F.col("_f.source")}).drop("_f", *(have - {id_column}))
+    done = hold(done)
     return done.where("grounding_source IS NOT NULL"), done.where("grounding_source IS NULL").withColumn("reason", F.lit("not_grounded_in_text"))
 
 

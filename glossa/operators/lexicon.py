@@ -80,8 +80,10 @@ def scan(texts: DataFrame, lexicon: DataFrame, id_column: str = "pmid", text_col
     Only tokens in capitals, with a digit or with a hyphen count, and no aliases.
     """
     tokens = F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(C.LEXICON_TOKEN), F.lit(0))
-    t = texts.select(id_column, F.posexplode(tokens).alias("position", "token"))
-    t = t.where((F.col("token") == F.upper("token")) | F.col("token").rlike(r"[0-9\-]"))
+    # Other tokens go before each becomes a row of its own.
+    counts = lambda x: (x == F.upper(x)) | x.rlike(r"[0-9\-]")
+    placed = F.filter(F.transform(tokens, lambda x, k: F.struct(k.alias("position"), x.alias("token"))), lambda x: counts(x["token"]))
+    t = texts.select(id_column, F.inline(placed))
     t = t.groupBy(id_column, F.upper("token").alias("token")).agg(F.min("position").alias("position"))
     symbols = lexicon.select(F.upper("symbol").alias("token")).distinct()
     hit = t.join(symbols, "token", "left_semi")
