@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text
 from ..operators import candidates, citations, evidence, gates, lexicon, metadata, output, screening
+from ..tables import written
 
 
 @dataclass
@@ -70,22 +71,23 @@ def validate(grounded: DataFrame, lex: DataFrame, texts: DataFrame) -> gates.Gat
     lone = (F.size("sources") == 1) & F.array_contains("sources", "deterministic_lexicon") & (F.col("variant") == "")
     c = c.join(texts.select("pmid", F.col("text").alias("_text")), "pmid", "left")
     c = c.withColumn("_c", F.when(lone, evidence.context_evidence("gene", "terms", "_text"))).withColumns({"context_supported": F.coalesce("_c.supported", F.lit(False)), "context_reason": F.coalesce("_c.reason", F.lit(""))}).drop("_c", "_text")
-    return gates.validation_gate(c)
+    return gates.validation_gate(written(c, "validated"))
 
 
 def run(i: Inputs, user_columns: list[str], top_n: int | None = None) -> Result:
     """The whole plan."""
     papers = metadata.fuse_citations(i.papers, i.primary_counts, i.secondary_counts)
     screened = screening.screen(papers)
+    # Rows that more than one branch reads are written: each branch would else find, ground and verify them all again.
     terms = with_terms(discover(i), i.lexicon)
-    grounded, ungrounded = evidence.ground(terms, i.texts)
+    grounded, ungrounded = evidence.ground(terms, i.texts, hold=lambda x: written(x, "grounded"))
     passed, invalid = validate(grounded, i.lexicon, i.texts)
     kinds = passed.withColumn("candidate_type", candidates.candidate_type(F.col("sources"), F.col("variant"), F.col("context_reason")))
     d = i.details.withColumns({"_g": text.gene_key("gene"), "_v": text.gene_key(text.normalize_variant("gene", "variant"))}).drop("gene", "variant").withColumnRenamed("_g", "gene_key").withColumnRenamed("_v", "variant_key")
     keyed = kinds.withColumns({"gene_key": text.gene_key("gene"), "variant_key": text.gene_key("variant")})
-    rows = output.details_or_skeletons(keyed, d, ["pmid", "gene_key", "variant_key"]).drop("gene_key", "variant_key")
+    rows = written(output.details_or_skeletons(keyed, d, ["pmid", "gene_key", "variant_key"]).drop("gene_key", "variant_key"), "detailed")
     rows = evidence.backfill(rows, i.texts, user_columns[0], user_columns)
-    rows = evidence.fill_missing(rows, user_columns, i.texts)
+    rows = written(evidence.fill_missing(rows, user_columns, i.texts), "filled")
     index = citations.table_rows(i.tables)
     # All columns' quotes are rows of one table: each is verified once, and the rows meet the verdicts in one join, however many columns there are.
     row = F.xxhash64("gene", "variant")
@@ -96,7 +98,7 @@ def run(i: Inputs, user_columns: list[str], top_n: int | None = None) -> Result:
     wide = told.groupBy("pmid", "row").agg(*[verdict(k, x).alias(f"{c}_citation_{n}") for k, c in enumerate(user_columns) for x, n in (("valid", "valid"), ("reason", "details"), ("confidence", "confidence"))])
     rows = rows.withColumn("row", row).join(wide, ["pmid", "row"], "left").drop("row")
     rows = rows.withColumn("validation_confidence", F.col("confidence"))
-    kept, gone = gates.all_gates(rows, user_columns)
+    kept, gone = gates.all_gates(written(rows, "verified"), user_columns)
     ner = i.ner.select("pmid", F.col("symbol").alias("_s"), F.col("gene_id").alias("NCBI Gene ID")).dropDuplicates(["pmid", "_s"])
     kept = kept.withColumn("_s", text.gene_key("gene")).join(ner, ["pmid", "_s"], "left").withColumn("Gene Source", F.when(F.col("`NCBI Gene ID`").isNotNull(), "both").otherwise("llm"))
     dim = i.gene_dim.select(F.upper("symbol").alias("_s"), F.col("full_name").alias("Gene Full Name"), F.array_join(F.slice("aliases", 1, 3), ", ").alias("Gene Aliases"), F.col("chromosome").alias("Chromosome"), F.col("gene_id").alias("_id"))
