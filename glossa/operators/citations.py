@@ -10,6 +10,7 @@ words to reach the ratio asked for.
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +38,29 @@ def closest_window(quote: list[str], words: list[str], least: float = 0.0) -> tu
 
     A window's matches are at most those of its words that the quote has, which
     bounds its ratio; windows are compared from the highest bound on, until no
-    bound is left above the best ratio.
+    bound is left above the best ratio. A word matches no more often than the
+    quote has it: windows that cannot be better by that count are passed over.
     """
     n, size = len(quote), len(quote) + SPARE_WORDS
-    own = set(quote)
-    shared = np.concatenate([[0], np.cumsum([w in own for w in words])])
+    own = Counter(quote)
+    shared = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(own.__contains__, words), np.bool_, len(words)), out=shared[1:])
     start = np.arange(max(1, len(words) - n + 1))
     end = np.minimum(start + size, len(words))
     bound = 2 * np.minimum(shared[end] - shared[start], n) / (n + end - start)
+    start = start[bound >= least]
     best, at, matcher = 0.0, -1, difflib.SequenceMatcher(None, quote)
-    for j in np.argsort(-bound, kind="stable").tolist():
-        if bound[j] <= best or bound[j] < least:
+    for j in start[np.argsort(-bound[start], kind="stable")].tolist():
+        if bound[j] <= best:
             break
-        matcher.set_seq2(words[j : j + size])
+        window, left, most = words[j : j + size], dict(own), 0
+        for w in window:
+            if left.get(w):
+                left[w] -= 1
+                most += 1
+        if 2 * most / (n + len(window)) <= best or 2 * most / (n + len(window)) < least:
+            continue
+        matcher.set_seq2(window)
         ratio = matcher.ratio()
         if ratio > best and ratio >= least:
             best, at = ratio, j
@@ -189,7 +200,8 @@ def verify(citations: DataFrame, texts: DataFrame, index: DataFrame | None = Non
     names = F.array_distinct(F.concat(F.array(F.coalesce("gene", F.lit(""))), F.coalesce("names", F.array().cast("array<string>"))))
     c = citations.withColumn("_names", F.filter(names, lambda x: F.trim(x) != ""))
     each = c.select(id_column, "citation", "_names").distinct()
-    said = each.withColumn("_quote", plain("citation")).join(texts.select(id_column, plain("text").alias("_text")), id_column, "left").withColumn("_text", F.coalesce("_text", F.lit("")))
+    # Quotes without their texts are small: a join that broadcasts the texts would leave all of the matcher's work to the one task that quotes fit in.
+    said = each.withColumn("_quote", plain("citation")).join(texts.select(id_column, plain("text").alias("_text")).hint("merge"), id_column, "left").withColumn("_text", F.coalesce("_text", F.lit("")))
     told = judged(said).select(id_column, "citation", "_names", "found", "ratio", "reason")
     out = c.join(told, [id_column, "citation", "_names"], "left")
     if index is not None:
