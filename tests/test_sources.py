@@ -118,3 +118,32 @@ def test_a_worker_hands_parts_on_in_pieces():
     pieces = list(markup.parts_in_pieces([(str(k), xml, "") for k in range(100)] + [("bad", "<broken", ""), ("none", None, "")], 5000))
     assert [(r["pmid"], r["part"]) for rows in pieces for r in rows] == [(str(k), part) for k in range(100) for part in range(3)]
     assert max(sum(len(r["text"]) for r in rows) for rows in pieces) <= 5000 + 1001 and len(pieces) == 25
+
+
+def _of_tables(n: int, rows: int, cell: str = "") -> str:
+    """An article of so many tables, each row with its numbers."""
+    return "<article><body><p>Lead.</p>" + "".join(
+        f"<table-wrap><label>Table {k}</label><caption><p>Cap {k}</p></caption><table><tr><th>G{k}</th></tr>" + "".join(f"<tr><td>{k} {r}{cell}</td></tr>" for r in range(rows)) + "</table></table-wrap>" for k in range(n)
+    ) + '</body><fig><graphic href="no"/></fig><supplementary-material xmlns:x="http://www.w3.org/1999/xlink" x:href="s.csv"/></article>'
+
+
+def test_every_table_of_an_article_is_read(spark):
+    """An article has as many tables as it has, in parts, text and the citation index's form."""
+    parts = markup.parse_articles(spark.createDataFrame([("1", _of_tables(45, 2), ""), ("2", _of_tables(20, 1), ""), ("3", _of_tables(21, 1), "")], "pmid string, xml string, url string")).cache()
+    got = [(r["part"], r["row"], r["label"], r["caption"], r["cells"]) for r in parts.where("pmid = '1' AND kind = 'table'").orderBy("part", "row").collect()]
+    assert got == [(k, r, f"Table {k}", f"Cap {k}", [f"G{k}" if r == 0 else f"{k} {r - 1}"]) for k in range(45) for r in range(3)]
+    assert {r["pmid"]: r["n_tables"] for r in markup.article_text(parts).collect()} == {"1": 45, "2": 20, "3": 21}
+    assert markup.article_text(parts).where("pmid = '1'").first()["text"] == "\n\n".join(["Lead."] + [t for k in range(45) for t in (f"G{k}", f"{k} 0", f"{k} 1")])
+    tables = {r["pmid"]: r["tables"] for r in markup.article_tables(parts).collect()}
+    assert [(t["label"], t["rows"]) for t in tables["1"]] == [(f"Table {k}", [[f"{k} 0"], [f"{k} 1"]]) for k in range(45)]
+    assert (len(tables["2"]), len(tables["3"])) == (20, 21)
+    assert parts.where("kind = 'supplement'").count() == 3
+
+
+def test_one_article_of_many_tables_is_handed_on_in_pieces():
+    """What a worker holds does not grow with an article's tables, whose cells count; nothing is lost where an article is cut."""
+    xml = _of_tables(200, 10, "x" * 500)
+    pieces = list(markup.parts_in_pieces([("1", xml, ""), ("2", xml, "")], 5000))
+    assert [r for rows in pieces for r in rows] == [{"pmid": pmid} | p for pmid in ("1", "2") for p in markup.article_parts(xml)]
+    assert len(markup.article_parts(xml)) == 2 + 200 * 11
+    assert max(sum(len(c) for r in rows for c in r["cells"] or ()) for rows in pieces) <= 2 * 5000 + 510
